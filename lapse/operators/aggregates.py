@@ -2,8 +2,8 @@
 
 Every operator is one logical plan: partial aggregation on the map side,
 one shuffle on the group key, nothing collected.  Percentages of "all rows"
-join a one-row total by broadcast instead of a global window (a window
-without PARTITION BY runs in one task).
+divide by a scalar subquery (the total, computed once) instead of a global
+window (a window without PARTITION BY runs in one task).
 """
 
 from __future__ import annotations
@@ -73,11 +73,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("count")
     )
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     return (
-        counts.crossJoin(F.broadcast(total))
-        .select(F.lit(column).alias("column"), "value", "count",
-                pct(F.col("count"), F.col("_total")).alias("pct"))
+        counts.select(F.lit(column).alias("column"), "value", "count",
+                      pct(F.col("count"), total).alias("pct"))
         .orderBy(F.desc("count"), F.asc_nulls_last("value"))
     )
 

@@ -1,8 +1,8 @@
 """Chart-ready aggregates (C1-C11).  Rendering is left to the caller; each
 function returns the small table a chart is drawn from.
 
-Histograms take min/max in one aggregate and join that one row back by
-broadcast, then count per (group, bin): partial aggregation keeps the
+Histograms take min/max as scalar subqueries (one aggregate, used as
+literals), then count per (group, bin): partial aggregation keeps the
 shuffle at (#groups x #bins) rows per task, whatever the input size.
 """
 
@@ -41,16 +41,17 @@ def histogram(df: DataFrame, column: str, group: Column | str | None = None,
     x = F.col(column)
     base = df.select(x.cast("double").alias("_x"), *([g.alias("group")] if g is not None else []))
     base = base.where(F.col("_x").isNotNull())
-    rng = base.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    # range as scalar subqueries (merged into one aggregate by Catalyst)
+    lo, hi = base.agg(F.min("_x")).scalar(), base.agg(F.max("_x")).scalar()
+    width = (hi - lo) / F.lit(float(bins))
     b = F.least(
-        F.coalesce(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), width)), F.lit(0)),
+        F.coalesce(F.floor(F.try_divide(F.col("_x") - lo, width)), F.lit(0)),
         F.lit(bins - 1),
     ).cast("int")
     keys = (["group"] if g is not None else []) + ["bin"]
     counted = (
-        base.crossJoin(F.broadcast(rng))
-        .select(*(["group"] if g is not None else []), b.alias("bin"), "_lo", "_hi")
+        base.select(*(["group"] if g is not None else []), b.alias("bin"),
+                    lo.alias("_lo"), hi.alias("_hi"))
         .groupBy(*keys, "_lo", "_hi")
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -61,11 +62,12 @@ def histogram(df: DataFrame, column: str, group: Column | str | None = None,
             "count"]
     out = counted.select(*cols, w.alias("_w"))
     if density:
-        totals = counted.groupBy(*(["group"] if g is not None else [])).agg(
-            F.sum("count").alias("_n")) if g is not None else counted.agg(F.sum("count").alias("_n"))
-        # one row per group: bounded by the number of groups
-        out = (out.join(F.broadcast(totals), "group") if g is not None
-               else out.crossJoin(F.broadcast(totals)))
+        if g is not None:
+            # one row per group: bounded by the number of groups
+            totals = counted.groupBy("group").agg(F.sum("count").alias("_n"))
+            out = out.join(F.broadcast(totals), "group")
+        else:
+            out = out.withColumn("_n", counted.agg(F.sum("count")).scalar())
         out = out.withColumn(
             "density", F.round(F.try_divide(F.col("count").cast("double"), F.col("_n") * F.col("_w")), 8)
         ).drop("_n")

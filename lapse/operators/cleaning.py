@@ -78,4 +78,5 @@ def clean_report(raw: DataFrame, spec: Spec, plan: CleanPlan) -> DataFrame:
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicates"),
         F.count(F.lit(1)).alias("n_output"),
     )
-    return counts.crossJoin(F.broadcast(dups))
+    return counts.select("*", dups.select("n_duplicates").scalar().alias("n_duplicates"),
+                         dups.select("n_output").scalar().alias("n_output"))

@@ -83,9 +83,8 @@ def class_weights(df: DataFrame, spec: Spec, weight_col: str = "weight") -> Data
     per class)."""
     df = spec.with_label(df)
     counts = df.groupBy(spec.label_col).agg(F.count(F.lit(1)).alias("_nc"))
-    total = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(total).select(
-        spec.label_col, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight_col))
+    n, k = counts.agg(F.sum("_nc")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
+    w = counts.select(spec.label_col, (n / (k * F.col("_nc"))).alias(weight_col))
     return df.join(F.broadcast(w), spec.label_col)
 
 

@@ -29,42 +29,49 @@ def _label(label: str | Column) -> Column:
 
 
 def score_table(df: DataFrame, label: str | Column = "label", score: str | Column = "score",
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                buckets: int = DEFAULT_BUCKETS, group=()) -> DataFrame:
     """One row per distinct score, highest first in the cumulative sense:
     ``score, pos, neg, tp_above, fp_above, tp, fp, n_pos, n_neg`` where
     ``tp_above``/``fp_above`` count rows with a strictly higher score and
-    ``tp``/``fp`` include this score."""
+    ``tp``/``fp`` include this score.  ``group`` evaluates many models or
+    folds in one job (the per-group constants are one row per group)."""
+    g = list(group)
     s = F.col(score) if isinstance(score, str) else score
     per = (
-        df.select(s.cast("double").alias("score"), _label(label).alias("y"))
+        df.select(*g, s.cast("double").alias("score"), _label(label).alias("y"))
         .where(F.col("score").isNotNull())
-        .groupBy("score")
+        .groupBy(*g, "score")
         .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     )
-    rng = per.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"),
-                  F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    rng_cols = {"_lo": F.min("score"), "_hi": F.max("score"), "n_pos": F.sum("pos"), "n_neg": F.sum("neg")}
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
     # buckets numbered from the top so that bucket 0 holds the highest scores
     b = (F.lit(buckets) - F.least(
         F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("_lo"), width)), F.lit(0)),
         F.lit(buckets))).cast("int")
-    per = per.crossJoin(F.broadcast(rng)).withColumn("bucket", b)
-    tot = per.groupBy("bucket").agg(F.sum("pos").alias("_bpos"), F.sum("neg").alias("_bneg"))
-    # at most buckets + 1 rows: a bounded single-partition window
-    wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    if g:
+        # one row per group (models x folds): bounded, broadcast
+        per = per.join(F.broadcast(per.groupBy(*g).agg(*[e.alias(n) for n, e in rng_cols.items()])), g)
+    else:
+        # scalar subqueries, merged into one aggregate by the optimizer
+        per = per.select("*", *[per.agg(e).scalar().alias(n) for n, e in rng_cols.items()])
+    per = per.withColumn("bucket", b)
+    tot = per.groupBy(*g, "bucket").agg(F.sum("pos").alias("_bpos"), F.sum("neg").alias("_bneg"))
+    # at most buckets + 1 rows per group: a bounded window
+    wb = Window.partitionBy(*g).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(
-        "bucket",
+        *g, "bucket",
         F.coalesce(F.sum("_bpos").over(wb), F.lit(0)).alias("_pos_before"),
         F.coalesce(F.sum("_bneg").over(wb), F.lit(0)).alias("_neg_before"),
     )
-    wi = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    wi = Window.partitionBy(*g, "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     out = per.select(
-        "score", "pos", "neg", "bucket", "n_pos", "n_neg",
+        *g, "score", "pos", "neg", "bucket", "n_pos", "n_neg",
         F.coalesce(F.sum("pos").over(wi), F.lit(0)).alias("_pos_in"),
         F.coalesce(F.sum("neg").over(wi), F.lit(0)).alias("_neg_in"),
-    ).join(F.broadcast(tot), "bucket")
+    ).join(tot, [*g, "bucket"])
     return out.select(
-        "score", "pos", "neg",
+        *g, "score", "pos", "neg",
         (F.col("_pos_before") + F.col("_pos_in")).cast("long").alias("tp_above"),
         (F.col("_neg_before") + F.col("_neg_in")).cast("long").alias("fp_above"),
         (F.col("_pos_before") + F.col("_pos_in") + F.col("pos")).cast("long").alias("tp"),
@@ -74,23 +81,24 @@ def score_table(df: DataFrame, label: str | Column = "label", score: str | Colum
 
 
 def roc_auc(df: DataFrame, label="label", score="score", digits: int | None = 6,
-            buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+            buckets: int = DEFAULT_BUCKETS, group=()) -> DataFrame:
     """P(score_pos > score_neg) + P(tie) / 2.  NULL for a one-class set."""
-    st = score_table(df, label, score, buckets)
+    st = score_table(df, label, score, buckets, group)
     auc = F.try_divide(
         F.sum(F.col("neg") * (F.col("tp_above") + F.lit(0.5) * F.col("pos"))),
         F.first("n_pos").cast("double") * F.first("n_neg"),
     )
-    return st.agg((F.round(auc, digits) if digits is not None else auc).alias("roc_auc"))
+    return st.groupBy(*group).agg((F.round(auc, digits) if digits is not None else auc).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label="label", score="score", digits: int | None = 6,
-                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      buckets: int = DEFAULT_BUCKETS, group=()) -> DataFrame:
     """Sum over thresholds of (recall step) x precision."""
-    st = score_table(df, label, score, buckets)
+    st = score_table(df, label, score, buckets, group)
     ap = F.sum(F.try_divide(F.col("pos").cast("double"), F.col("n_pos"))
                * F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")))
-    return st.agg((F.round(ap, digits) if digits is not None else ap).alias("average_precision"))
+    return st.groupBy(*group).agg(
+        (F.round(ap, digits) if digits is not None else ap).alias("average_precision"))
 
 
 def roc_curve(df: DataFrame, label="label", score="score", digits: int = 6,
@@ -128,14 +136,14 @@ def youden_threshold(df: DataFrame, label="label", score="score",
 
 
 def threshold_metrics(df: DataFrame, label="label", score="score", threshold: float | Column = 0.5,
-                      digits: int | None = 6) -> DataFrame:
+                      digits: int | None = 6, group=()) -> DataFrame:
     """Confusion counts at ``score >= threshold`` and precision,
     recall, F1 (0 where the denominator is 0)."""
     s = F.col(score) if isinstance(score, str) else score
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     y = _label(label)
     pred = F.coalesce(s >= t, F.lit(False))
-    c = df.agg(
+    c = df.groupBy(*group).agg(
         F.count_if((y == 0) & ~pred).alias("tn"), F.count_if((y == 0) & pred).alias("fp"),
         F.count_if((y == 1) & ~pred).alias("fn"), F.count_if((y == 1) & pred).alias("tp"),
     )
@@ -144,7 +152,8 @@ def threshold_metrics(df: DataFrame, label="label", score="score", threshold: fl
     f1 = F.coalesce(F.try_divide(F.lit(2.0) * F.col("tp"), F.lit(2) * F.col("tp") + F.col("fp") + F.col("fn")),
                     F.lit(0.0))
     rd = (lambda e: F.round(e, digits)) if digits is not None else (lambda e: e)
-    return c.select("tn", "fp", "fn", "tp", rd(p).alias("precision"), rd(r).alias("recall"), rd(f1).alias("f1"))
+    return c.select(*group, "tn", "fp", "fn", "tp", rd(p).alias("precision"), rd(r).alias("recall"),
+                    rd(f1).alias("f1"))
 
 
 def confusion_matrix(df: DataFrame, label="label", score="score", threshold: float = 0.5) -> DataFrame:

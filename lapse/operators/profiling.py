@@ -88,7 +88,7 @@ def dataset_info(df: DataFrame, spec: Spec, with_duplicates: bool = True) -> Dat
         df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
         .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicate_rows"))
     )
-    return main.crossJoin(F.broadcast(dups))
+    return main.select("*", dups.scalar().alias("n_duplicate_rows"))
 
 
 def kpi_row(df: DataFrame, spec: Spec) -> DataFrame:

@@ -57,8 +57,8 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
-    # newest order date: a one-row aggregate, broadcast by construction
-    asof = orders.agg(F.max("o_orderdate").cast("date").alias("asof"))
+    # newest order date: a scalar subquery (computed once, used as a literal)
+    asof = orders.agg(F.max("o_orderdate").cast("date").alias("asof")).scalar()
     per_cust = orders.groupBy("o_custkey").agg(
         F.min("o_orderdate").cast("date").alias("first_order"),
         F.max("o_orderdate").cast("date").alias("last_order"),
@@ -70,11 +70,10 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (
         customer.join(F.broadcast(_dims(spark, sf_dir)), customer.c_nationkey == F.col("n_nationkey"))
         .join(per_cust, customer.c_custkey == per_cust.o_custkey, "left")
-        .crossJoin(F.broadcast(asof))
     )
-    tenure = F.floor(F.datediff("asof", "first_order") / 30).cast("int")
+    tenure = F.floor(F.datediff(asof, F.col("first_order")) / 30).cast("int")
     total = F.round("sum_price", 2)
-    recency = F.datediff("asof", "last_order")
+    recency = F.datediff(asof, F.col("last_order"))
     return base.select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_mktsegment").alias("segment"),
