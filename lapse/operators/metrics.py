@@ -127,12 +127,15 @@ def pr_curve(df: DataFrame, label="label", score="score", digits: int = 6,
 def youden_threshold(df: DataFrame, label="label", score="score",
                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """The threshold maximising tpr - fpr; the highest one on ties.
-    Top-1 by TakeOrderedAndProject (no single-task sort)."""
+    Ties are decided exactly on tp * n_neg - fp * n_pos (decimal, no
+    floating-point noise).  Top-1 by TakeOrderedAndProject."""
     st = score_table(df, label, score, buckets)
     j = (F.try_divide(F.col("tp").cast("double"), F.col("n_pos"))
          - F.try_divide(F.col("fp").cast("double"), F.col("n_neg")))
-    return (st.select(F.col("score").alias("threshold"), j.alias("youden_j"))
-            .orderBy(F.desc_nulls_last("youden_j"), F.desc("threshold")).limit(1))
+    d = "decimal(38,0)"
+    exact = F.col("tp").cast(d) * F.col("n_neg").cast(d) - F.col("fp").cast(d) * F.col("n_pos").cast(d)
+    return (st.select(F.col("score").alias("threshold"), j.alias("youden_j"), exact.alias("_j"))
+            .orderBy(F.desc_nulls_last("_j"), F.desc("threshold")).limit(1).drop("_j"))
 
 
 def threshold_metrics(df: DataFrame, label="label", score="score", threshold: float | Column = 0.5,

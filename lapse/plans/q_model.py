@@ -104,7 +104,7 @@ def roc_curve_lineitem(spark, sf):
 
 @query("youden_threshold_orders", "M19", sql=with_frames("""
 SELECT score AS threshold, CAST(tp AS DOUBLE) / n_pos - CAST(fp AS DOUBLE) / n_neg AS youden_j FROM cum
-ORDER BY youden_j DESC, score DESC LIMIT 1""", _OR + ",\n" + _PER))
+ORDER BY CAST(tp AS HUGEINT) * n_neg - CAST(fp AS HUGEINT) * n_pos DESC, score DESC LIMIT 1""", _OR + ",\n" + _PER))
 def youden_threshold_orders(spark, sf):
     return X.youden_threshold(_orders_scored(spark, sf)).select(
         "threshold", "youden_j")
