@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse.functions.exprs import DEFAULT_THRESHOLD
@@ -153,13 +153,15 @@ class TrainedModel:
         self.classifier.write().overwrite().save(os.path.join(path, "classifier"))
         blob = {"name": self.name, "threshold": self.threshold, "metadata": self.metadata,
                 "features": asdict(self.features), "spec": {k: v for k, v in asdict(self.spec).items()}}
-        with open(os.path.join(path, "model.json"), "w") as fh:
-            json.dump(blob, fh, default=list)
+        # written through Spark so that the path may be any shared filesystem
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(blob, default=list),)], "value string").coalesce(1) \
+            .write.mode("overwrite").text(os.path.join(path, "model_json"))
 
     @staticmethod
     def load(path: str) -> "TrainedModel":
-        with open(os.path.join(path, "model.json")) as fh:
-            blob = json.load(fh)
+        spark = SparkSession.getActiveSession()
+        blob = json.loads(spark.read.text(os.path.join(path, "model_json")).first()[0])
         loader = {"LogisticRegression": LogisticRegressionModel, "RandomForest": RandomForestClassificationModel,
                   "GradientBoosting": GBTClassificationModel}[blob["name"]]
         clf = loader.load(os.path.join(path, "classifier"))
