@@ -7,7 +7,7 @@ oracle SQL can say the same thing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- fixed values
@@ -132,11 +132,14 @@ def customer_id(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.upper(text), ID_PATTERN, 1), F.lit(""))
 
 
-def route(text: Column):
-    """Q5: (intent, operation, column) from keyword rules in order; the
-    first rule that fires wins."""
-    q = F.regexp_replace(F.lower(text), "-", " ")
-    has_id = customer_id(text).isNotNull()
+def route_steps(df: DataFrame, text: str, keep=()) -> DataFrame:
+    """Q5/Q6: (intent, operation, column, customer_id) from keyword rules in
+    order; the first rule that fires wins.  The lowered text and the id are
+    computed once, in their own projection."""
+    pre = df.select(*keep, F.regexp_replace(F.lower(F.col(text)), "-", " ").alias("_q"),
+                    customer_id(F.col(text)).alias("customer_id"))
+    q = F.col("_q")
+    has_id = F.col("customer_id").isNotNull()
     rules = [
         (has_id & contains_any(q, WHAT_IF_WORDS), "hypothetical", "predict_hypothetical", None),
         (has_id, "prediction", "predict_customer_risk", None),
@@ -153,14 +156,20 @@ def route(text: Column):
          "MonthlyCharges"),
         (contains_any(q, AVERAGE_WORDS), "eda", "get_average", "MonthlyCharges"),
     ]
-    intent = op = col = None
-    for cond, i, o, c in rules:
-        intent = F.when(cond, i) if intent is None else intent.when(cond, i)
-        op = F.when(cond, o) if op is None else op.when(cond, o)
-        cv = F.lit(c).cast("string")
-        col = F.when(cond, cv) if col is None else col.when(cond, cv)
-    return (intent.otherwise("dataset_info"), op.otherwise("get_dataset_info"),
-            col.otherwise(F.lit(None).cast("string")))
+    # the index of the first rule that fires, then three lookups
+    first = None
+    for i, (cond, *_rest) in enumerate(rules):
+        first = F.when(cond, i) if first is None else first.when(cond, i)
+    pre = pre.withColumn("_rule", first)
+
+    def pick(idx, default):
+        e = F.lit(default).cast("string")
+        for i, r in enumerate(rules):
+            e = F.when(F.col("_rule") == i, F.lit(r[idx]).cast("string")).otherwise(e)
+        return e
+
+    return pre.select(*keep, pick(1, "dataset_info").alias("intent"), pick(2, "get_dataset_info").alias("operation"),
+                      pick(3, None).alias("column"), "customer_id")
 
 
 # ---------------------------------------------------------------- Q7 scenarios
@@ -195,26 +204,34 @@ def _ci(p: str) -> str:
     return "(?i)" + p
 
 
-def clean_answer(text: Column, starters=THINKING_STARTERS, drop_yes_no_bullets: bool = False) -> Column:
+def clean_answer_steps(df: DataFrame, text: str, out: str = "cleaned", starters=THINKING_STARTERS,
+                       drop_yes_no_bullets: bool = False) -> DataFrame:
     """Q9: remove think blocks and disclaimers, keep a quoted final check,
     cut at self-review markers, keep what follows a final-answer marker,
     drop meta-reasoning lines, strip outer quotes; the text before the line
-    filter is returned when everything was removed."""
-    t = strip_ws(F.regexp_replace(text, _ci(r"<think>[\s\S]*?</think>"), ""))
+    filter is returned when everything was removed.
+
+    Each step is its own projection over a named column: a single nested
+    expression would repeat the previous step two or three times per step
+    and grow exponentially."""
+    t = F.col("_t")
+    step = df.withColumn("_t", strip_ws(F.regexp_replace(F.col(text), _ci(r"<think>[\s\S]*?</think>"), "")))
     for p in DISCLAIMER_PATTERNS:
-        t = F.regexp_replace(t, _ci(p), "")
+        step = step.withColumn("_t", F.regexp_replace(t, _ci(p), ""))
     fc = F.regexp_extract(t, _ci(FINAL_CHECK_PATTERN), 1)
-    t = F.when(t.rlike(_ci(FINAL_CHECK_PATTERN)), strip_ws(fc)).otherwise(t)
+    step = step.withColumn("_t", F.when(t.rlike(_ci(FINAL_CHECK_PATTERN)), strip_ws(fc)).otherwise(t))
     # cut at the first self-review pattern (in list order) that leaves more
     # than 10 characters before it
+    pres = [f"_pre{i}" for i in range(len(CUTOFF_PATTERNS))]
+    step = step.select("*", *[strip_ws(F.regexp_extract(t, _ci(r"^([\s\S]*?)" + p), 1)).alias(n)
+                              for p, n in zip(CUTOFF_PATTERNS, pres)])
     cut = t
-    for p in reversed(CUTOFF_PATTERNS):
-        pre = strip_ws(F.regexp_extract(t, _ci(r"^([\s\S]*?)" + p), 1))
-        cut = F.when(t.rlike(_ci(p)) & (F.length(pre) > 10), pre).otherwise(cut)
-    t = cut
-    post = F.regexp_extract(t, _ci(r"^[\s\S]*" + SECTION_MARKER + r"([\s\S]*)$"), 1)
-    t = F.when(t.rlike(_ci(SECTION_MARKER)) & (F.length(strip_ws(post)) > 20), strip_ws(post)).otherwise(t)
-    before_filter = t
+    for p, n in reversed(list(zip(CUTOFF_PATTERNS, pres))):
+        cut = F.when(t.rlike(_ci(p)) & (F.length(F.col(n)) > 10), F.col(n)).otherwise(cut)
+    step = step.withColumn("_t", cut).drop(*pres)
+    step = step.withColumn("_post", strip_ws(F.regexp_extract(t, _ci(r"^[\s\S]*" + SECTION_MARKER + r"([\s\S]*)$"), 1)))
+    step = step.withColumn("_t", F.when(t.rlike(_ci(SECTION_MARKER)) & (F.length("_post") > 20), F.col("_post"))
+                           .otherwise(t)).drop("_post")
 
     def keep(line):
         s = F.lower(strip_ws(line))
@@ -226,12 +243,12 @@ def clean_answer(text: Column, starters=THINKING_STARTERS, drop_yes_no_bullets:
         drop = drop | contains_any(s, META_PHRASES)
         return (s == "") | ~drop
 
-    lines = F.split(before_filter, "\n")
-    kept = F.transform(F.filter(lines, keep), lambda ln: F.when(strip_ws(ln) == "", "").otherwise(ln))
-    res = strip_ws(F.array_join(kept, "\n"))
-    res = F.when(res.startswith('"') & res.endswith('"'),
-                 strip_ws(F.regexp_extract(res, r'^"([\s\S]*)"$', 1))).otherwise(res)
-    return F.when(res == "", before_filter).otherwise(res)
+    kept = F.transform(F.filter(F.split(t, "\n"), keep), lambda ln: F.when(strip_ws(ln) == "", "").otherwise(ln))
+    step = step.withColumn("_r", strip_ws(F.array_join(kept, "\n")))
+    r = F.col("_r")
+    step = step.withColumn("_r", F.when(r.startswith('"') & r.endswith('"'),
+                                        strip_ws(F.regexp_extract(r, r'^"([\s\S]*)"$', 1))).otherwise(r))
+    return step.withColumn(out, F.when(r == "", t).otherwise(r)).drop("_t", "_r")
 
 
 # ---------------------------------------------------------------- Q11 JSON

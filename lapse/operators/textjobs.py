@@ -14,9 +14,7 @@ from lapse.functions import text as TX
 
 def route_questions(df: DataFrame, text: str = "text", keep=()) -> DataFrame:
     """Q5/Q6: intent, operation and column per question, plus the id found."""
-    intent, op, col = TX.route(F.col(text))
-    return df.select(*keep, intent.alias("intent"), op.alias("operation"), col.alias("column"),
-                     TX.customer_id(F.col(text)).alias("customer_id"))
+    return TX.route_steps(df, text, keep)
 
 
 def plan_json(routed: DataFrame, keep=()) -> DataFrame:
@@ -66,8 +64,9 @@ def recent_context(conv: DataFrame, last: int = 3, answer_chars: int = 200) -> D
 
 def clean_answers(df: DataFrame, text: str = "text", keep=(), drop_yes_no_bullets: bool = False) -> DataFrame:
     """Q9 over a table of generated answers."""
-    return df.select(*keep, TX.clean_answer(F.col(text), drop_yes_no_bullets=drop_yes_no_bullets)
-                     .alias("cleaned"))
+    out = TX.clean_answer_steps(df.select(*keep, text), text, "cleaned",
+                                drop_yes_no_bullets=drop_yes_no_bullets)
+    return out.select(*keep, "cleaned")
 
 
 def extract_json_blocks(df: DataFrame, text: str = "text", keep=()) -> DataFrame:

@@ -253,8 +253,9 @@ def clean_assistant_answers(spark, sf):
 
 def _plans(spark, sf):
     c = read_table(spark, sf, "conversations").where(F.col("role") == "user")
-    routed = TJ.route_questions(c, keep=[F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"),
-                                                  F.col("turn").cast("string")).alias("plan_id")])
+    c = c.withColumn("plan_id", F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"),
+                                         F.col("turn").cast("string")))
+    routed = TJ.route_questions(c, keep=["plan_id"])
     plans = TJ.plan_json(routed, keep=["plan_id"])
     ev = read_table(spark, sf, "events").select(
         F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("plan_id"), F.col("props").alias("plan_json"))
