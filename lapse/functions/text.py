@@ -101,6 +101,12 @@ def _starts_any(col: Column, words) -> Column:
     return expr if expr is not None else F.lit(False)
 
 
+def _literal_alternation(words, anchored: bool = False) -> str:
+    """One Java regex matching any of ``words`` literally (\\Q...\\E)."""
+    body = "|".join("\\Q" + w + "\\E" for w in words)
+    return ("^" if anchored else "") + "(?:" + body + ")"
+
+
 def strip_ws(col: Column) -> Column:
     """Python ``str.strip()`` for ASCII whitespace (``trim`` only drops spaces)."""
     return F.regexp_replace(col, r"^\s+|\s+$", "")
@@ -233,17 +239,22 @@ def clean_answer_steps(df: DataFrame, text: str, out: str = "cleaned", starters=
     step = step.withColumn("_t", F.when(t.rlike(_ci(SECTION_MARKER)) & (F.length("_post") > 20), F.col("_post"))
                            .otherwise(t)).drop("_post")
 
-    def keep(line):
-        s = F.lower(strip_ws(line))
+    starts = _literal_alternation(starters, anchored=True)
+    rule_words = _literal_alternation(RULE_BULLET_WORDS)
+    meta = _literal_alternation(META_PHRASES)
+
+    def keep(x):
+        s = x["s"]  # the lowered, stripped line, computed once per line
         bullet = s.startswith("•") | s.startswith("-")
-        drop = _starts_any(s, starters)
+        drop = s.rlike(starts)
         if drop_yes_no_bullets:
             drop = drop | (bullet & (s.contains("?") | s.contains("yes") | s.contains("no")))
-        drop = drop | ((s.startswith("- ") | s.startswith("• ")) & contains_any(s, RULE_BULLET_WORDS))
-        drop = drop | contains_any(s, META_PHRASES)
+        drop = drop | ((s.startswith("- ") | s.startswith("• ")) & s.rlike(rule_words))
+        drop = drop | s.rlike(meta)
         return (s == "") | ~drop
 
-    kept = F.transform(F.filter(F.split(t, "\n"), keep), lambda ln: F.when(strip_ws(ln) == "", "").otherwise(ln))
+    lines = F.transform(F.split(t, "\n"), lambda ln: F.struct(ln.alias("l"), F.lower(strip_ws(ln)).alias("s")))
+    kept = F.transform(F.filter(lines, keep), lambda x: F.when(x["s"] == "", "").otherwise(x["l"]))
     step = step.withColumn("_r", strip_ws(F.array_join(kept, "\n")))
     r = F.col("_r")
     step = step.withColumn("_r", F.when(r.startswith('"') & r.endswith('"'),
