@@ -134,36 +134,49 @@ def fit_features(train: DataFrame, spec: Spec, exact: bool = True,
     require_columns(train, num + cat)
     model = FeatureModel(num, cat)
     if num:
-        qs = [(F.percentile(F.col(c), 0.5) if exact else F.percentile_approx(F.col(c), 0.5, 10000)).alias(c)
-              for c in num]
-        med = train.agg(*qs).first().asDict()
-        model.medians = {c: (float(med[c]) if med[c] is not None else 0.0) for c in num}
-        filled = [F.coalesce(F.col(c).cast("double"), F.lit(model.medians[c])) for c in num]
-        stats = train.agg(*[F.avg(e).alias(f"m_{c}") for e, c in zip(filled, num)],
-                          *[F.stddev_pop(e).alias(f"s_{c}") for e, c in zip(filled, num)]).first().asDict()
-        model.means = {c: float(stats[f"m_{c}"] or 0.0) for c in num}
-        model.stds = {c: (float(stats[f"s_{c}"]) if stats[f"s_{c}"] else 1.0) for c in num}
+        # one pass: median, count, and the moments of the present values;
+        # the mean / population std after median imputation follow exactly
+        # (Chan's parallel-variance combination with n_missing copies of the
+        # median), so no second pass over the data is needed
+        aggs = []
+        for i, c in enumerate(num):
+            x = F.col(c).cast("double")
+            med = F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, 10000)
+            aggs += [med.alias(f"q{i}"), F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
+                     F.var_pop(x).alias(f"v{i}")]
+        row = train.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+        n = row["rows"]
+        for i, c in enumerate(num):
+            med = float(row[f"q{i}"]) if row[f"q{i}"] is not None else 0.0
+            na = row[f"n{i}"]
+            nb = n - na
+            if na == 0:
+                mean, var = med, 0.0
+            else:
+                ma, m2a = float(row[f"m{i}"]), float(row[f"v{i}"]) * na
+                delta = med - ma
+                mean = ma + delta * nb / n
+                var = (m2a + delta * delta * na * nb / n) / n
+            model.medians[c] = med
+            model.means[c] = mean
+            std = var ** 0.5
+            model.stds[c] = std if std > 0 else 1.0
     if cat:
-        counts = category_counts(train, cat)
-        sizes = counts.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("k"),
-            # smallest (-count, value): most frequent, lowest value on ties
-            F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v"))).alias("m"),
-        ).collect()  # one row per categorical feature
-        total = sum(r["k"] for r in sizes)
-        if total > max_inline_categories:
+        # bounded collect: at most max_inline_categories + 1 rows reach the driver
+        counts = category_counts(train, cat).limit(max_inline_categories + 1).collect()
+        if len(counts) > max_inline_categories:
             raise SpecError(
-                f"{total} categories exceed max_inline_categories={max_inline_categories}; "
-                "use encode_join with the fitted category table"
+                f"more than max_inline_categories={max_inline_categories} categories; "
+                "encode with a join against the fitted category table instead"
             )
-        model.modes = {r["feature"]: r["m"]["v"] for r in sizes}
-        cats = counts.select("feature", "value").collect()  # bounded by the check above
         by = {c: [] for c in cat}
-        for r in cats:
-            by[r["feature"]].append(r["value"])
-        model.categories = {c: sorted(v) for c, v in by.items()}
+        for r in counts:
+            by[r["feature"]].append((r["value"], r["count"]))
         for c in cat:
-            model.modes.setdefault(c, None)
+            vals = by[c]
+            model.categories[c] = sorted(v for v, _ in vals)
+            # most frequent, lowest value on ties
+            model.modes[c] = min(vals, key=lambda vc: (-vc[1], vc[0]))[0] if vals else None
     return model
 
 

@@ -65,16 +65,20 @@ def _weighted(df: DataFrame, spec: Spec) -> DataFrame:
 
 
 def fit_one(train: DataFrame, spec: Spec, name: str, seed: int = 42, **overrides):
-    """Fit the feature model and one classifier on ``train``."""
-    fm = FT.fit_features(train, spec)
-    w = _weighted(train, spec)
-    prepared = FT.transform_features(w, fm, keep=[spec.id_col, spec.label_col, "weight"])
-    prepared = prepared.persist()
+    """Fit the feature model and one classifier on ``train`` (kept
+    persisted while the fitting passes run over it)."""
+    train = train.persist()
+    prepared = None
     try:
+        fm = FT.fit_features(train, spec)
+        w = _weighted(train, spec)
+        prepared = FT.transform_features(w, fm, keep=[spec.id_col, spec.label_col, "weight"]).persist()
         total_w = prepared.agg(F.sum("weight")).first()[0]
         clf = make_estimator(name, total_w, seed, **overrides).fit(prepared)
     finally:
-        prepared.unpersist()
+        if prepared is not None:
+            prepared.unpersist()
+        train.unpersist()
     return fm, clf
 
 
