@@ -101,17 +101,17 @@ def missing_values(spark, sf):
 
 
 @query("churn_rate", "P4", sql=with_frames("""
-SELECT count(*) AS total, count_if(churn = 'Yes') AS positive, count_if(churn = 'No') AS negative,
-       coalesce(round(100.0 * count_if(churn = 'Yes') / nullif(count(*), 0), 2), 0.0) AS rate_pct
+SELECT count(*) AS total, CAST(count_if(churn = 'Yes') AS BIGINT) AS positive, CAST(count_if(churn = 'No') AS BIGINT) AS negative,
+       coalesce(round(100.0 * CAST(count_if(churn = 'Yes') AS BIGINT) / nullif(count(*), 0), 2), 0.0) AS rate_pct
 FROM dirty_profile""", _DIRTY_PROFILE_SQL))
 def churn_rate(spark, sf):
     return P.get_rate(dirty_profile(spark, sf), PS)
 
 
 @query("dataset_info", "P5", sql=with_frames("""
-SELECT count(*) AS n_rows, 6 AS n_cols, count_if(churn = 'Yes') AS n_positive,
-       count_if(churn = 'No') AS n_negative,
-       round(100.0 * count_if(churn = 'Yes') / count(*), 2) AS rate_pct,
+SELECT count(*) AS n_rows, 6 AS n_cols, CAST(count_if(churn = 'Yes') AS BIGINT) AS n_positive,
+       CAST(count_if(churn = 'No') AS BIGINT) AS n_negative,
+       round(100.0 * CAST(count_if(churn = 'Yes') AS BIGINT) / count(*), 2) AS rate_pct,
        (count(*) - count(total_charges)) + (count(*) - count(churn)) AS n_missing_total,
        count(DISTINCT customer_id) = count(*) AS id_unique,
        (SELECT count(*) FROM dirty_profile) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_profile))
@@ -122,9 +122,9 @@ def dataset_info(spark, sf):
 
 
 @query("kpi_row", "P6", sql=with_frames("""
-SELECT count(*) AS customers, round(100.0 * count_if(churn = 'Yes') / count(*), 2) AS rate_pct,
-       round(100.0 - round(100.0 * count_if(churn = 'Yes') / count(*), 2), 2) AS retention_pct,
-       count_if(churn = 'Yes') AS churned, count_if(churn = 'No') AS retained
+SELECT count(*) AS customers, round(100.0 * CAST(count_if(churn = 'Yes') AS BIGINT) / count(*), 2) AS rate_pct,
+       round(100.0 - round(100.0 * CAST(count_if(churn = 'Yes') AS BIGINT) / count(*), 2), 2) AS retention_pct,
+       CAST(count_if(churn = 'Yes') AS BIGINT) AS churned, CAST(count_if(churn = 'No') AS BIGINT) AS retained
 FROM customer_profile"""))
 def kpi_row(spark, sf):
     return P.kpi_row(customer_profile(spark, sf), PS)
@@ -268,8 +268,8 @@ def tenure_trend_customers(spark, sf):
 
 def _fc_sql(pred, column, value, op, frame="lineitem"):
     return f"""
-SELECT '{column}' AS column, '{value}' AS value, '{op}' AS operator, count_if({pred}) AS count,
-       count(*) AS total, round(100.0 * count_if({pred}) / count(*), 2) AS pct FROM {frame}"""
+SELECT '{column}' AS column, '{value}' AS value, '{op}' AS operator, CAST(count_if({pred}) AS BIGINT) AS count,
+       count(*) AS total, round(100.0 * CAST(count_if({pred}) AS BIGINT) / count(*), 2) AS pct FROM {frame}"""
 
 
 @query("filter_count_eq", "A11 X1", sql=_fc_sql("coalesce(l_returnflag = 'R', false)", "l_returnflag", "R", "eq"))
@@ -367,7 +367,7 @@ def correlation_with_target(spark, sf):
 @query("class_imbalance", "A15", sql=with_frames("""
 SELECT CAST(count_if(churn IS DISTINCT FROM 'Yes') AS BIGINT) AS n_negative,
        CAST(count_if(churn = 'Yes') AS BIGINT) AS n_positive,
-       round(count_if(churn IS DISTINCT FROM 'Yes') / nullif(count_if(churn = 'Yes'), 0), 4) AS imbalance_ratio
+       round(CAST(count_if(churn IS DISTINCT FROM 'Yes') AS BIGINT) / nullif(CAST(count_if(churn = 'Yes') AS BIGINT), 0), 4) AS imbalance_ratio
 FROM dirty_profile""", _DIRTY_PROFILE_SQL))
 def class_imbalance(spark, sf):
     return A.class_imbalance(dirty_profile(spark, sf), PS)

@@ -69,10 +69,10 @@ def average_precision_lineitem(spark, sf):
 
 @query("threshold_metrics_lineitem", "M17 M18", sql="""
 WITH li AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_discount AS score FROM lineitem),
-c AS (SELECT count_if(label = 0 AND NOT coalesce(score >= 0.05, false)) AS tn,
-             count_if(label = 0 AND coalesce(score >= 0.05, false)) AS fp,
-             count_if(label = 1 AND NOT coalesce(score >= 0.05, false)) AS fn,
-             count_if(label = 1 AND coalesce(score >= 0.05, false)) AS tp FROM li)
+c AS (SELECT CAST(count_if(label = 0 AND NOT coalesce(score >= 0.05, false)) AS BIGINT) AS tn,
+             CAST(count_if(label = 0 AND coalesce(score >= 0.05, false)) AS BIGINT) AS fp,
+             CAST(count_if(label = 1 AND NOT coalesce(score >= 0.05, false)) AS BIGINT) AS fn,
+             CAST(count_if(label = 1 AND coalesce(score >= 0.05, false)) AS BIGINT) AS tp FROM li)
 SELECT tn, fp, fn, tp,
        round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0), 6) AS precision,
        round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0), 6) AS recall,
@@ -85,10 +85,10 @@ def threshold_metrics_lineitem(spark, sf):
 @query("confusion_matrix_orders", "M18", sql="""
 WITH li AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
                    o_totalprice / 600000.0 AS score FROM orders),
-c AS (SELECT count_if(label = 0 AND NOT coalesce(score >= 0.25, false)) AS tn,
-             count_if(label = 0 AND coalesce(score >= 0.25, false)) AS fp,
-             count_if(label = 1 AND NOT coalesce(score >= 0.25, false)) AS fn,
-             count_if(label = 1 AND coalesce(score >= 0.25, false)) AS tp FROM li)
+c AS (SELECT CAST(count_if(label = 0 AND NOT coalesce(score >= 0.25, false)) AS BIGINT) AS tn,
+             CAST(count_if(label = 0 AND coalesce(score >= 0.25, false)) AS BIGINT) AS fp,
+             CAST(count_if(label = 1 AND NOT coalesce(score >= 0.25, false)) AS BIGINT) AS fn,
+             CAST(count_if(label = 1 AND coalesce(score >= 0.25, false)) AS BIGINT) AS tp FROM li)
 SELECT 0 AS actual, 0 AS predicted, tn AS count FROM c UNION ALL SELECT 0, 1, fp FROM c
 UNION ALL SELECT 1, 0, fn FROM c UNION ALL SELECT 1, 1, tp FROM c""")
 def confusion_matrix_orders(spark, sf):

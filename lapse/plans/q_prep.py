@@ -75,8 +75,8 @@ def clean_customers(spark, sf):
 
 @query("clean_report", "S9", sql=with_frames("""
 SELECT (SELECT count(*) FROM staged) AS n_input,
-       (SELECT count_if(imputed) FROM staged) AS n_imputed,
-       (SELECT count_if(total_raw IS NULL) FROM staged) AS n_dropped,
+       (SELECT CAST(count_if(imputed) AS BIGINT) FROM staged) AS n_imputed,
+       (SELECT CAST(count_if(total_raw IS NULL) AS BIGINT) FROM staged) AS n_dropped,
        (SELECT count(*) FROM staged WHERE total_raw IS NOT NULL)
          - (SELECT count(*) FROM (SELECT DISTINCT customer_key, segment, region, tenure, total_raw, flag, churn
                                   FROM staged WHERE total_raw IS NOT NULL)) AS n_duplicates,
@@ -154,7 +154,7 @@ SELECT f.status, f.n, round(mn, 4) AS min, round(q1, 4) AS q1, round(med, 4) AS
        round(mx, 4) AS max, round(iqr, 4) AS iqr, round(lf, 4) AS lower_fence, round(uf, 4) AS upper_fence,
        round(min(CASE WHEN x >= lf AND x <= uf THEN x END), 4) AS whisker_low,
        round(max(CASE WHEN x >= lf AND x <= uf THEN x END), 4) AS whisker_high,
-       count_if(NOT (x >= lf AND x <= uf)) AS n_outliers
+       CAST(count_if(NOT (x >= lf AND x <= uf)) AS BIGINT) AS n_outliers
 FROM f JOIN d ON f.status = d.status
 GROUP BY f.status, f.n, mn, q1, med, q3, mx, iqr, lf, uf""", _BOX_CTES))
 def chart_box(spark, sf):

@@ -52,11 +52,11 @@ s AS (
 @query("prediction_checks", "Q1 Q3", sql=with_frames("""
 SELECT 'empty_result' AS rule, 'warning' AS severity, CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT)
        AS violations, true AS passed FROM s
-UNION ALL SELECT 'missing_risk_score', 'error', count_if(risk_score IS NULL), count_if(risk_score IS NULL) = 0 FROM s
-UNION ALL SELECT 'missing_risk_level', 'error', count_if(risk_level IS NULL), count_if(risk_level IS NULL) = 0 FROM s
-UNION ALL SELECT 'missing_prediction', 'error', count_if(prediction IS NULL), count_if(prediction IS NULL) = 0 FROM s
-UNION ALL SELECT 'score_out_of_range', 'error', count_if(risk_score < 0 OR risk_score > 1),
-                 count_if(risk_score < 0 OR risk_score > 1) = 0 FROM s""", _CHECKED_SQL))
+UNION ALL SELECT 'missing_risk_score', 'error', CAST(count_if(risk_score IS NULL) AS BIGINT), CAST(count_if(risk_score IS NULL) AS BIGINT) = 0 FROM s
+UNION ALL SELECT 'missing_risk_level', 'error', CAST(count_if(risk_level IS NULL) AS BIGINT), CAST(count_if(risk_level IS NULL) AS BIGINT) = 0 FROM s
+UNION ALL SELECT 'missing_prediction', 'error', CAST(count_if(prediction IS NULL) AS BIGINT), CAST(count_if(prediction IS NULL) AS BIGINT) = 0 FROM s
+UNION ALL SELECT 'score_out_of_range', 'error', CAST(count_if(risk_score < 0 OR risk_score > 1) AS BIGINT),
+                 CAST(count_if(risk_score < 0 OR risk_score > 1) AS BIGINT) = 0 FROM s""", _CHECKED_SQL))
 def prediction_checks(spark, sf):
     return QC.prediction_checks(_checked_scores(spark, sf))
 
@@ -64,11 +64,11 @@ def prediction_checks(spark, sf):
 @query("numeric_sanity_lineitem", "Q2", sql="""
 WITH d AS (SELECT *, pow(l_discount, -1) AS inv_discount FROM lineitem)
 SELECT 'nan_or_inf_l_quantity' AS rule, 'warning' AS severity,
-       count_if(isnan(l_quantity) OR isinf(l_quantity)) AS violations, true AS passed FROM d
-UNION ALL SELECT 'nan_or_inf_l_extendedprice', 'warning', count_if(isnan(l_extendedprice) OR isinf(l_extendedprice)), true FROM d
-UNION ALL SELECT 'nan_or_inf_l_discount', 'warning', count_if(isnan(l_discount) OR isinf(l_discount)), true FROM d
-UNION ALL SELECT 'nan_or_inf_l_tax', 'warning', count_if(isnan(l_tax) OR isinf(l_tax)), true FROM d
-UNION ALL SELECT 'nan_or_inf_inv_discount', 'warning', count_if(isnan(inv_discount) OR isinf(inv_discount)), true FROM d""")
+       CAST(count_if(isnan(l_quantity) OR isinf(l_quantity)) AS BIGINT) AS violations, true AS passed FROM d
+UNION ALL SELECT 'nan_or_inf_l_extendedprice', 'warning', CAST(count_if(isnan(l_extendedprice) OR isinf(l_extendedprice)) AS BIGINT), true FROM d
+UNION ALL SELECT 'nan_or_inf_l_discount', 'warning', CAST(count_if(isnan(l_discount) OR isinf(l_discount)) AS BIGINT), true FROM d
+UNION ALL SELECT 'nan_or_inf_l_tax', 'warning', CAST(count_if(isnan(l_tax) OR isinf(l_tax)) AS BIGINT), true FROM d
+UNION ALL SELECT 'nan_or_inf_inv_discount', 'warning', CAST(count_if(isnan(inv_discount) OR isinf(inv_discount)) AS BIGINT), true FROM d""")
 def numeric_sanity_lineitem(spark, sf):
     li = read_table(spark, sf, "lineitem")
     return QC.numeric_sanity(li.select("*", F.pow(F.col("l_discount"), F.lit(-1.0)).alias("inv_discount")))
@@ -118,7 +118,8 @@ a AS (
            || '; total=' || printf('%.2f', o_totalprice) AS evidence
   FROM orders JOIN ev ON o_orderkey = l_orderkey),
 n AS (SELECT aid, {_nums_sql('answer', 10.0)} AS an, {_nums_sql('evidence', -1.0)} AS en FROM a)
-SELECT aid, len(an) AS n_numbers, len(list_filter(an, lambda x: NOT list_contains(en, x))) AS n_ungrounded,
+SELECT aid, CAST(len(an) AS INTEGER) AS n_numbers,
+       CAST(len(list_filter(an, lambda x: NOT list_contains(en, x))) AS INTEGER) AS n_ungrounded,
        len(list_filter(an, lambda x: NOT list_contains(en, x))) = 0 AS grounded
 FROM n""")
 def grounding_check(spark, sf):
