@@ -35,18 +35,32 @@ def get_average(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def get_median(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
+def get_median(df: DataFrame, column: str, exact: bool = True, method: str = "percentile") -> DataFrame:
+    """A2.  ``method="bracket"`` gives the same exact value with memory
+    bounded per task (see ``quantiles``), for continuous columns at scale."""
     require_numeric(df, column)
+    if method == "bracket":
+        from lapse.operators.quantiles import exact_quantiles
+
+        q = exact_quantiles(df, column, [0.5])
+        return q.select(F.lit(column).alias("column"), F.round("q0", 4).alias("median"))
     return df.agg(
         F.lit(column).alias("column"),
         F.round(_quantile(column, 0.5, exact), 4).alias("median"),
     )
 
 
-def describe_numeric(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
-    """A3: count, mean, sample std, min, quartiles, max in one aggregate."""
+def describe_numeric(df: DataFrame, column: str, exact: bool = True, method: str = "percentile") -> DataFrame:
+    """A3: count, mean, sample std, min, quartiles, max in one aggregate
+    (``method="bracket"``: quartiles from ``exact_quantiles``)."""
     require_numeric(df, column)
-    q = _quantile(column, [0.25, 0.5, 0.75], exact)
+    if method == "bracket":
+        from lapse.operators.quantiles import exact_quantiles
+
+        eq = exact_quantiles(df, column, [0.25, 0.5, 0.75])
+        q = F.array(*[eq.select(f"q{i}").scalar() for i in range(3)])
+    else:
+        q = _quantile(column, [0.25, 0.5, 0.75], exact)
     out = df.agg(
         F.count(column).alias("count"),
         F.avg(column).alias("mean"),
@@ -124,7 +138,7 @@ def _agg_expr(func: str, col: str, exact: bool = True):
 
 def group_aggregate(df: DataFrame, group_col: str, agg_col: str, agg_func: str = "mean",
                     filter_col: str | None = None, filter_val=None,
-                    require_match: bool = False, exact: bool = True) -> DataFrame:
+                    require_match: bool = False, exact: bool = True, method: str = "percentile") -> DataFrame:
     """One aggregate per group, optional equality filter, 4 dp,
     value descending.  Output column ``{agg_func}_{agg_col}``."""
     require_columns(df, [group_col, agg_col, filter_col])
@@ -137,6 +151,13 @@ def group_aggregate(df: DataFrame, group_col: str, agg_col: str, agg_func: str =
         if require_match and df.isEmpty():
             raise SpecError(f"No rows match filter {filter_col}={filter_val!r}")
     name = f"{agg_func}_{agg_col}"
+    if agg_func == "median" and method == "bracket":
+        from lapse.operators.quantiles import exact_quantiles
+
+        keyed = df.where(F.col(group_col).isNotNull())
+        q = exact_quantiles(keyed, agg_col, [0.5], [group_col]).select(group_col, F.round("q0", 4).alias(name))
+        groups = keyed.select(group_col).distinct()  # all-missing groups keep a NULL median
+        return groups.join(q, group_col, "left").orderBy(F.desc_nulls_last(name), F.asc(group_col))
     val = _agg_expr(agg_func, agg_col, exact)
     if agg_func != "count":
         val = F.round(val, 4)

@@ -158,6 +158,25 @@ def describe_extendedprice(spark, sf):
     return A.get_distribution(read_table(spark, sf, "lineitem"), "l_extendedprice")
 
 
+@query("median_extendedprice_bracketed", "A2", sql="""
+SELECT 'l_extendedprice' AS column, round(quantile_cont(l_extendedprice, 0.5), 4) AS median FROM lineitem""")
+def median_extendedprice_bracketed(spark, sf):
+    return A.get_median(read_table(spark, sf, "lineitem"), "l_extendedprice", method="bracket")
+
+
+@query("describe_extendedprice_bracketed", "A3", sql="""
+SELECT 'l_extendedprice' AS column, count(l_extendedprice) AS count,
+       round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS std,
+       round(min(l_extendedprice), 4) AS min,
+       round(quantile_cont(l_extendedprice, 0.25), 4) AS q25,
+       round(quantile_cont(l_extendedprice, 0.5), 4) AS median,
+       round(quantile_cont(l_extendedprice, 0.75), 4) AS q75,
+       round(max(l_extendedprice), 4) AS max
+FROM lineitem""")
+def describe_extendedprice_bracketed(spark, sf):
+    return A.describe_numeric(read_table(spark, sf, "lineitem"), "l_extendedprice", method="bracket")
+
+
 @query("distribution_top_priority", "A4", sql=with_frames("""
 SELECT 'top_priority' AS column, CAST(top_priority AS VARCHAR) AS value, count(*) AS count,
        round(100.0 * count(*) / (SELECT count(*) FROM customer_profile), 2) AS pct
@@ -208,6 +227,15 @@ SELECT l_returnflag, {_expr} AS {_f}_l_extendedprice
 FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag IS NOT NULL GROUP BY l_returnflag""")(_ga_builder(_f))
 
 
+@query("group_median_price_by_flag_bracketed", "A7", sql="""
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_l_extendedprice
+FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag IS NOT NULL GROUP BY l_returnflag""")
+def group_median_price_by_flag_bracketed(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    return A.group_aggregate(li, "l_returnflag", "l_extendedprice", "median",
+                             filter_col="l_linestatus", filter_val="F", method="bracket")
+
+
 @query("group_std_one_row_groups", "A7 X9", sql="""
 SELECT l_orderkey, round(stddev_samp(l_quantity), 4) AS std_l_quantity
 FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey""")
