@@ -16,6 +16,8 @@ from lapse.operators import features as FT
 from lapse.operators.models import TrainedModel, positive_probability
 from lapse.spec import SpecError
 
+MAX_SCENARIOS = 256
+
 
 def _probability(model: TrainedModel, df: DataFrame, keep) -> DataFrame:
     x = FT.transform_features(df, model.features, keep=keep)
@@ -37,6 +39,15 @@ def score_all(model: TrainedModel, df: DataFrame, keep=()) -> DataFrame:
     )
 
 
+def what_if_bulk(model: TrainedModel, customers: DataFrame, scenarios, changed_only: bool = True,
+                 max_scenarios: int = MAX_SCENARIOS) -> DataFrame:
+    """R7/R8 for every customer under a short list of scenarios: one scan,
+    no join (the features travel with each expanded request)."""
+    req = scenario_requests(customers, model.spec.id_col, scenarios, keep=model.spec.features,
+                            max_scenarios=max_scenarios)
+    return what_if(model, customers, req, changed_only=changed_only)
+
+
 def score_requests(model: TrainedModel, df: DataFrame, requests: DataFrame,
                    pos_col: str = "pos", req_col: str = "requested_id") -> DataFrame:
     """Score a list of ids, keeping request order and duplicates; an
@@ -51,7 +62,7 @@ def score_requests(model: TrainedModel, df: DataFrame, requests: DataFrame,
         pos_col, F.col(req_col).alias("customer_id"),
         F.when(F.col("_key").isNull(), "Not found").otherwise("ok").alias("status"),
         "risk_score", "risk_level", "prediction",
-    )
+    ).orderBy(pos_col)  # request order (a range-partitioned sort)
 
 
 def _defaults_row(model: TrainedModel) -> dict:
@@ -88,19 +99,24 @@ def _override(df_col: Column, value: Column, numeric: bool) -> Column:
     return F.coalesce(value.try_cast("double") if numeric else value, df_col)
 
 
-def scenario_requests(customers: DataFrame, id_col: str, scenarios) -> DataFrame:
-    """Every customer under each scenario of a short list
-    ``[(scenario_id, {feature: value}), ...]``: one projection per
-    scenario, unioned (linear in customers, no join)."""
-    parts = []
+def _scenario_array(scenarios, max_scenarios: int = MAX_SCENARIOS) -> Column:
+    if not scenarios or len(scenarios) > max_scenarios:
+        raise SpecError(f"give 1..{max_scenarios} scenarios (got {len(scenarios or [])})")
+    items = []
     for sid, changes in scenarios:
         m = F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), F.lit(None if v is None else str(v)))]) \
             if changes else F.create_map().cast("map<string,string>")
-        parts.append(customers.select(id_col, F.lit(sid).alias("scenario_id"), m.alias("overrides")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        items.append(F.struct(F.lit(sid).alias("scenario_id"), m.cast("map<string,string>").alias("overrides")))
+    return F.array(*items)
+
+
+def scenario_requests(customers: DataFrame, id_col: str, scenarios, keep=(),
+                      max_scenarios: int = MAX_SCENARIOS) -> DataFrame:
+    """Every customer under each scenario of a short, checked list
+    ``[(scenario_id, {feature: value}), ...]``: one scan of the customers,
+    each row expanded into its (at most ``max_scenarios``) requests."""
+    arr = _scenario_array(scenarios, max_scenarios)
+    return customers.select(id_col, *keep, F.inline(arr))
 
 
 def what_if(model: TrainedModel, customers: DataFrame, requests: DataFrame,
@@ -120,8 +136,11 @@ def what_if(model: TrainedModel, customers: DataFrame, requests: DataFrame,
     unknown = sorted(set(keys) - set(feats))  # distinct keys: a handful of names
     if unknown:
         raise SpecError(f"unknown feature names in scenarios: {unknown}")
-    base = customers.select(spec.id_col, *feats)
-    pairs = requests.select(spec.id_col, "scenario_id", overrides_col).join(base, spec.id_col)
+    if all(c in requests.columns for c in feats):
+        pairs = requests.select(spec.id_col, "scenario_id", overrides_col, *feats)  # features carried along
+    else:
+        base = customers.select(spec.id_col, *feats)
+        pairs = requests.select(spec.id_col, "scenario_id", overrides_col).join(base, spec.id_col)
     numeric = {c: isinstance(customers.schema[c].dataType, NumericType) for c in feats}
     current_text = F.create_map(*[x for c in feats for x in (F.lit(c), F.col(c).cast("string"))])
     hypo_cols = []

@@ -95,9 +95,7 @@ SCENARIOS = [
 @query("what_if_scenarios", "R7 R8")
 def what_if_scenarios(spark, sf):
     model, _ = fitted(spark, sf)
-    cp = customer_profile(spark, sf)
-    req = SC.scenario_requests(cp, PS.id_col, SCENARIOS)
-    return SC.what_if(model, cp, req)
+    return SC.what_if_bulk(model, customer_profile(spark, sf), SCENARIOS)
 
 
 @query("top_factors", "R9 R11")
