@@ -6,10 +6,11 @@ score with its positive and negative counts (a partial aggregate).  The
 cumulative counts are then taken in two levels so that no window ever sees
 an unbounded number of rows in one task:
 
-1. scores are cut into ``buckets`` equal-width ranges; the bucket totals
-   (at most ``buckets`` + 1 rows) get a running sum in one small window;
+1. distinct scores are cut into ``buckets`` equal-frequency ranges; the
+   bucket totals (at most ``buckets`` rows) get a running sum in one small
+   window;
 2. inside each bucket, distinct scores get a running sum in a window
-   partitioned by the bucket (spread over all tasks).
+   partitioned by the bucket (spread evenly over all tasks).
 
 ROC-AUC (ties count half), average precision (step sum), the ROC and PR
 curves and the Youden threshold are exact sums over that table.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 10000
+DEFAULT_BUCKETS = 1000
 
 
 def _label(label: str | Column) -> Column:
@@ -28,13 +29,33 @@ def _label(label: str | Column) -> Column:
     return F.when(c.cast("int") == 1, 1).otherwise(0)
 
 
+def _bucket_splits(per: DataFrame, buckets: int | None) -> list[float]:
+    """Equal-frequency bucket edges over the distinct scores (bounded list:
+    at most ``buckets`` + 1 values reach the driver)."""
+    if buckets is None:
+        # about 100k distinct scores per bucket, 1k..1M buckets
+        n = per.count()
+        buckets = int(min(1_000_000, max(1000, n // 100_000)))
+    qs = [i / buckets for i in range(1, buckets)]
+    row = per.agg(F.percentile_approx("score", qs, max(10000, 10 * buckets)).alias("b")).first()
+    inner = sorted(set(row["b"] or []))
+    return [float("-inf"), *inner, float("inf")]
+
+
 def score_table(df: DataFrame, label: str | Column = "label", score: str | Column = "score",
-                buckets: int = DEFAULT_BUCKETS, group=()) -> DataFrame:
-    """One row per distinct score, highest first in the cumulative sense:
-    ``score, pos, neg, tp_above, fp_above, tp, fp, n_pos, n_neg`` where
-    ``tp_above``/``fp_above`` count rows with a strictly higher score and
-    ``tp``/``fp`` include this score.  ``group`` evaluates many models or
-    folds in one job (the per-group constants are one row per group)."""
+                buckets: int | None = DEFAULT_BUCKETS, group=()) -> DataFrame:
+    """One row per distinct score: ``score, pos, neg, tp_above, fp_above,
+    tp, fp, n_pos, n_neg`` where ``tp_above``/``fp_above`` count rows with a
+    strictly higher score and ``tp``/``fp`` include this score.  ``group``
+    evaluates many models or folds in one job (the per-group constants are
+    one row per group).
+
+    Buckets are equal-frequency over the distinct scores (edges from
+    ``percentile_approx``, assigned by binary search in ``Bucketizer``), so a
+    bunched score distribution still spreads over all buckets;
+    ``buckets=None`` sizes them from the number of distinct scores."""
+    from pyspark.ml.feature import Bucketizer
+
     g = list(group)
     s = F.col(score) if isinstance(score, str) else score
     per = (
@@ -43,22 +64,19 @@ def score_table(df: DataFrame, label: str | Column = "label", score: str | Colum
         .groupBy(*g, "score")
         .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     )
-    rng_cols = {"_lo": F.min("score"), "_hi": F.max("score"), "n_pos": F.sum("pos"), "n_neg": F.sum("neg")}
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    # buckets numbered from the top so that bucket 0 holds the highest scores
-    b = (F.lit(buckets) - F.least(
-        F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("_lo"), width)), F.lit(0)),
-        F.lit(buckets))).cast("int")
+    splits = _bucket_splits(per, buckets)
+    per = Bucketizer(splits=splits, inputCol="score", outputCol="_bk").transform(per).withColumn(
+        "bucket", F.col("_bk").cast("int")).drop("_bk")
+    totals = {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")}
     if g:
         # one row per group (models x folds): bounded, broadcast
-        per = per.join(F.broadcast(per.groupBy(*g).agg(*[e.alias(n) for n, e in rng_cols.items()])), g)
+        per = per.join(F.broadcast(per.groupBy(*g).agg(*[e.alias(n) for n, e in totals.items()])), g)
     else:
         # scalar subqueries, merged into one aggregate by the optimizer
-        per = per.select("*", *[per.agg(e).scalar().alias(n) for n, e in rng_cols.items()])
-    per = per.withColumn("bucket", b)
+        per = per.select("*", *[per.agg(e).scalar().alias(n) for n, e in totals.items()])
     tot = per.groupBy(*g, "bucket").agg(F.sum("pos").alias("_bpos"), F.sum("neg").alias("_bneg"))
-    # at most buckets + 1 rows per group: a bounded window
-    wb = Window.partitionBy(*g).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # at most len(splits) rows per group: a bounded window, highest bucket first
+    wb = Window.partitionBy(*g).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(
         *g, "bucket",
         F.coalesce(F.sum("_bpos").over(wb), F.lit(0)).alias("_pos_before"),
@@ -81,7 +99,7 @@ def score_table(df: DataFrame, label: str | Column = "label", score: str | Colum
 
 
 def roc_auc(df: DataFrame, label="label", score="score", digits: int | None = 6,
-            buckets: int = DEFAULT_BUCKETS, group=()) -> DataFrame:
+            buckets: int | None = DEFAULT_BUCKETS, group=()) -> DataFrame:
     """P(score_pos > score_neg) + P(tie) / 2.  NULL for a one-class set."""
     st = score_table(df, label, score, buckets, group)
     auc = F.try_divide(
@@ -92,7 +110,7 @@ def roc_auc(df: DataFrame, label="label", score="score", digits: int | None = 6,
 
 
 def average_precision(df: DataFrame, label="label", score="score", digits: int | None = 6,
-                      buckets: int = DEFAULT_BUCKETS, group=()) -> DataFrame:
+                      buckets: int | None = DEFAULT_BUCKETS, group=()) -> DataFrame:
     """Sum over thresholds of (recall step) x precision."""
     st = score_table(df, label, score, buckets, group)
     ap = F.sum(F.try_divide(F.col("pos").cast("double"), F.col("n_pos"))
@@ -102,7 +120,7 @@ def average_precision(df: DataFrame, label="label", score="score", digits: int |
 
 
 def roc_curve(df: DataFrame, label="label", score="score", digits: int = 6,
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """One point per distinct score: threshold, fpr, tpr, youden_j."""
     st = score_table(df, label, score, buckets)
     tpr = F.try_divide(F.col("tp").cast("double"), F.col("n_pos"))
@@ -114,7 +132,7 @@ def roc_curve(df: DataFrame, label="label", score="score", digits: int = 6,
 
 
 def pr_curve(df: DataFrame, label="label", score="score", digits: int = 6,
-             buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+             buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Threshold, precision, recall per distinct score."""
     st = score_table(df, label, score, buckets)
     return st.select(
@@ -125,7 +143,7 @@ def pr_curve(df: DataFrame, label="label", score="score", digits: int = 6,
 
 
 def youden_threshold(df: DataFrame, label="label", score="score",
-                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """The threshold maximising tpr - fpr; the highest one on ties.
     Ties are decided exactly on tp * n_neg - fp * n_pos (decimal, no
     floating-point noise).  Top-1 by TakeOrderedAndProject."""
