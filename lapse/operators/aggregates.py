@@ -138,9 +138,10 @@ def _agg_expr(func: str, col: str, exact: bool = True):
 
 def group_aggregate(df: DataFrame, group_col: str, agg_col: str, agg_func: str = "mean",
                     filter_col: str | None = None, filter_val=None,
-                    require_match: bool = False, exact: bool = True, method: str = "percentile") -> DataFrame:
+                    require_match: bool = True, exact: bool = True, method: str = "percentile") -> DataFrame:
     """One aggregate per group, optional equality filter, 4 dp,
-    value descending.  Output column ``{agg_func}_{agg_col}``."""
+    value descending.  Output column ``{agg_func}_{agg_col}``.  A filter
+    that matches nothing raises (checked with a one-row probe job)."""
     require_columns(df, [group_col, agg_col, filter_col])
     if agg_func not in AGG_FUNCS:
         raise SpecError(f"agg_func must be one of: {set(AGG_FUNCS)}")

@@ -176,11 +176,12 @@ class TrainedModel:
 
 
 def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction: float = 0.2, seed: int = 42,
-          overrides: dict | None = None, cv: bool = True):
+          overrides: dict | None = None, cv: bool = True, threshold_split: str = "test"):
     """E2 end to end: exact stratified split -> CV comparison -> best model
-    refit on the train split -> held-out evaluation and Youden threshold
-    (chosen on the test split, as the reference does).  Returns the trained
-    model and a long-form metrics table."""
+    refit on the train split -> held-out evaluation and Youden threshold.
+    The threshold is chosen on ``threshold_split`` ('test' as the reference
+    does, which is optimistic; 'train' keeps the test split untouched).
+    Returns the trained model and a long-form metrics table."""
     names = list(names or CANDIDATES)
     overrides = overrides or {}
     split = FT.assign_split(df, spec, test_fraction, folds, seed).checkpoint(eager=True)
@@ -193,7 +194,10 @@ def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction:
         summary, best = None, names[0]
     fm, clf = fit_one(train_rows, spec, best, seed, **overrides.get(best, {}))
     scored = score_with(test_rows, fm, clf, [spec.id_col, spec.label_col]).checkpoint(eager=True)
-    yt = MX.youden_threshold(scored).first()
+    if threshold_split not in ("test", "train"):
+        raise SpecError("threshold_split must be 'test' or 'train'")
+    pick_on = scored if threshold_split == "test" else score_with(train_rows, fm, clf, [spec.id_col, spec.label_col])
+    yt = MX.youden_threshold(pick_on).first()
     threshold = float(yt["threshold"]) if yt and yt["threshold"] is not None else DEFAULT_THRESHOLD
     def longform(df, prefix=""):
         return df.select(F.inline(F.array(*[

@@ -64,7 +64,7 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
     holds about ``target_partition_bytes`` (AQE coalesces the small ones and
     splits skewed ones), scan splits of the same size, and a broadcast
     threshold that stays small and fixed.  Example: 100 TB on 1000 x 8 cores
-    gives 400,000 initial shuffle partitions, capped at 50 per core."""
+    gives about 370,000 initial shuffle partitions (cap: 50 per core)."""
     parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
     parts = min(parts, 50 * total_cores)
     return {
