@@ -101,7 +101,11 @@ def score_table(df: DataFrame, label: str | Column = "label", score: str | Colum
 def roc_auc(df: DataFrame, label="label", score="score", digits: int | None = 6,
             buckets: int | None = DEFAULT_BUCKETS, group=()) -> DataFrame:
     """P(score_pos > score_neg) + P(tie) / 2.  NULL for a one-class set."""
-    st = score_table(df, label, score, buckets, group)
+    return auc_from_table(score_table(df, label, score, buckets, group), digits, group)
+
+
+def auc_from_table(st: DataFrame, digits: int | None = 6, group=()) -> DataFrame:
+    """M15 from a ``score_table`` (reuse one table for several metrics)."""
     auc = F.try_divide(
         F.sum(F.col("neg") * (F.col("tp_above") + F.lit(0.5) * F.col("pos"))),
         F.first("n_pos").cast("double") * F.first("n_neg"),
@@ -112,7 +116,11 @@ def roc_auc(df: DataFrame, label="label", score="score", digits: int | None = 6,
 def average_precision(df: DataFrame, label="label", score="score", digits: int | None = 6,
                       buckets: int | None = DEFAULT_BUCKETS, group=()) -> DataFrame:
     """Sum over thresholds of (recall step) x precision."""
-    st = score_table(df, label, score, buckets, group)
+    return ap_from_table(score_table(df, label, score, buckets, group), digits, group)
+
+
+def ap_from_table(st: DataFrame, digits: int | None = 6, group=()) -> DataFrame:
+    """M16 from a ``score_table``."""
     ap = F.sum(F.try_divide(F.col("pos").cast("double"), F.col("n_pos"))
                * F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")))
     return st.groupBy(*group).agg(
@@ -147,7 +155,11 @@ def youden_threshold(df: DataFrame, label="label", score="score",
     """The threshold maximising tpr - fpr; the highest one on ties.
     Ties are decided exactly on tp * n_neg - fp * n_pos (decimal, no
     floating-point noise).  Top-1 by TakeOrderedAndProject."""
-    st = score_table(df, label, score, buckets)
+    return youden_from_table(score_table(df, label, score, buckets))
+
+
+def youden_from_table(st: DataFrame) -> DataFrame:
+    """M19 from a ``score_table``."""
     j = (F.try_divide(F.col("tp").cast("double"), F.col("n_pos"))
          - F.try_divide(F.col("fp").cast("double"), F.col("n_neg")))
     d = "decimal(38,0)"

@@ -196,8 +196,12 @@ def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction:
     scored = score_with(test_rows, fm, clf, [spec.id_col, spec.label_col]).checkpoint(eager=True)
     if threshold_split not in ("test", "train"):
         raise SpecError("threshold_split must be 'test' or 'train'")
-    pick_on = scored if threshold_split == "test" else score_with(train_rows, fm, clf, [spec.id_col, spec.label_col])
-    yt = MX.youden_threshold(pick_on).first()
+    # one per-score table of the test split serves AUC, AP (and Youden)
+    st_test = MX.score_table(scored).checkpoint(eager=True)
+    if threshold_split == "test":
+        yt = MX.youden_from_table(st_test).first()
+    else:
+        yt = MX.youden_threshold(score_with(train_rows, fm, clf, [spec.id_col, spec.label_col])).first()
     threshold = float(yt["threshold"]) if yt and yt["threshold"] is not None else DEFAULT_THRESHOLD
     def longform(df, prefix=""):
         return df.select(F.inline(F.array(*[
@@ -206,8 +210,8 @@ def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction:
 
     at_half = MX.threshold_metrics(scored, threshold=DEFAULT_THRESHOLD, digits=None)
     at_opt = MX.threshold_metrics(scored, threshold=threshold, digits=None).select("precision", "recall", "f1")
-    test_long = (longform(MX.roc_auc(scored, digits=None))
-                 .unionByName(longform(MX.average_precision(scored, digits=None)))
+    test_long = (longform(MX.auc_from_table(st_test, digits=None))
+                 .unionByName(longform(MX.ap_from_table(st_test, digits=None)))
                  .unionByName(longform(at_half, "at_0.5_"))
                  .unionByName(longform(at_opt, "at_optimal_")))
     extra = split.groupBy("split", "label").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
