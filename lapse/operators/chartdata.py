@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lapse.functions.exprs import risk_level
 from lapse.operators.aggregates import _quantile, correlation_matrix, group_rate, tenure_trend
 from lapse.operators.ranking import top_n_records
-from lapse.spec import Spec, require_columns, require_numeric
+from lapse.spec import Spec, require_numeric
 
 
 def outcome_distribution(df: DataFrame, spec: Spec) -> DataFrame:

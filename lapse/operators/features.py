@@ -104,14 +104,6 @@ class FeatureModel:
     def names(self) -> list[str]:
         return self.numeric + self.categorical
 
-    def to_rows(self) -> list[tuple]:
-        out = []
-        for c in self.numeric:
-            out.append((c, "numeric", str(self.medians[c]), self.means[c], self.stds[c]))
-        for c in self.categorical:
-            out.append((c, "categorical", str(self.modes[c]), float(len(self.categories[c])), None))
-        return out
-
 
 def category_counts(df: DataFrame, columns) -> DataFrame:
     """(feature, value, count) over all categorical columns in one pass:

@@ -146,3 +146,14 @@ def test_stream_scoring_available_now(spark, trained, tmp_dir):
                          os.path.join(tmp_dir, "ckpt"))
     q2.awaitTermination(300)
     assert spark.read.parquet(os.path.join(tmp_dir, "out")).count() == cp.count()
+
+
+def test_stream_tier_counts(spark, trained, tmp_dir):
+    cp, model, _ = trained
+    src = os.path.join(tmp_dir, "in2")
+    cp.repartition(2).write.parquet(src)
+    scored = SC.score_all(model, ST.read_profiles(spark, src, cp.schema))
+    q = ST.tier_counts_stream(scored, os.path.join(tmp_dir, "tiers"), os.path.join(tmp_dir, "ckpt2"))
+    q.awaitTermination(300)
+    tiers = spark.read.parquet(os.path.join(tmp_dir, "tiers"))
+    assert sum(r["count"] for r in tiers.collect()) == cp.count()
