@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapse.llm.latent import benchmark_matches
 from lapse.llm.packing import pack_documents
 from lapse.llm.simhash import simhash_components
 from lapse.sources.tables import read_table
@@ -29,6 +30,11 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(read_table(spark, sf_dir, "documents"))
