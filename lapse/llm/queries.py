@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapse.llm import langid, secrets
 from lapse.llm.latent import benchmark_matches
 from lapse.llm.packing import pack_documents
 from lapse.llm.simhash import simhash_components
@@ -24,6 +25,63 @@ def _query(fn):
     return fn
 
 
+def held_out(id_col: str = "doc_id"):
+    """Documents that the language classifier may not learn from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> langid.Hierarchy:
+    return langid.fit(docs.where(~held_out()))
+
+
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    slim = docs.select("doc_id", "text", held_out().alias("held_out"))
+    return langid.identify(slim, language_model(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs).select("doc_id", "secret_spans")
+    base = F.filter("secret_spans", lambda s: s["kind"].isin([r.kind for r in secrets.RULES]))
+
+    def count(kind: str):
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(r.kind) for r in secrets.RULES]
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+                        secrets.spans_text(F.col("secret_spans")).alias("spans"))
+
+
+def _duck_spans(rank: int, rule: secrets.Rule) -> str:
+    """DuckDB twin of one rule: text between the matches, and the matches, by place."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+      SELECT doc_id, row_id, {rank} AS rank, '{rule.kind}' AS kind,
+             unnest(list_transform(range(1, len(hits) + 1), lambda i: {{
+               's': list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+                    + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0),
+               'n': length(hits[i]), 'part': length(parts[i])}})) AS m
+      FROM (SELECT doc_id, row_id, string_split_regex(t, '{pattern}') AS gaps,
+                   regexp_extract_all(t, '{pattern}', 0) AS hits,
+                   regexp_extract_all(t, '{pattern}', {rule.group}) AS parts FROM d)"""
+
+
+ORACLE_SQL["op5_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_duck_spans(i, r) for i, r in enumerate(secrets.RULES))}),
+k AS (SELECT row_id, rank, kind, CAST(m.s AS BIGINT) AS a, CAST(m.s + m.n AS BIGINT) AS z FROM m
+      WHERE m.part >= CASE kind {" ".join(f"WHEN '{r.kind}' THEN {r.min_chars}" for r in secrets.RULES)} END),
+g AS (SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans
+      FROM k GROUP BY row_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row_id)"""
+
+
 @_query
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
