@@ -1,4 +1,7 @@
-"""Corpus preparation: language ID, near-duplicates, decontamination, secrets, packing."""
+"""Corpus preparation: language ID, near-duplicates, decontamination, secrets, packing.
+
+Each stage takes the documents that its predecessor kept and returns the
+columns of ``documents``; the last one returns the packed pieces."""
 
 from __future__ import annotations
 
@@ -6,32 +9,65 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from lapse.llm.common import shared_path, staged  # noqa: E402,F401
+from lapse.llm import langid, secrets  # noqa: E402
+from lapse.llm.common import staged  # noqa: E402
+from lapse.llm.latent import benchmark_matches  # noqa: E402
 from lapse.llm.packing import pack_documents  # noqa: E402
+from lapse.llm.queries import language_model  # noqa: E402
 from lapse.llm.simhash import keep_one_per_component, simhash_components  # noqa: E402
 from lapse.sources.tables import read_table  # noqa: E402
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null text, no letter) go; a missing lang
+    is filled in with the prediction, a given one stays."""
+    columns = docs.columns
+    found = langid.identify(docs, language_model(docs)).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id."""
     return keep_one_per_component(docs, staged(simhash_components(docs), "components"))
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or reworded, go."""
+    matches = benchmark_matches(docs, read_table(spark, sf_dir, "benchmark"))
+    found = staged(matches.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the secrets in their texts are masked and n_chars
+    follows."""
+    return secrets.redact(docs, length_col="n_chars")
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in sequences of at most 1024 tokens."""
+    """Pieces of the kept documents, with their ids, in sequences of at most
+    1024 tokens."""
     return pack_documents(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("packing", packing),
+]
 
-#: XXH64 fingerprints, a fitted classifier and a tokenizer have no SQL form.
+#: A fitted classifier, XXH64 fingerprints, an SVD and a tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
