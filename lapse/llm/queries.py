@@ -10,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.llm import langid, secrets
+from lapse.llm import chat, langid, secrets, vafile, warc
+from lapse.llm.common import shared_path
 from lapse.llm.latent import benchmark_matches
 from lapse.llm.packing import pack_documents
 from lapse.llm.simhash import simhash_components
+from lapse.llm.unigram import token_counts
+from lapse.llm.urlrules import UrlRule, judge
 from lapse.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +28,38 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(warc.classify(read_table(spark, sf_dir, "pages")), path)
+    # The nested rows without the bytes of their records: lengths and digests are taken as those are read.
+    records = warc.read_records(spark, path).withColumns({"payload": F.lit(None).cast("binary"), "body": F.lit(None).cast("binary")})
+    captures = warc.assemble(records)
+    return captures.select(
+        "response.page_id", "response.payload_bytes", "response.payload_digest", "response.record_type",
+        "response.refers_to", "capture_id", F.col("request.record_id").alias("request_id"),
+        F.col("metadata.record_id").alias("metadata_id"))
+
+
+@_query
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(read_table(spark, sf_dir, "embeddings"), lambda c: F.col(c) % 100 == 0)
+
+
+ORACLE_SQL["op2_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@_query
+def op3_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def held_out(id_col: str = "doc_id"):
     """Documents that the language classifier may not learn from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -82,12 +117,74 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (row_id)"""
 
 
+#: A conversation of two turns that say nothing but control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@_query
+def op6_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(F.inline(F.array(*(
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"),
+                 F.lit(CONTROL_TEXT).alias("text")) for i, role in enumerate(("user", "assistant"))))))
+    out = chat.format_trees(chat.chain_by_turn(rows.unionByName(extra)))
+    read = out.select("conv", "formatted", chat.parsed_turns(F.col("formatted")).alias("turns"),
+                      F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+_CONTROL = r"[<\[]\\*(?:/?s>|/?INST\]|</?SYS>>)"
+ORACLE_SQL["op6_chat_reply_trees"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, 'assistant', '{CONTROL_TEXT}'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(8 + length(text) + len(regexp_extract_all(text, '{_CONTROL}'))
+                + length(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), 'nn'))
+                + len(regexp_extract_all(role, '{_CONTROL}'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 @_query
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+URL_RULES = [
+    UrlRule("||com/", allow=True),
+    UrlRule("||example.com/en/"),
+    UrlRule("||www.example.com/en/", allow=True),
+    UrlRule("||net/es/"),
+    UrlRule("||net/fr/"),
+]
+
+
+@_query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES).drop("url")
+
+
+ORACLE_SQL["op8_url_filter"] = f"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+       ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+p AS (SELECT row_number() OVER () AS row_id, page_id,
+             coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+b AS (SELECT row_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+             arg_max(r.verdict, length(r.host || r.path)) AS verdict
+      FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY row_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (row_id)"""
+
+
 @_query
 def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
