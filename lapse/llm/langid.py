@@ -196,10 +196,10 @@ def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataF
     to 1.  Every row is judged by its whole text alone; rows stay as they are."""
     worker_path(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
-    plain = kept.withColumn("__text", F.col(text_col).cast("string"))
+    n = len(kept.columns)
+    plain = kept.withColumn("__text", F.col(text_col).cast("string")).toDF(*(f"c{i}" for i in range(n + 1)))  # any names
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    n = len(kept.columns)
 
     def run(batches):
         for b in batches:

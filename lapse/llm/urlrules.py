@@ -112,7 +112,8 @@ def judge(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", default:
     fits = found.where(F.expr("place rlike regex"))
     order = F.struct(-F.length("name"), F.col("name"), (F.col("verdict") == "allow"))
     best = staged(fits.groupBy("place").agg(F.min_by(F.struct("name", "verdict"), order).alias("best")), "verdicts")
+    best = best.select(F.col("place").alias("__place"), F.col("best").alias("__best"))
     named = kept.withColumns({"host": host_of(url), "path": path_of(url)})
-    out = named.join(best, F.concat("host", "path") == F.col("place"), "left")
-    return out.select(*(F.col(f"`{c}`") for c in kept.columns), "host", "path", F.col("best.name").alias("rule"),
-                      F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    out = named.join(best, F.concat("host", "path") == F.col("__place"), "left")
+    return out.select(*(F.col(f"`{c}`") for c in kept.columns), "host", "path", F.col("__best.name").alias("rule"),
+                      F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))

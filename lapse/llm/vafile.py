@@ -45,7 +45,7 @@ def cell_bounds(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     component over all vectors."""
     rows = vectors.select(F.size("v").alias("n"), F.posexplode("v").alias("at", "x")).groupBy("n", "at").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # one row per component of each length
-    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.zeros(0), np.zeros(0))}
     for r in rows:
         low, width = out.setdefault(r.n, (np.zeros(r.n), np.zeros(r.n)))
         low[r.at], width[r.at] = r.lo, max((r.hi - r.lo + 1) / CELLS, 1.0)
@@ -62,7 +62,7 @@ def write_file(vectors: DataFrame, bounds: dict, path: str) -> None:
         for b in batches:
             cells = []
             for v in b.column(1):
-                x = np.array(v.as_py())
+                x = np.array(v.as_py(), float)
                 low, width = bounds.get(len(x), (0.0, 1.0))
                 cells.append(np.clip((x - low) // width, 0, CELLS - 1).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(1)], names=schema.names)
@@ -125,8 +125,8 @@ def _scan(file: DataFrame, queries: dict, bounds: dict, k: int) -> DataFrame:
                 at = np.flatnonzero(sizes == n)
                 for lo in range(0, len(at), ROWS):
                     part = b.take(pa.array(at[lo : lo + ROWS]))
-                    cells = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, n)
-                    exact = np.array(part.column(2).flatten()).reshape(-1, n)
+                    cells = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, n)
+                    exact = np.array(part.column(2).flatten(), float).reshape(part.num_rows, n)
                     search.add(ids[at[lo : lo + ROWS]], cells, exact)
         for n, search in searches.items():
             rows = [(int(search.ids[q]), int(queries[n][2][q]), i, -s) for q, best in enumerate(search.best) for s, i in best]
@@ -167,7 +167,7 @@ def top_k(vectors: DataFrame, query_condition, k: int = 10, id_col: str = "vec_i
         by_length: dict[int, list] = {}
         for r in rows:
             by_length.setdefault(len(r.v), []).append((r.id, r.v, r["query"]))
-        sent = {n: (np.array([x[0] for x in q]), np.array([x[1] for x in q]).reshape(-1, n), np.array([x[2] for x in q]))
+        sent = {n: (np.array([x[0] for x in q]), np.array([x[1] for x in q]).reshape(len(q), n), np.array([x[2] for x in q]))
                 for n, q in by_length.items()}
         _scan(file, sent, bounds, k).write.mode("append").parquet(found)
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
