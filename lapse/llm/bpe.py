@@ -38,7 +38,7 @@ def _lone_spaces(text: str) -> bool:
     )
 
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 class _Bounded(dict):
@@ -58,12 +58,9 @@ class BpeIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, ranks_path: str, pattern: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path, self.tokenizer = path, None
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -73,6 +70,12 @@ class BpeIds:
         return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def library(self, text: str) -> bytes:
+        if self.tokenizer is None:  # most tasks never need it
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:

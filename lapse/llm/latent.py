@@ -38,6 +38,8 @@ ITEM_BLOCK = 2048
 RANK, OVERSAMPLE, IDF_POWER = 32, 8, 3
 ITEM_SHARE = 0.1
 STEP = 4  # windows begin at multiples of this
+#: Words of a chunk of documents.
+TOKENS = 1 << 19
 CHUNK = 3 << 13  # a multiple of every stride up to 8192
 
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -132,12 +134,24 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, items: Items)
                                               T.StructField("ids", T.BinaryType())]))
 
 
-def _passages(batch, dtype, terms: int, passage_words: int):
+def _chunks(column, dtype):
+    """Lists of encoded documents of at most about TOKENS words (a longer
+    document comes alone)."""
+    held, size = [], 0
+    for x in column:
+        ids = np.frombuffer(x.as_buffer(), dtype)
+        if held and size + len(ids) > TOKENS:
+            yield held
+            held, size = [], 0
+        held.append(ids)
+        size += len(ids)
+    if held:
+        yield held
+
+
+def _passages(buffers: list[np.ndarray], terms: int, passage_words: int):
     """(passage, term, count) of the passages that have a known term, by
     passage, and the number of all passages."""
-    buffers = [np.frombuffer(x.as_buffer(), dtype) for x in batch.column("ids") if x.is_valid]
-    if not buffers:
-        return None, 0
     lengths = np.array([len(x) for x in buffers])
     per_doc = -(-lengths // passage_words)
     first = np.repeat(np.cumsum(per_doc) - per_doc, lengths)
@@ -158,9 +172,9 @@ def term_weights(encoded: DataFrame, items: Items, passage_words: int) -> tuple[
     def run(batches):
         df = np.zeros(terms, np.int64)
         for b in batches:
-            found, n = _passages(b, dtype, terms, passage_words)
-            df[0] += n
-            if found:
+            for docs in _chunks(b.column("ids"), dtype):
+                found, n = _passages(docs, terms, passage_words)
+                df[0] += n
                 df += np.bincount(found[1], minlength=terms)
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
@@ -181,30 +195,32 @@ def sketch(encoded: DataFrame, items: Items, weights: np.ndarray, passage_words:
     w[0] = 0
     names = [f"s{i}" for i in range(width)]
 
+    def add(total, passage, term, count):
+        if not len(passage):
+            return
+        value = (count * weights[term]).astype(np.float32)
+        starts = np.nonzero(np.diff(passage, prepend=-1))[0]
+        norm = np.sqrt(np.add.reduceat(value * value, starts))
+        sizes = np.diff(np.append(starts, len(passage)))
+        value /= np.repeat(norm, sizes)
+        lo = 0
+        while lo < len(starts):  # whole passages, CHUNK entries or so at a time
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK)))
+            a, z = starts[lo], starts[hi] if hi < len(starts) else len(passage)
+            t, v = term[a:z], value[a:z, None]
+            y = np.add.reduceat(w[t] * v, starts[lo:hi] - a, axis=0)
+            row = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+            order = np.argsort(t, kind="stable")
+            by_term = t[order]
+            cuts = np.nonzero(np.diff(by_term, prepend=-1))[0]
+            total[by_term[cuts]] += np.add.reduceat(y[row[order]] * v[order], cuts, axis=0)
+            lo = hi
+
     def run(batches):
         total = np.zeros((terms, width))
         for b in batches:
-            found, _ = _passages(b, dtype, terms, passage_words)
-            if not found or not len(found[0]):
-                continue
-            passage, term, count = found
-            value = (count * weights[term]).astype(np.float32)
-            starts = np.nonzero(np.diff(passage, prepend=-1))[0]
-            norm = np.sqrt(np.add.reduceat(value * value, starts))
-            sizes = np.diff(np.append(starts, len(passage)))
-            value /= np.repeat(norm, sizes)
-            lo = 0
-            while lo < len(starts):  # whole passages, CHUNK entries or so at a time
-                hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK)))
-                a, z = starts[lo], starts[hi] if hi < len(starts) else len(passage)
-                t, v = term[a:z], value[a:z, None]
-                y = np.add.reduceat(w[t] * v, starts[lo:hi] - a, axis=0)
-                row = np.repeat(np.arange(hi - lo), sizes[lo:hi])
-                order = np.argsort(t, kind="stable")
-                by_term = t[order]
-                cuts = np.nonzero(np.diff(by_term, prepend=-1))[0]
-                total[by_term[cuts]] += np.add.reduceat(y[row[order]] * v[order], cuts, axis=0)
-                lo = hi
+            for docs in _chunks(b.column("ids"), dtype):
+                add(total, *_passages(docs, terms, passage_words)[0])
         at = np.nonzero(total.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c) for c in total[at].T)], names=["term", *names])
 
@@ -377,8 +393,10 @@ def _search(encoded: DataFrame, search: Search, schema: T.StructType) -> DataFra
     def run(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
-            rows = search.matches([np.frombuffer(x.as_buffer(), search.items.dtype) for x in b.column(1)])
-            rows = [(ids[doc], search.items.ids[item], *rest) for doc, item, *rest in rows]
+            rows, first = [], 0
+            for docs in _chunks(b.column(1), search.items.dtype):
+                rows += [(ids[first + doc], search.items.ids[item], *rest) for doc, item, *rest in search.matches(docs)]
+                first += len(docs)
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows],
                                                  schema=arrow_schema)

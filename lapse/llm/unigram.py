@@ -24,7 +24,7 @@ from lapse.llm.common import worker_path
 SPACE = "▁"
 #: How far below the lowest score an unknown character is; fixed by the tokenizers.
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHED_CHARS = 64
 NOT_REACHED = float("-inf")
 
