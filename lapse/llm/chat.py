@@ -14,6 +14,8 @@ backslashes in a role are written as \\n and \\\\."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,30 +72,39 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     one conversation."""
     base = staged(nodes.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
     there = base.select(F.col("conv").alias("c"), F.col("node").alias("p"))
-    # jump: the ancestor 2**level up (null beyond the root); total: of the scores below it.
-    jump = staged(base.join(there, F.col("conv").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("p")), "left")
-                  .select("conv", "node", F.col("p").alias("up"), F.lit(1).cast("long").alias("depth"),
-                          F.col("score").alias("total")), "jump")
-    limit = max(1, base.count()).bit_length() + 1
-    levels, state = [jump.select("conv", "node", "up")], jump
-    while len(levels) <= limit and not is_empty(state.where("up is not null")):
-        above = state.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"),
-                             F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        state = staged(
-            state.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left").select(
-                "conv", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")), "jump")
-        levels.append(state.select("conv", "node", "up"))
-    rooted = state.where("up is null")
+    # up: the ancestor 2**level above (null beyond the root); total: of the scores below it.
+    first = staged(base.join(there, F.col("conv").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("p")), "left")
+                   .select("conv", "node", F.col("p").alias("up"), F.lit(1).cast("long").alias("depth"),
+                           F.col("score").alias("total")), "jump")
+    open_rows, closed = first.where("up is not null"), first.where("up is null")
+    rooted, levels = [closed], []
+    limit = max(1, base.count()).bit_length() + 1  # a circle never ends
+    while len(levels) <= limit and not is_empty(open_rows):
+        levels.append(open_rows.select("conv", "node", "up"))
+        # Conversations without an open row are finished and take no part.
+        convs = open_rows.select(F.col("conv").alias("oc")).distinct()
+        closed = staged(closed.join(convs, F.col("conv").eqNullSafe(F.col("oc")), "left_semi"), "closed")
+        above = open_rows.unionByName(closed).select(
+            F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("d2"),
+            F.col("total").alias("t2"))
+        moved = staged(
+            open_rows.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n"))).select(
+                "conv", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"),
+                (F.col("total") + F.col("t2")).alias("total")), "jump")
+        open_rows, arrived = moved.where("up is not null"), moved.where("up is null")
+        rooted.append(arrived)
+        closed = closed.unionByName(arrived)
     parents = base.where("parent is not null").select(F.col("conv").alias("c"), F.col("parent").alias("p")).distinct()
-    leaves = rooted.join(parents, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
+    leaves = reduce(DataFrame.unionByName, rooted).join(
+        parents, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")
     order = Window.partitionBy("conv").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     paths = staged(chosen.select("conv", F.col("node").alias("leaf"), "rank", "depth", "node", F.lit(0).cast("long").alias("back")),
                    "paths")
-    for level, step in enumerate(levels[:-1]):
-        # Every message within 2**level of the leaf finds the one 2**level above it.
-        above = step.select(F.col("conv").alias("c"), F.col("node").alias("n"), "up").where("up is not null")
+    for level in reversed(range(len(levels))):
+        # Every message found so far finds the one 2**level above it; from the
+        # longest step to the shortest, so that only long branches grow early.
+        above = levels[level].select(F.col("conv").alias("c"), F.col("node").alias("n"), "up")
         more = paths.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select(
             "conv", "leaf", "rank", "depth", F.col("up").alias("node"), (F.col("back") + 2**level).alias("back"))
         longer = staged(paths.unionByName(more), "paths")
