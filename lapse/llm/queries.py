@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse.llm import chat, langid, secrets, vafile, warc
-from lapse.llm.common import shared_path
+from lapse.llm.common import shared_path, staged
 from lapse.llm.latent import benchmark_matches
 from lapse.llm.packing import pack_documents
 from lapse.llm.simhash import simhash_components
@@ -34,7 +34,7 @@ def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(warc.classify(read_table(spark, sf_dir, "pages")), path)
     # The nested rows without the bytes of their records: lengths and digests are taken as those are read.
     records = warc.read_records(spark, path).withColumns({"payload": F.lit(None).cast("binary"), "body": F.lit(None).cast("binary")})
-    captures = warc.assemble(records)
+    captures = warc.assemble(staged(records, "records"))
     return captures.select(
         "response.page_id", "response.payload_bytes", "response.payload_digest", "response.record_type",
         "response.refers_to", "capture_id", F.col("request.record_id").alias("request_id"),

@@ -209,21 +209,23 @@ def assemble(records: DataFrame) -> DataFrame:
     Records without an id count as having an empty one."""
     rows = records.withColumn("record_id", F.coalesce("record_id", F.lit("")))
     anchor = F.col("warc_type").isin("response", "revisit")
-    main = rows.where(anchor).select(
-        F.col("record_id").alias("capture_id"), "warc_type", "uri", "page_id", "refers_to", "payload_digest", "http_head",
-        "payload", "payload_bytes", F.col("concurrent_to").alias("__names"))
-    side = rows.where(F.col("warc_type").isin("request", "metadata")).select(
-        "record_id", F.col("warc_type").alias("kind"), "uri", F.col("page_id").alias("side_page"), "body", "concurrent_to")
-    slim = side.select("record_id", "concurrent_to")
-    anchors = main.select(F.col("capture_id").alias("target")).distinct()
+    sidekick = F.col("warc_type").isin("request", "metadata")
+    # Which record belongs to which: from the ids alone, read from the archives once.
+    ids = staged(rows.where(anchor | sidekick).select("record_id", "warc_type", "concurrent_to"), "links")
+    slim = ids.where(sidekick)
+    anchors = ids.where(anchor).select(F.col("record_id").alias("target")).distinct()
     direct = slim.select("record_id", F.explode("concurrent_to").alias("target")).join(anchors, "target")
-    named = main.select(F.explode("__names").alias("record_id"), F.col("capture_id").alias("target"))
-    known = direct.select("record_id", "target").unionByName(named.select("record_id", "target"))
-    linked = known.groupBy("record_id").agg(F.min("target").alias("target"))
+    named = ids.where(anchor).select(F.explode("concurrent_to").alias("named"), F.col("record_id").alias("target"))
+    known = direct.select("record_id", "target").unionByName(named.select(F.col("named").alias("record_id"), "target"))
+    linked = staged(known.groupBy("record_id").agg(F.min("target").alias("target")), "linked")
     rest = slim.join(linked.select(F.col("record_id").alias("r")), F.col("record_id") == F.col("r"), "left_anti")
     via = rest.select("record_id", F.explode("concurrent_to").alias("other")).join(
         linked.select(F.col("record_id").alias("other"), "target"), "other")
-    owner = linked.unionByName(via.groupBy("record_id").agg(F.min("target").alias("target")))
+    owner = staged(linked.unionByName(via.groupBy("record_id").agg(F.min("target").alias("target"))), "owners")
+    main = rows.where(anchor).select(
+        F.col("record_id").alias("capture_id"), "warc_type", "uri", "page_id", "refers_to", "payload_digest", "http_head",
+        "payload", "payload_bytes")
+    side = rows.where(sidekick).select("record_id", F.col("warc_type").alias("kind"), "uri", F.col("page_id").alias("side_page"), "body")
     sides = side.join(owner.withColumnRenamed("record_id", "r"), F.col("record_id") == F.col("r"), "left").select(
         F.coalesce("target", "record_id").alias("cid"), "kind",
         F.struct("record_id", "uri", F.col("side_page").alias("page_id"), "body").alias("rec"))
