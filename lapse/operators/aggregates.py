@@ -12,17 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.exprs import compare, pct, pearson
+from lapse.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
 from lapse.spec import Spec, SpecError, is_numeric, require_columns, require_numeric
 
 AGG_FUNCS = ("mean", "median", "sum", "count", "min", "max", "std")
 
 
-def _quantile(col: str, q, exact: bool = True, accuracy: int = 10000):
-    """Exact linear-interpolated quantile (pandas default) or the sketch.
-    The exact form keeps a value->count map per group: fine for money and
-    integers; pass ``exact=False`` for wide continuous columns."""
-    if exact:
-        return F.percentile(F.col(col), q)
+def _quantile(col: str, q, accuracy: int = 10000):
+    """Sketch of a quantile (rank error at most n / accuracy)."""
     return F.percentile_approx(F.col(col), q, accuracy)
 
 
@@ -35,32 +32,26 @@ def get_average(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def get_median(df: DataFrame, column: str, exact: bool = True, method: str = "percentile") -> DataFrame:
-    """A2.  ``method="bracket"`` gives the same exact value with memory
-    bounded per task (see ``quantiles``), for continuous columns at scale."""
+def get_median(df: DataFrame, column: str, exact: bool = True,
+               accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """A2: exact, with memory bounded per task (see ``quantiles``), or the sketch."""
     require_numeric(df, column)
-    if method == "bracket":
-        from lapse.operators.quantiles import exact_quantiles
-
-        q = exact_quantiles(df, column, [0.5])
+    if exact:
+        q = exact_quantiles(df, column, [0.5], accuracy=accuracy)
         return q.select(F.lit(column).alias("column"), F.round("q0", 4).alias("median"))
-    return df.agg(
-        F.lit(column).alias("column"),
-        F.round(_quantile(column, 0.5, exact), 4).alias("median"),
-    )
+    return df.agg(F.lit(column).alias("column"), F.round(_quantile(column, 0.5), 4).alias("median"))
 
 
-def describe_numeric(df: DataFrame, column: str, exact: bool = True, method: str = "percentile") -> DataFrame:
-    """A3: count, mean, sample std, min, quartiles, max in one aggregate
-    (``method="bracket"``: quartiles from ``exact_quantiles``)."""
+def describe_numeric(df: DataFrame, column: str, exact: bool = True,
+                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """A3: count, mean, sample std, min, quartiles, max; the quartiles exact
+    with bounded memory per task, or from the sketch."""
     require_numeric(df, column)
-    if method == "bracket":
-        from lapse.operators.quantiles import exact_quantiles
-
-        eq = exact_quantiles(df, column, [0.25, 0.5, 0.75])
+    if exact:
+        eq = exact_quantiles(df, column, [0.25, 0.5, 0.75], accuracy=accuracy)
         q = F.array(*[eq.select(f"q{i}").scalar() for i in range(3)])
     else:
-        q = _quantile(column, [0.25, 0.5, 0.75], exact)
+        q = _quantile(column, [0.25, 0.5, 0.75])
     out = df.agg(
         F.count(column).alias("count"),
         F.avg(column).alias("mean"),
@@ -117,12 +108,12 @@ def group_rate(df: DataFrame, spec: Spec, column: str) -> DataFrame:
     )
 
 
-def _agg_expr(func: str, col: str, exact: bool = True):
+def _agg_expr(func: str, col: str):
     c = F.col(col)
     if func == "mean":
         return F.avg(c)
     if func == "median":
-        return _quantile(col, 0.5, exact)
+        return _quantile(col, 0.5)
     if func == "sum":
         return F.coalesce(F.sum(c), F.lit(0)).cast("double")  # pandas: sum of nothing is 0
     if func == "count":
@@ -133,33 +124,33 @@ def _agg_expr(func: str, col: str, exact: bool = True):
         return F.max(c).cast("double")
     if func == "std":
         return F.stddev_samp(c)  # NULL for a one-row group
-    raise SpecError(f"agg_func must be one of: {set(AGG_FUNCS)}")
+    raise SpecError(f"no such aggregate; choose from {AGG_FUNCS}")
 
 
 def group_aggregate(df: DataFrame, group_col: str, agg_col: str, agg_func: str = "mean",
                     filter_col: str | None = None, filter_val=None,
-                    require_match: bool = True, exact: bool = True, method: str = "percentile") -> DataFrame:
+                    require_match: bool = True, exact: bool = True,
+                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One aggregate per group, optional equality filter, 4 dp,
     value descending.  Output column ``{agg_func}_{agg_col}``.  A filter
     that matches nothing raises (checked with a one-row probe job)."""
     require_columns(df, [group_col, agg_col, filter_col])
     if agg_func not in AGG_FUNCS:
-        raise SpecError(f"agg_func must be one of: {set(AGG_FUNCS)}")
+        raise SpecError(f"no such aggregate; choose from {AGG_FUNCS}")
     if agg_func != "count" and not is_numeric(df, agg_col):
-        raise SpecError(f"Column '{agg_col}' is not numeric for aggregation '{agg_func}'")
+        raise SpecError(f"{agg_func} needs numbers, and {agg_col} has none")
     if filter_col and filter_val is not None:
-        df = df.where(F.col(filter_col) == F.lit(filter_val))
+        df = df.where(compare(df, filter_col, filter_val, "eq"))  # a value of the wrong type is refused here
         if require_match and df.isEmpty():
-            raise SpecError(f"No rows match filter {filter_col}={filter_val!r}")
+            raise SpecError(f"{filter_col} is {filter_val!r} in no row")
     name = f"{agg_func}_{agg_col}"
-    if agg_func == "median" and method == "bracket":
-        from lapse.operators.quantiles import exact_quantiles
-
+    if agg_func == "median" and exact:
         keyed = df.where(F.col(group_col).isNotNull())
-        q = exact_quantiles(keyed, agg_col, [0.5], [group_col]).select(group_col, F.round("q0", 4).alias(name))
+        q = exact_quantiles(keyed.select(group_col, F.col(agg_col).alias("_m")), "_m", [0.5], [group_col],
+                            accuracy).select(group_col, F.round("q0", 4).alias(name))
         groups = keyed.select(group_col).distinct()  # all-missing groups keep a NULL median
         return groups.join(q, group_col, "left").orderBy(F.desc_nulls_last(name), F.asc(group_col))
-    val = _agg_expr(agg_func, agg_col, exact)
+    val = _agg_expr(agg_func, agg_col)
     if agg_func != "count":
         val = F.round(val, 4)
     # grouping by the value column itself is allowed (the reference errors)

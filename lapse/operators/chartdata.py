@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.exprs import risk_level
-from lapse.operators.aggregates import _quantile, correlation_matrix, group_rate, tenure_trend
+from lapse.operators.aggregates import correlation_matrix, group_rate, tenure_trend
+from lapse.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles
 from lapse.operators.ranking import top_n_records
+from lapse.staging import staged
 from lapse.spec import Spec, require_numeric
 
 
@@ -94,24 +96,21 @@ def risk_distribution(scores: DataFrame, score_col: str = "risk_score", bins: in
     return histogram(scores, score_col, risk_level(F.col(score_col)), bins)
 
 
-def box_stats(df: DataFrame, spec: Spec, column: str, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, spec: Spec, column: str, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (the most extreme values
     inside the fences) and outlier count per outcome value.  The per-class
-    stats (one row per class) are joined back by broadcast."""
+    stats are staged, so their join with the rows knows their size."""
     require_numeric(df, column)
     d = df.where(F.col(spec.target_col).isNotNull() & F.col(column).isNotNull()).select(
         spec.target_col, F.col(column).cast("double").alias("_x"))
-    q = d.groupBy(spec.target_col).agg(
-        F.min("_x").alias("min"), _quantile("_x", [0.25, 0.5, 0.75], exact).alias("_q"),
-        F.max("_x").alias("max"), F.count(F.lit(1)).alias("n"),
-    ).select(
-        spec.target_col, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-        F.col("_q")[2].alias("q3"), "max",
-    ).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn(
-        "lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr")
-    ).withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
+    names = ("min", "q1", "median", "q3", "max")
+    five = exact_quantiles(d, "_x", [0.0, 0.25, 0.5, 0.75, 1.0], [spec.target_col], accuracy)
+    q = staged(five.select(spec.target_col, "n", *[F.col(f"q{i}").alias(c) for i, c in enumerate(names)])
+               .withColumn("iqr", F.col("q3") - F.col("q1"))
+               .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr"))
+               .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr")), "box")
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
-    wh = d.join(F.broadcast(q.select(spec.target_col, "lower_fence", "upper_fence")), spec.target_col).groupBy(
+    wh = d.join(q.select(spec.target_col, "lower_fence", "upper_fence"), spec.target_col).groupBy(
         spec.target_col).agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),

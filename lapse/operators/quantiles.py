@@ -15,7 +15,9 @@ answer comes from three distributed steps instead:
    values at ranks floor(p (n-1)) and ceil(p (n-1)), interpolated the way
    ``percentile`` does.
 
-The result equals ``percentile`` bit for bit.
+The result equals ``percentile`` bit for bit and takes two reads of the
+source, for any number of probabilities and groups.  Raise ``accuracy`` with
+the rows: a task ranks about 6 n / accuracy values of one group.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapse.staging import staged
+
 DEFAULT_ACCURACY = 100000
 
 
@@ -35,14 +39,17 @@ def exact_quantiles(df: DataFrame, column: str, probs, group=(), accuracy: int =
     qs = []
     for p in probs:
         qs += [max(0.0, p - margin), min(1.0, p + margin)]
-    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
-                                 F.percentile_approx("_x", qs, accuracy).alias("_b"))
-    # per-group constants joined back (plain equi-join: the number of groups
-    # is not bounded); without groups they are scalar subqueries
+    # first read; one small row per group, staged so that its size is known
+    stats = staged(base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
+                                        F.percentile_approx("_x", qs, accuracy).alias("_b")), "brackets")
     if g:
+        # broadcast if it is small; beyond that both sides are dealt out by the
+        # join itself, so a group holding a third of all rows can be split
         joined = base.join(stats, g)
     else:
-        joined = base.select("*", *[stats.select(c).scalar().alias(c) for c in ("n", "_b")])
+        row = stats.first()
+        bracket = F.array(*map(F.lit, row["_b"])) if row["_b"] else F.lit(None).cast("array<double>")
+        joined = base.select("*", F.lit(row["n"]).alias("n"), bracket.alias("_b"))
     k = len(probs)
     # the sketch brackets ranks q*n -+ n/accuracy; the interpolation needs
     # floor/ceil of p*(n-1), up to two ranks away, which the margin covers
@@ -57,7 +64,8 @@ def exact_quantiles(df: DataFrame, column: str, probs, group=(), accuracy: int =
                            F.when(lo[i].isNull() | (F.col("_x") >= lo[i]), F.col("_x")).alias("v"),
                            (hi[i].isNull() | (F.col("_x") <= hi[i])).alias("keep")) for i in range(k)]),
         lambda s: s["keep"]))).drop("keep")
-    counted = tagged.groupBy(*g, "i", "v").agg(F.count(F.lit(1)).alias("_c"))
+    # second and last read
+    counted = staged(tagged.groupBy(*g, "i", "v").agg(F.count(F.lit(1)).alias("_c")), "ranks")
     below = counted.where(F.col("v").isNull()).select(*g, "i", F.col("_c").alias("below"))
     vals = counted.where(F.col("v").isNotNull()).withColumnRenamed("v", "_x")
     w = Window.partitionBy(*g, "i").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,3 +91,11 @@ def exact_quantiles(df: DataFrame, column: str, probs, group=(), accuracy: int =
         return stats.select(*g, "n").join(out, g, "left")
     # one row even when every value is missing (quantiles NULL)
     return stats.select("n", *[out.select(f"q{i}").scalar().alias(f"q{i}") for i in range(k)])
+
+
+def stacked_quantiles(df: DataFrame, columns, probs, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Quantiles of several columns in the same two reads: one row per column
+    with a value, ``feature, n, q0, q1, ...``."""
+    rows = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])))
+    return exact_quantiles(rows, "x", probs, ["feature"], accuracy)

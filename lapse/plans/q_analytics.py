@@ -31,7 +31,7 @@ SELECT priority, round(100.0 * sum(CASE WHEN status = 'F' THEN 1 ELSE 0 END) / c
        count(*) AS count
 FROM order_facts WHERE priority IS NOT NULL GROUP BY priority"""))
 def rate_by_priority_orders(spark, sf):
-    return A.group_rate(order_facts(spark, sf), OS, "priority")
+    return A.group_rate(order_facts(spark, sf, ["status", "priority"]), OS, "priority")
 
 
 # ---------------------------------------------------------------- profiling
@@ -161,7 +161,7 @@ def describe_extendedprice(spark, sf):
 @query("median_extendedprice_bracketed", "A2", sql="""
 SELECT 'l_extendedprice' AS column, round(quantile_cont(l_extendedprice, 0.5), 4) AS median FROM lineitem""")
 def median_extendedprice_bracketed(spark, sf):
-    return A.get_median(read_table(spark, sf, "lineitem"), "l_extendedprice", method="bracket")
+    return A.get_median(read_table(spark, sf, "lineitem"), "l_extendedprice", accuracy=1000)
 
 
 @query("describe_extendedprice_bracketed", "A3", sql="""
@@ -174,7 +174,7 @@ SELECT 'l_extendedprice' AS column, count(l_extendedprice) AS count,
        round(max(l_extendedprice), 4) AS max
 FROM lineitem""")
 def describe_extendedprice_bracketed(spark, sf):
-    return A.describe_numeric(read_table(spark, sf, "lineitem"), "l_extendedprice", method="bracket")
+    return A.describe_numeric(read_table(spark, sf, "lineitem"), "l_extendedprice", accuracy=1000)
 
 
 @query("distribution_top_priority", "A4", sql=with_frames("""
@@ -233,7 +233,7 @@ FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag IS NOT NULL GROUP BY l_r
 def group_median_price_by_flag_bracketed(spark, sf):
     li = read_table(spark, sf, "lineitem")
     return A.group_aggregate(li, "l_returnflag", "l_extendedprice", "median",
-                             filter_col="l_linestatus", filter_val="F", method="bracket")
+                             filter_col="l_linestatus", filter_val="F", accuracy=1000)
 
 
 @query("group_std_one_row_groups", "A7 X9", sql="""
@@ -286,7 +286,7 @@ WHERE bucket_index IS NOT NULL GROUP BY bucket_index, tenure_bucket""")
 
 @query("tenure_trend_orders", "A10", sql=_trend_sql("order_facts", "status", "F", "total_price"))
 def tenure_trend_orders(spark, sf):
-    return A.tenure_trend(order_facts(spark, sf), OS)
+    return A.tenure_trend(order_facts(spark, sf, ["status", "tenure", "total_price"]), OS)
 
 
 @query("tenure_trend_customers", "A10", sql=_trend_sql("customer_profile", "churn", "Yes", "monthly_charges"))
