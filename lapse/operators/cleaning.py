@@ -10,23 +10,38 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
+from lapse.functions.text import strip_ws
 from lapse.spec import Spec, require_columns
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
-    """Trim every string column (driven by the schema)."""
+    """Strip blanks, tabs and line ends from every string column (driven
+    by the schema)."""
     return df.select(*[
-        F.trim(F.col(f.name)).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name)
+        strip_ws(F.col(f.name)).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name)
         for f in df.schema.fields
     ])
 
 
 def safe_numeric(df: DataFrame, column: str, to: str = "double") -> DataFrame:
     """S3: non-numeric or blank text becomes NULL (``try_cast``; a plain
-    cast raises under ANSI mode)."""
-    return df.withColumn(column, F.col(column).try_cast(to))
+    cast raises under ANSI mode), and so does a NaN."""
+    value = F.col(column).try_cast(to)
+    return df.withColumn(column, F.when(~F.isnan(value.cast("double")), value))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """A NaN in a floating column is a missing value."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating}) if floating else df
+
+
+def required_int(column: str):
+    """Cast to int; a missing value is an error."""
+    c = F.col(column)
+    return F.when(c.isNull(), F.raise_error(F.lit(f"{column} is missing in a row that is kept"))).otherwise(c).cast("int")
 
 
 @dataclass(frozen=True)
@@ -42,7 +57,7 @@ class CleanPlan:
 
 def _steps(raw: DataFrame, spec: Spec, plan: CleanPlan) -> DataFrame:
     require_columns(raw, [plan.measure, plan.tenure_col, spec.target_col, *plan.int_cols])
-    df = trim_strings(raw)
+    df = nan_to_null(trim_strings(raw))
     df = safe_numeric(df, plan.measure)
     impute = (F.col(plan.tenure_col) == 0) & F.col(plan.measure).isNull()
     return df.withColumn("_imputed", impute).withColumn(
@@ -53,11 +68,12 @@ def _steps(raw: DataFrame, spec: Spec, plan: CleanPlan) -> DataFrame:
 def clean(raw: DataFrame, spec: Spec, plan: CleanPlan) -> DataFrame:
     """S2-S8 in the reference's order: trim, safe cast, conditional impute,
     drop rows still missing the measure, int casts, binary label, full-row
-    dedupe (null-safe: two missing values are equal)."""
+    dedupe (null-safe: two missing values are equal).  A missing value in an
+    ``int_cols`` column of a row that is kept is an error."""
     df = _steps(raw, spec, plan).drop("_imputed")
     df = df.where(F.col(plan.measure).isNotNull())
     for c in plan.int_cols:
-        df = df.withColumn(c, F.col(c).cast("int"))
+        df = df.withColumn(c, required_int(c))
     df = df.withColumn(spec.label_col, spec.positive_flag().cast("int"))
     return df.dropDuplicates()
 
@@ -73,7 +89,7 @@ def clean_report(raw: DataFrame, spec: Spec, plan: CleanPlan) -> DataFrame:
     )
     kept = staged.drop("_imputed").where(F.col(plan.measure).isNotNull())
     for c in plan.int_cols:
-        kept = kept.withColumn(c, F.col(c).cast("int"))
+        kept = kept.withColumn(c, required_int(c))
     dups = kept.groupBy(*kept.columns).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicates"),
         F.count(F.lit(1)).alias("n_output"),

@@ -21,7 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1000
+from lapse.staging import staged
+
+#: None: sized from the number of distinct scores.
+DEFAULT_BUCKETS = None
 
 
 def _label(label: str | Column) -> Column:
@@ -53,24 +56,25 @@ def score_table(df: DataFrame, label: str | Column = "label", score: str | Colum
     Buckets are equal-frequency over the distinct scores (edges from
     ``percentile_approx``, assigned by binary search in ``Bucketizer``), so a
     bunched score distribution still spreads over all buckets;
-    ``buckets=None`` sizes them from the number of distinct scores."""
+    ``buckets=None`` sizes them from the number of distinct scores.  Missing
+    scores are left out; a NaN score is an error."""
     from pyspark.ml.feature import Bucketizer
 
     g = list(group)
-    s = F.col(score) if isinstance(score, str) else score
-    per = (
-        df.select(*g, s.cast("double").alias("score"), _label(label).alias("y"))
+    s = (F.col(score) if isinstance(score, str) else score).cast("double")
+    s = F.when(F.isnan(s), F.raise_error(F.lit("a score is NaN"))).otherwise(s)
+    # the only read of the scores; everything below comes from the staged table
+    per = staged(
+        df.select(*g, s.alias("score"), _label(label).alias("y"))
         .where(F.col("score").isNotNull())
         .groupBy(*g, "score")
-        .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    )
+        .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "scores")
     splits = _bucket_splits(per, buckets)
     per = Bucketizer(splits=splits, inputCol="score", outputCol="_bk").transform(per).withColumn(
         "bucket", F.col("_bk").cast("int")).drop("_bk")
     totals = {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")}
     if g:
-        # one row per group (models x folds): bounded, broadcast
-        per = per.join(F.broadcast(per.groupBy(*g).agg(*[e.alias(n) for n, e in totals.items()])), g)
+        per = per.join(staged(per.groupBy(*g).agg(*[e.alias(n) for n, e in totals.items()]), "totals"), g)
     else:
         # scalar subqueries, merged into one aggregate by the optimizer
         per = per.select("*", *[per.agg(e).scalar().alias(n) for n, e in totals.items()])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lapse.functions.exprs import risk_level
 from lapse.spec import Spec, SpecError, require_columns
+from lapse.staging import staged
 
 MAX_TOP = 100
 
@@ -57,11 +58,12 @@ def tier_counts(scores: DataFrame, score_col: str = "risk_score") -> DataFrame:
 
 
 def top_risk(scores: DataFrame, base: DataFrame, spec: Spec, n: int = 10,
-             enrich=(), score_col: str = "risk_score") -> DataFrame:
-    """The n highest scores (n clamped to 1..100), then a left join back
-    to the base table for a few attributes.  The top-k side is bounded by
-    100 rows, so it is the broadcast side."""
-    n = max(1, min(int(n), MAX_TOP))
+             enrich=(), score_col: str = "risk_score", max_n: int | None = MAX_TOP) -> DataFrame:
+    """The n highest scores, then a left join to the base table for a few
+    attributes.  n is brought into 1..``max_n`` (None: no upper bound).  The
+    base table is first cut to those ids by a semi-join with the at most n ids
+    (broadcast up to ``MAX_TOP``), so it is never shuffled."""
+    n = max(1, int(n) if max_n is None else min(int(n), max_n))
     top = (
         scores.select(spec.id_col, score_col)
         .orderBy(F.desc_nulls_last(score_col), F.asc(spec.id_col))
@@ -70,10 +72,10 @@ def top_risk(scores: DataFrame, base: DataFrame, spec: Spec, n: int = 10,
     )
     if not enrich:
         return top
-    attrs = base.select(spec.id_col, *enrich)
-    return attrs.join(F.broadcast(top), spec.id_col, "right").select(
-        spec.id_col, score_col, "risk_level", *enrich
-    )
+    top = staged(top, "top")
+    ids = top.select(spec.id_col)
+    attrs = base.select(spec.id_col, *enrich).join(F.broadcast(ids) if n <= MAX_TOP else ids, spec.id_col, "left_semi")
+    return top.join(attrs, spec.id_col, "left").select(spec.id_col, score_col, "risk_level", *enrich)
 
 
 def ledger(scores: DataFrame, spec: Spec, tiers=("High", "Medium", "Low"),

@@ -20,18 +20,21 @@ CLEAN_PLAN = S.CleanPlan(measure="total_raw", tenure_col="tenure", int_cols=("fl
 
 def raw_customers(spark, sf):
     """A CSV-like raw copy of the profile: ids and segments padded, the total
-    as text (blank at tenure 0, and also where the balance is negative),
+    as text (blank at tenure 0, and also where the balance is negative; the
+    text NaN for one segment of ASIA), tabs and line ends around some values,
     outcome missing for one priority class, and the EUROPE automobile
     customers appended a second time as exact duplicate rows."""
     cp = customer_profile(spark, sf)
     raw = cp.select(
         F.when(F.col("region") == "ASIA", F.concat(F.lit("  "), F.col("customer_id").cast("string")))
+        .when(F.col("region") == "AMERICA", F.concat(F.lit("\t"), F.col("customer_id").cast("string"), F.lit("\n")))
         .otherwise(F.col("customer_id").cast("string")).alias("customer_key"),
         F.when(F.col("has_open") == 1, F.concat(F.lit(" "), F.col("segment"), F.lit(" ")))
         .otherwise(F.col("segment")).alias("segment"),
         F.col("region"),
         F.col("tenure"),
         F.when((F.col("tenure") == 0) | (F.col("acctbal") < 0), F.lit(" "))
+        .when((F.col("region") == "ASIA") & (F.col("segment") == "MACHINERY"), F.lit("NaN"))
         .otherwise(F.col("total_charges").cast("string")).alias("total_raw"),
         F.col("has_open").cast("long").alias("flag"),
         F.when((F.col("top_priority") == "5-LOW") & (F.col("has_open") == 0), None)
@@ -44,24 +47,27 @@ def raw_customers(spark, sf):
 RAW_SQL = """
 raw_customers AS (
   WITH r AS (
-    SELECT CASE WHEN region = 'ASIA' THEN '  ' || CAST(customer_id AS VARCHAR) ELSE CAST(customer_id AS VARCHAR) END
+    SELECT CASE WHEN region = 'ASIA' THEN '  ' || CAST(customer_id AS VARCHAR)
+                WHEN region = 'AMERICA' THEN chr(9) || CAST(customer_id AS VARCHAR) || chr(10) ELSE CAST(customer_id AS VARCHAR) END
              AS customer_key,
            CASE WHEN has_open = 1 THEN ' ' || segment || ' ' ELSE segment END AS segment,
            region, tenure,
-           CASE WHEN tenure = 0 OR acctbal < 0 THEN ' ' ELSE CAST(total_charges AS VARCHAR) END AS total_raw,
+           CASE WHEN tenure = 0 OR acctbal < 0 THEN ' ' WHEN region = 'ASIA' AND segment = 'MACHINERY' THEN 'NaN' ELSE CAST(total_charges AS VARCHAR) END AS total_raw,
            CAST(has_open AS BIGINT) AS flag,
            CASE WHEN top_priority = '5-LOW' AND has_open = 0 THEN NULL ELSE churn END AS churn
     FROM customer_profile)
   SELECT * FROM r UNION ALL SELECT * FROM r WHERE region = 'EUROPE' AND trim(segment) = 'AUTOMOBILE'
 )"""
 
-CLEAN_SQL = """
+_STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_TOTAL = f"nullif(TRY_CAST({_STRIP.format(c='total_raw')} AS DOUBLE), 'NaN'::DOUBLE)"
+CLEAN_SQL = f"""
 staged AS (
-  SELECT trim(customer_key) AS customer_key, trim(segment) AS segment, trim(region) AS region, tenure,
-         CASE WHEN tenure = 0 AND TRY_CAST(trim(total_raw) AS DOUBLE) IS NULL THEN 0.0
-              ELSE TRY_CAST(trim(total_raw) AS DOUBLE) END AS total_raw,
-         tenure = 0 AND TRY_CAST(trim(total_raw) AS DOUBLE) IS NULL AS imputed,
-         flag, trim(churn) AS churn
+  SELECT {_STRIP.format(c='customer_key')} AS customer_key, {_STRIP.format(c='segment')} AS segment,
+         {_STRIP.format(c='region')} AS region, tenure,
+         CASE WHEN tenure = 0 AND {_TOTAL} IS NULL THEN 0.0 ELSE {_TOTAL} END AS total_raw,
+         tenure = 0 AND {_TOTAL} IS NULL AS imputed,
+         flag, {_STRIP.format(c='churn')} AS churn
   FROM raw_customers)"""
 
 
@@ -116,7 +122,7 @@ FROM (
 @query("chart_histogram_total_price_by_status", "C3", sql=with_frames(
     _hist_sql("order_facts", "total_price", "status", 30, "status IS NOT NULL")))
 def chart_histogram(spark, sf):
-    return C.distribution_by_outcome(order_facts(spark, sf), ORDER_SPEC, "total_price", 30)
+    return C.distribution_by_outcome(order_facts(spark, sf, ["status", "total_price"]), ORDER_SPEC, "total_price", 30)
 
 
 @query("chart_tenure_trend", "C4", sql=with_frames("""
@@ -133,7 +139,7 @@ FROM (SELECT *,
       FROM order_facts)
 WHERE bucket_index IS NOT NULL GROUP BY bucket_index, tenure_bucket"""))
 def chart_tenure_trend(spark, sf):
-    return C.tenure_chart(order_facts(spark, sf), ORDER_SPEC)
+    return C.tenure_chart(order_facts(spark, sf, ["status", "tenure", "total_price"]), ORDER_SPEC)
 
 
 @query("chart_risk_distribution", "C5", sql=with_frames(
@@ -158,7 +164,7 @@ SELECT f.status, f.n, round(mn, 4) AS min, round(q1, 4) AS q1, round(med, 4) AS
 FROM f JOIN d ON f.status = d.status
 GROUP BY f.status, f.n, mn, q1, med, q3, mx, iqr, lf, uf""", _BOX_CTES))
 def chart_box(spark, sf):
-    return C.box_stats(order_facts(spark, sf), ORDER_SPEC, "total_price")
+    return C.box_stats(order_facts(spark, sf, ["status", "total_price"]), ORDER_SPEC, "total_price")
 
 
 @query("chart_top_risk", "C7", sql=with_frames("""
@@ -198,4 +204,4 @@ def chart_risk_gauge(spark, sf):
 @query("chart_tenure_density", "C11", sql=with_frames(
     _hist_sql("order_facts", "tenure", "status", 25, "status IS NOT NULL", density=True)))
 def chart_tenure_density(spark, sf):
-    return C.density_by_outcome(order_facts(spark, sf), ORDER_SPEC, "tenure", 25)
+    return C.density_by_outcome(order_facts(spark, sf, ["status", "tenure"]), ORDER_SPEC, "tenure", 25)

@@ -6,7 +6,7 @@ outcome = order status 'F'.  Both are built with joins and aggregates only;
 the per-customer aggregate is a partial (map-side) aggregate, so a customer
 holding a third of all orders does not land whole in one task.
 
-Each frame has a DuckDB twin in ``lapse.plans.oracle`` for the correctness
+Each frame has a DuckDB twin in ``lapse.plans.sqlframes`` for the correctness
 gate.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lapse.sources.tables import read_table
 from lapse.spec import Spec
+from lapse.staging import staged
 
 CHURN_GAP_DAYS = 300
 
@@ -94,30 +95,37 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Columns of ``order_facts`` that need another table than orders.
+_ORDER_JOINS = {"tenure": "first", "segment": "customer", "acctbal": "customer"}
+
+
+def order_facts(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    """``columns``: the ones wanted (all by default); joins that none of them
+    needs are not made.  What is joined to the orders is staged, so a customer
+    with very many orders can be split, or the other side is broadcast if its
+    size allows."""
+    wanted = list(columns or ("order_id", "customer_id", "status", "priority", "segment", "tenure", "total_price", "acctbal"))
+    joins = {_ORDER_JOINS[c] for c in wanted if c in _ORDER_JOINS}
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    first = orders.groupBy(F.col("o_custkey").alias("f_custkey")).agg(
-        F.min("o_orderdate").cast("date").alias("first_order")
-    )
-    # both joins are keyed on the customer: one shuffle of orders serves both
-    j = orders.join(first, orders.o_custkey == first.f_custkey).join(
-        customer, orders.o_custkey == customer.c_custkey
-    )
-    return j.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_orderpriority").alias("priority"),
-        F.col("c_mktsegment").alias("segment"),
-        F.floor(F.datediff(F.col("o_orderdate").cast("date"), "first_order") / 30)
-        .cast("int")
-        .alias("tenure"),
-        F.col("o_totalprice").alias("total_price"),
-        F.col("c_acctbal").alias("acctbal"),
-    )
+    j = orders
+    if "first" in joins:
+        first = staged(orders.groupBy(F.col("o_custkey").alias("f_custkey")).agg(
+            F.min("o_orderdate").cast("date").alias("first_order")), "first-orders")
+        j = j.join(first, F.col("o_custkey") == F.col("f_custkey"))
+    if "customer" in joins:
+        customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+        j = j.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    made = {
+        "order_id": F.col("o_orderkey"), "customer_id": F.col("o_custkey"), "status": F.col("o_orderstatus"),
+        "priority": F.col("o_orderpriority"), "total_price": F.col("o_totalprice"),
+    }
+    if "first" in joins:
+        made["tenure"] = F.floor(F.datediff(F.col("o_orderdate").cast("date"), "first_order") / 30).cast("int")
+    if "customer" in joins:
+        made |= {"segment": F.col("c_mktsegment"), "acctbal": F.col("c_acctbal")}
+    return j.select(*[made[c].alias(c) for c in wanted])
 
 
 def recency_scores(profile: DataFrame, spec: Spec = PROFILE_SPEC) -> DataFrame:
