@@ -7,19 +7,16 @@ shuffle, no explode).  Tree models fall back to their global importances.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse.operators import features as FT
-from lapse.operators.models import TrainedModel
+from lapse.operators.models import TrainedModel, linear_terms, report_of
 
 
 def _coefficients(model: TrainedModel):
-    clf = model.classifier
-    if hasattr(clf, "coefficients"):
-        return [float(x) for x in clf.coefficients.toArray()]
-    return None
+    linear = linear_terms(model.classifier)
+    return linear[0] if linear else None
 
 
 def _importances(model: TrainedModel):
@@ -44,7 +41,7 @@ def global_importance(spark: SparkSession, model: TrainedModel) -> DataFrame:
 def top_factors(model: TrainedModel, df: DataFrame, n_top: int = 5, keep=()) -> DataFrame:
     """Per row, the ``n_top`` features with the largest absolute
     rounded attribution (ties keep feature order); direction is
-    increases_risk when the attribution is > 0.  ``raw_value`` is the input
+    increases_risk when the unrounded attribution is > 0.  ``raw_value`` is the input
     value as text.  For tree models, the global importances stand in and the
     direction is 'model-derived'."""
     spec = model.spec
@@ -52,21 +49,20 @@ def top_factors(model: TrainedModel, df: DataFrame, n_top: int = 5, keep=()) ->
     keep = [spec.id_col, *[k for k in keep if k != spec.id_col]]
     raw = F.array(*[F.col(c).cast("string") for c in names])
     x = FT.transform_features(df.select(*keep, *names, raw.alias("_raw")), model.features,
-                              keep=keep + ["_raw"])
+                              keep=keep + ["_raw"], vector_col=None)
     coefs = _coefficients(model)
     if coefs is not None:
-        contrib = F.zip_with(F.array(*[F.lit(c) for c in coefs]), vector_to_array(F.col("features")),
-                             lambda c, v: F.round(c * v, 4))
+        exact = F.array(*[F.lit(c) * F.col(n) for c, n in zip(coefs, names, strict=True)])
         direction = lambda a: F.when(a > 0, "increases_risk").otherwise("decreases_risk")
     else:
         imp, _ = _importances(model)
-        contrib = F.array(*[F.lit(round(v, 4)) for v in imp])
+        exact = F.array(*[F.lit(v) for v in imp])
         direction = lambda a: F.lit("model-derived")
     items = F.transform(
         F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("_raw").alias("raw_value"),
-                     contrib.alias("attribution"), F.sequence(F.lit(0), F.lit(len(names) - 1)).alias("pos")),
+                     exact.alias("exact"), F.sequence(F.lit(0), F.lit(len(names) - 1)).alias("pos")),
         lambda s: F.struct(s["feature"].alias("feature"), s["raw_value"].alias("raw_value"),
-                           s["attribution"].alias("attribution"), direction(s["attribution"]).alias("direction"),
+                           F.round(s["exact"], 4).alias("attribution"), direction(s["exact"]).alias("direction"),
                            s["pos"].alias("pos")),
     )
     ordered = F.array_sort(items, lambda a, b: F.when(F.abs(a["attribution"]) > F.abs(b["attribution"]), -1)
@@ -78,9 +74,10 @@ def top_factors(model: TrainedModel, df: DataFrame, n_top: int = 5, keep=()) ->
     return x.select(*keep, top.alias("top_factors"))
 
 
-def model_info(spark: SparkSession, model: TrainedModel, report: DataFrame, top: int = 10) -> DataFrame:
-    """The metrics table plus the top global importances, long form
-    (model, scope, metric, value)."""
+def model_info(spark: SparkSession, model: TrainedModel, report: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """The metrics table (of a loaded model: as saved with it) plus the
+    top global importances, long form (model, scope, metric, value)."""
+    report = report if report is not None else report_of(spark, model)
     imp = global_importance(spark, model).limit(top)
     imp_long = imp.select(F.lit(model.name).alias("model"), F.lit("importance").alias("scope"),
                           F.col("feature").alias("metric"), F.col("importance").alias("value"))

@@ -2,9 +2,9 @@
 
 Fitted state is a handful of constants per feature (median, mean, std,
 mode, category list), computed by distributed aggregates and kept as a
-small ``FeatureModel``.  Category lists are collected only after their
-size is checked; beyond ``max_inline_categories`` the encoding is a join
-against the fitted (feature, value, index) table instead of a literal map.
+small ``FeatureModel``.  A feature of up to ``INLINE_CATEGORIES`` values is
+encoded by a literal map; beyond that the fitted (value, index) table stays a
+distributed table in the shared folder and the encoding is a join with it.
 
 The stratified split and fold assignment are exact (class shares to the
 row) without a window over a whole class: rows are ordered by a seeded
@@ -20,8 +20,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapse.operators.quantiles import stacked_quantiles
 from lapse.spec import Spec, SpecError, require_columns
+from lapse.staging import shared_path, staged
 
+#: Categories of a feature that are kept on the driver and in the plan.
+INLINE_CATEGORIES = 1000
 
 
 def project_features(df: DataFrame, spec: Spec, keep=()) -> DataFrame:
@@ -30,7 +34,7 @@ def project_features(df: DataFrame, spec: Spec, keep=()) -> DataFrame:
     cols = [spec.id_col, *spec.features]
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise SpecError(f"Missing columns for feature preparation: {missing}")
+        raise SpecError(f"these features or ids are not in the table: {', '.join(missing)}")
     return df.select(*cols, *[k for k in keep if k not in cols])
 
 
@@ -48,7 +52,8 @@ def assign_split(df: DataFrame, spec: Spec, test_fraction: float = 0.2, folds: i
     ``exact``: per class, the round(test_fraction * n) rows with the
     smallest hash go to test, and train rows are dealt to folds by rank, so
     fold sizes differ by at most one per class.  ``hash``: no shuffle at
-    all, shares are exact only in expectation."""
+    all, shares are exact only in expectation.  Rows without a label are a
+    class of their own: every row comes back."""
     df = spec.with_label(df)
     h = _hash(spec, seed)
     if method == "hash":
@@ -67,7 +72,9 @@ def assign_split(df: DataFrame, spec: Spec, test_fraction: float = 0.2, folds: i
     hist = hist.select(lab, "_r", F.coalesce(F.sum("_c").over(wcum), F.lit(0)).alias("_before"),
                        F.sum("_c").over(Window.partitionBy(lab)).alias("_n"))
     wrow = Window.partitionBy(lab, "_r").orderBy("_h", F.col(spec.id_col).cast("string"))
-    ranked = keyed.withColumn("_rn", F.row_number().over(wrow)).join(hist, [lab, "_r"])
+    ranked = keyed.withColumn("_rn", F.row_number().over(wrow)).join(
+        hist.select(F.col(lab).alias("_lab"), F.col("_r").alias("_r2"), "_before", "_n"),
+        F.col(lab).eqNullSafe(F.col("_lab")) & (F.col("_r") == F.col("_r2")))
     rank = F.col("_before") + F.col("_rn") - 1
     k_test = F.round(F.col("_n") * F.lit(float(test_fraction)), 0).cast("long")
     is_test = rank < k_test
@@ -79,13 +86,15 @@ def assign_split(df: DataFrame, spec: Spec, test_fraction: float = 0.2, folds: i
 
 
 def class_weights(df: DataFrame, spec: Spec, weight_col: str = "weight") -> DataFrame:
-    """M9: balanced weights n / (2 * n_class), joined by broadcast (one row
-    per class)."""
+    """M9: balanced weights n / (2 * n_class).  The label is 0 or 1, so the
+    weights are two literals after one count; rows without a label have a null
+    weight and are not counted."""
     df = spec.with_label(df)
-    counts = df.groupBy(spec.label_col).agg(F.count(F.lit(1)).alias("_nc"))
-    n, k = counts.agg(F.sum("_nc")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
-    w = counts.select(spec.label_col, (n / (k * F.col("_nc"))).alias(weight_col))
-    return df.join(F.broadcast(w), spec.label_col)
+    y = F.col(spec.label_col).cast("int")
+    n0, n1 = df.agg(F.count_if(y == 0), F.count_if(y == 1)).first()
+    n, k = n0 + n1, (n0 > 0) + (n1 > 0)
+    w = F.when(y == 0, F.lit(n / (k * n0) if n0 else None)).when(y == 1, F.lit(n / (k * n1) if n1 else None))
+    return df.withColumn(weight_col, w.cast("double"))
 
 
 # ---------------------------------------------------------------- fit / transform
@@ -99,6 +108,7 @@ class FeatureModel:
     stds: dict = field(default_factory=dict)
     modes: dict = field(default_factory=dict)
     categories: dict = field(default_factory=dict)  # feature -> sorted list of values
+    tables: dict = field(default_factory=dict)  # feature -> path of its (value, index) table, if it has too many
 
     @property
     def names(self) -> list[str]:
@@ -117,29 +127,47 @@ def category_counts(df: DataFrame, columns) -> DataFrame:
     )
 
 
+def _indexed(counts: DataFrame, path: str) -> None:
+    """Write (feature, value, index): the rank of each value among the sorted
+    values of its feature.  Values are dealt out by range, so each task ranks
+    its own run and only run sizes are added up."""
+    spark = counts.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = staged(counts.select("feature", "value").repartitionByRange(parts, "feature", "value")
+                  .withColumn("run", F.spark_partition_id()), "runs")
+    sizes = runs.groupBy("feature", "run").agg(F.count(F.lit(1)).alias("n"))  # at most runs + features rows
+    before = Window.partitionBy("feature").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("feature", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("feature", "run").orderBy("value"))
+    runs.withColumn("own", own).join(F.broadcast(sizes), ["feature", "run"]).select(
+        "feature", "value", (F.col("before") + F.col("own") - 1).cast("double").alias("index")).write.parquet(path)
+
+
 def fit_features(train: DataFrame, spec: Spec, exact: bool = True,
-                 max_inline_categories: int = 100000) -> FeatureModel:
+                 inline_categories: int = INLINE_CATEGORIES, accuracy: int = 100000) -> FeatureModel:
     """M2-M5 fitted on ``train``: exact interpolated median, mean and
     population std of the imputed values (zero std -> 1), most frequent
-    value (lowest on ties) and the sorted category list per feature."""
+    value (lowest on ties) and the sorted categories per feature.
+    ``inline_categories`` only chooses where they are kept."""
     num, cat = list(spec.numeric), list(spec.categorical)
     require_columns(train, num + cat)
     model = FeatureModel(num, cat)
     if num:
-        # one pass: median, count, and the moments of the present values;
-        # the mean / population std after median imputation follow exactly
-        # (Chan's parallel-variance combination with n_missing copies of the
-        # median), so no second pass over the data is needed
+        # the mean and population std after median imputation follow exactly
+        # from the moments of the present values (Chan's parallel-variance
+        # combination with n_missing copies of the median)
         aggs = []
         for i, c in enumerate(num):
             x = F.col(c).cast("double")
-            med = F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, 10000)
-            aggs += [med.alias(f"q{i}"), F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                     F.var_pop(x).alias(f"v{i}")]
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+            if not exact:
+                aggs.append(F.percentile_approx(x, 0.5, 10000).alias(f"q{i}"))
         row = train.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+        medians = {r["feature"]: r["q0"] for r in stacked_quantiles(train, num, [0.5], accuracy).collect()} if exact \
+            else {c: row[f"q{i}"] for i, c in enumerate(num)}
         n = row["rows"]
         for i, c in enumerate(num):
-            med = float(row[f"q{i}"]) if row[f"q{i}"] is not None else 0.0
+            med = float(medians[c]) if medians.get(c) is not None else 0.0
             na = row[f"n{i}"]
             nb = n - na
             if na == 0:
@@ -154,35 +182,52 @@ def fit_features(train: DataFrame, spec: Spec, exact: bool = True,
             std = var ** 0.5
             model.stds[c] = std if std > 0 else 1.0
     if cat:
-        # bounded collect: at most max_inline_categories + 1 rows reach the driver
-        counts = category_counts(train, cat).limit(max_inline_categories + 1).collect()
-        if len(counts) > max_inline_categories:
-            raise SpecError(
-                f"more than max_inline_categories={max_inline_categories} categories; "
-                "encode with a join against the fitted category table instead"
-            )
-        by = {c: [] for c in cat}
-        for r in counts:
-            by[r["feature"]].append((r["value"], r["count"]))
-        for c in cat:
-            vals = by[c]
-            model.categories[c] = sorted(v for v, _ in vals)
-            # most frequent, lowest value on ties
-            model.modes[c] = min(vals, key=lambda vc: (-vc[1], vc[0]))[0] if vals else None
+        counts = staged(category_counts(train, cat), "categories")
+        # per feature: how many values, and the most frequent (lowest on ties)
+        top = {r["feature"]: r for r in counts.groupBy("feature").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct((-F.col("count")).alias("c"), F.col("value").alias("v"))).alias("m")).collect()}
+        few = [c for c in cat if c not in top or top[c]["n"] <= inline_categories]
+        kept = {c: [] for c in few}
+        for r in counts.where(F.col("feature").isin(few)).collect():  # at most inline_categories a feature
+            kept[r["feature"]].append(r["value"])
+        model.categories = {c: sorted(v) for c, v in kept.items()}
+        model.modes = {c: top[c]["m"]["v"] if c in top else None for c in cat}
+        many = [c for c in cat if c not in few]
+        if many:
+            path = shared_path(train.sparkSession, "encoder")
+            _indexed(counts.where(F.col("feature").isin(many)), path)
+            model.tables = dict.fromkeys(many, path)
     return model
 
 
+def _join_indexes(df: DataFrame, model: FeatureModel) -> DataFrame:
+    """``df`` with _i_<feature> for the features encoded by a join.  The
+    tables are read from files, so their size decides how they are joined."""
+    for c, path in model.tables.items():
+        table = df.sparkSession.read.parquet(path).where(F.col("feature") == c).select(
+            F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"_i_{c}"))
+        value = F.coalesce(F.col(c).cast("string"), F.lit(model.modes.get(c)))
+        df = df.join(table, value == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+    return df
+
+
 def transform_features(df: DataFrame, model: FeatureModel, keep=(), digits: int | None = None,
                        vector_col: str | None = "features") -> DataFrame:
     """Apply the fitted model: numeric -> (coalesce(x, median) - mean) / std;
     categorical -> index in the sorted category list of coalesce(x, mode),
-    -1 when unseen (M5).  Pure column expressions, one projection."""
+    -1 when unseen (M5).  Column expressions in one projection, after one
+    join for each feature with too many categories for a literal map."""
+    df = _join_indexes(df, model)
     out = []
     for c in model.numeric:
         e = (F.coalesce(F.col(c).cast("double"), F.lit(model.medians[c])) - F.lit(model.means[c])) / F.lit(
             model.stds[c])
         out.append((F.round(e, digits) if digits is not None else e).alias(c))
     for c in model.categorical:
+        if c in model.tables:
+            out.append(F.coalesce(F.col(f"_i_{c}"), F.lit(-1.0)).alias(c))
+            continue
         cats = model.categories.get(c, [])
         mapping = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))]) \
             if cats else None
@@ -201,10 +246,9 @@ def feature_defaults(df: DataFrame, spec: Spec) -> DataFrame:
     num, cat = list(spec.numeric), list(spec.categorical)
     rows = []
     if num:
-        med = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in num])
-        rows.append(med.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("numeric_default"),
-                     F.lit(None).cast("string").alias("categorical_default")) for c in num]))))
+        med = stacked_quantiles(df, num, [0.5])
+        rows.append(med.select("feature", F.col("q0").alias("numeric_default"),
+                               F.lit(None).cast("string").alias("categorical_default")))
     if cat:
         modes = category_counts(df, cat).groupBy("feature").agg(
             F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v"))).alias("m"))

@@ -20,18 +20,57 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.functions.exprs import DEFAULT_THRESHOLD
+from lapse.functions.exprs import DEFAULT_THRESHOLD, pearson
 from lapse.operators import features as FT
 from lapse.operators import metrics as MX
 from lapse.spec import Spec, SpecError
 
+
+@dataclass(frozen=True)
+class LinearClassifier:
+    """Coefficients over the prepared features, in their order."""
+    coefficients: tuple[float, ...]
+    intercept: float = 0.0
+
+
+def linear_terms(clf):
+    """(coefficients, intercept) of a linear model, else None."""
+    if not hasattr(clf, "coefficients"):
+        return None
+    c = clf.coefficients
+    return [float(x) for x in (c.toArray() if hasattr(c, "toArray") else c)], float(clf.intercept)
+
+
+def add_score(df: DataFrame, clf, names, out: str = "score") -> DataFrame:
+    """Probability of the positive class from the prepared feature columns
+    ``names``.  A linear model is a column expression (dot product and
+    sigmoid); others score the assembled vector."""
+    linear = linear_terms(clf)
+    if linear is None:
+        x = VectorAssembler(inputCols=list(names), outputCol="features").transform(df)
+        scored = clf.transform(x)
+        return scored.withColumn(out, vector_to_array(F.col("probability"))[1]).select(*df.columns, out)
+    coefficients, intercept = linear
+    z = F.lit(intercept)
+    for c, name in zip(coefficients, names, strict=True):
+        z = z + F.lit(c) * F.col(name)
+    return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+
+
 # Candidate hyper-parameters.  Fixed values: logistic regression with L2,
 # C = 1, at most 1000 iterations, balanced class weights; random forest with
 # 200 trees; gradient boosting with 300 rounds, learning rate 0.05, depth 6.
+# Trees live on the driver, so their size must not grow with the rows: a leaf
+# holds at least MIN_LEAF_SHARE of them (see make_estimator).
+MIN_LEAF_SHARE = 1e-5
+# With early stopping, boosting ends before its last round when EARLY_STOP_SHARE
+# of the training rows, held out by a hash of the id, improve by less than EARLY_STOP_TOL.
+EARLY_STOP_SHARE, EARLY_STOP_TOL = 0.1, 0.01
 CANDIDATES = {
     "LogisticRegression": {"maxIter": 1000},
     "RandomForest": {"numTrees": 200, "maxDepth": 30},
@@ -48,14 +87,10 @@ def make_estimator(name: str, weight_sum: float, seed: int = 42, **overrides):
         return LogisticRegression(regParam=1.0 / weight_sum, elasticNetParam=0.0, standardization=False,
                                   tol=1e-6, **common, **p)
     if name == "RandomForest":
-        return RandomForestClassifier(seed=seed, **common, **p)
+        return RandomForestClassifier(seed=seed, minWeightFractionPerNode=MIN_LEAF_SHARE, **common, **p)
     if name == "GradientBoosting":
-        return GBTClassifier(seed=seed, **common, **p)
-    raise SpecError(f"unknown model {name!r}; choose from {list(CANDIDATES)}")
-
-
-def positive_probability(df: DataFrame, prob_col: str = "probability", out: str = "score") -> DataFrame:
-    return df.withColumn(out, vector_to_array(F.col(prob_col))[1])
+        return GBTClassifier(seed=seed, minWeightFractionPerNode=MIN_LEAF_SHARE, **common, **p)
+    raise SpecError(f"no candidate is called {name!r}")
 
 
 def _weighted(df: DataFrame, spec: Spec) -> DataFrame:
@@ -64,15 +99,21 @@ def _weighted(df: DataFrame, spec: Spec) -> DataFrame:
     return FT.class_weights(df, spec, "weight")
 
 
-def fit_one(train: DataFrame, spec: Spec, name: str, seed: int = 42, **overrides):
-    """Fit the feature model and one classifier on ``train`` (kept
-    persisted while the fitting passes run over it)."""
-    train = train.persist()
+def fit_one(train: DataFrame, spec: Spec, name: str, seed: int = 42, early_stop: bool = False, **overrides):
+    """Fit the feature model and one classifier on the labelled rows of
+    ``train`` (kept persisted while the fitting passes run over it).
+    ``early_stop``: boosting may end before its last round (see above)."""
+    train = train.where(F.col(spec.label_col).isNotNull()).persist()
     prepared = None
     try:
         fm = FT.fit_features(train, spec)
         w = _weighted(train, spec)
-        prepared = FT.transform_features(w, fm, keep=[spec.id_col, spec.label_col, "weight"]).persist()
+        prepared = FT.transform_features(w, fm, keep=[spec.id_col, spec.label_col, "weight"])
+        if early_stop and name == "GradientBoosting":
+            u = F.pmod(F.xxhash64(F.col(spec.id_col).cast("string"), F.lit(seed)), F.lit(1000)) / 1000.0
+            prepared = prepared.withColumn("held_out", u < EARLY_STOP_SHARE)
+            overrides = {"validationIndicatorCol": "held_out", "validationTol": EARLY_STOP_TOL, **overrides}
+        prepared = prepared.persist()
         total_w = prepared.agg(F.sum("weight")).first()[0]
         clf = make_estimator(name, total_w, seed, **overrides).fit(prepared)
     finally:
@@ -83,12 +124,31 @@ def fit_one(train: DataFrame, spec: Spec, name: str, seed: int = 42, **overrides
 
 
 def score_with(df: DataFrame, fm, clf, keep) -> DataFrame:
-    x = FT.transform_features(df, fm, keep=keep)
-    return positive_probability(clf.transform(x)).select(*keep, "score")
+    x = FT.transform_features(df, fm, keep=keep, vector_col=None)
+    return add_score(x, clf, fm.names).select(*keep, "score")
+
+
+def correlation_model(df: DataFrame, spec: Spec, digits: int = 6) -> "TrainedModel":
+    """A linear scorer in closed form: each coefficient is the correlation of
+    the prepared feature with the outcome, rounded; the intercept is minus
+    what the average row would score.  No iterative fit, so SQL can say the
+    same.  Rows without an outcome take part as in M1-M5, not in the
+    correlations."""
+    df = spec.with_label(df)
+    fm = FT.fit_features(df, spec)
+    y = F.when(F.col(spec.target_col).isNotNull(), F.col(spec.label_col)).alias("_y")
+    x = FT.transform_features(df.withColumn("_y", y), fm, keep=["_y"], vector_col=None)
+    row = x.agg(*[F.round(pearson(c, "_y"), digits).alias(f"r{i}") for i, c in enumerate(fm.names)],
+                *[F.round(F.avg(c), digits).alias(f"m{i}") for i, c in enumerate(fm.names)]).first()
+    r = [row[f"r{i}"] or 0.0 for i in range(len(fm.names))]
+    intercept = 0.0
+    for i, c in enumerate(r):
+        intercept -= round(c * (row[f"m{i}"] or 0.0), digits)
+    return TrainedModel(spec, "Correlation", fm, LinearClassifier(tuple(r), round(intercept, digits)))
 
 
 def cross_validate(train: DataFrame, spec: Spec, names=None, folds: int = 5, seed: int = 42,
-                   overrides: dict | None = None, parallelism: int = 4) -> DataFrame:
+                   overrides: dict | None = None, parallelism: int = 4, early_stop: bool = False) -> DataFrame:
     """Per model and fold, ROC-AUC, average precision, F1, recall and
     precision at 0.5 on the held-out fold.  ``train`` must carry a ``fold``
     column (``assign_split``).  The (model, fold) fits are submitted from
@@ -99,13 +159,14 @@ def cross_validate(train: DataFrame, spec: Spec, names=None, folds: int = 5, see
 
     names = list(names or CANDIDATES)
     overrides = overrides or {}
-    train = spec.with_label(train).persist()
+    train = spec.with_label(train)
+    train = FT.project_features(train, spec, keep=[spec.label_col, "fold"]).persist()
 
     def run(task):
         name, f = task
         fit_rows = train.where(F.col("fold") != f)
         val_rows = train.where(F.col("fold") == f)
-        fm, clf = fit_one(fit_rows, spec, name, seed, **overrides.get(name, {}))
+        fm, clf = fit_one(fit_rows, spec, name, seed, early_stop, **overrides.get(name, {}))
         s = score_with(val_rows, fm, clf, [spec.id_col, spec.label_col])
         # cut the lineage of the fit: a lost executor recomputes from here
         return s.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), "label", "score").checkpoint(eager=True)
@@ -129,16 +190,22 @@ def cross_validate(train: DataFrame, spec: Spec, names=None, folds: int = 5, see
         train.unpersist()
 
 
-def summarize_cv(cv: DataFrame) -> DataFrame:
-    """Mean over folds per (model, metric); population std of ROC-AUC."""
-    return cv.groupBy("model", "metric").agg(
-        F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"))
+def summarize_cv(cv: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Mean and population std over folds per (model, metric)."""
+    mean, std = F.avg("value"), F.stddev_pop("value")
+    if digits is not None:
+        mean, std = F.round(mean, digits), F.round(std, digits)
+    return cv.groupBy("model", "metric").agg(mean.alias("mean"), std.alias("std"))
 
 
 def select_best(summary: DataFrame) -> str:
-    """Highest mean ROC-AUC (one small row)."""
+    """Highest mean ROC-AUC (one small row); give it unrounded means.
+    Ties go to the candidate that comes first."""
+    order = F.lit(0)
+    for i, name in enumerate(CANDIDATES):
+        order = F.when(F.col("model") == name, i).otherwise(order)
     row = (summary.where(F.col("metric") == "roc_auc")
-           .orderBy(F.desc("mean"), F.asc("model")).limit(1).first())
+           .orderBy(F.desc("mean"), order, F.asc("model")).limit(1).first())
     return row["model"]
 
 
@@ -152,13 +219,22 @@ class TrainedModel:
     metadata: dict = field(default_factory=dict)
 
     def save(self, path: str) -> None:
-        """Classifier via ML persistence, fitted constants and
-        metadata as JSON next to it."""
-        self.classifier.write().overwrite().save(os.path.join(path, "classifier"))
-        blob = {"name": self.name, "threshold": self.threshold, "metadata": self.metadata,
-                "features": asdict(self.features), "spec": {k: v for k, v in asdict(self.spec).items()}}
-        # written through Spark so that the path may be any shared filesystem
+        """Classifier via ML persistence; fitted constants and metadata
+        (model name, class counts, CV results, test metrics, threshold) as
+        JSON next to it; encoder tables as Parquet."""
         spark = SparkSession.getActiveSession()
+        features, linear = asdict(self.features), None
+        if isinstance(self.classifier, LinearClassifier):
+            linear = [list(self.classifier.coefficients), self.classifier.intercept]
+        else:
+            self.classifier.write().overwrite().save(os.path.join(path, "classifier"))
+        if self.features.tables:
+            kept = os.path.join(path, "encoder")
+            spark.read.parquet(next(iter(self.features.tables.values()))).write.mode("overwrite").parquet(kept)
+            features["tables"] = dict.fromkeys(self.features.tables, kept)
+        blob = {"name": self.name, "threshold": self.threshold, "metadata": self.metadata, "linear": linear,
+                "features": features, "spec": {k: v for k, v in asdict(self.spec).items()}}
+        # written through Spark so that the path may be any shared filesystem
         spark.createDataFrame([(json.dumps(blob, default=list),)], "value string").coalesce(1) \
             .write.mode("overwrite").text(os.path.join(path, "model_json"))
 
@@ -166,17 +242,48 @@ class TrainedModel:
     def load(path: str) -> "TrainedModel":
         spark = SparkSession.getActiveSession()
         blob = json.loads(spark.read.text(os.path.join(path, "model_json")).first()[0])
-        loader = {"LogisticRegression": LogisticRegressionModel, "RandomForest": RandomForestClassificationModel,
-                  "GradientBoosting": GBTClassificationModel}[blob["name"]]
-        clf = loader.load(os.path.join(path, "classifier"))
+        if blob.get("linear"):
+            clf = LinearClassifier(tuple(blob["linear"][0]), blob["linear"][1])
+        else:
+            loader = {"LogisticRegression": LogisticRegressionModel, "RandomForest": RandomForestClassificationModel,
+                      "GradientBoosting": GBTClassificationModel}[blob["name"]]
+            clf = loader.load(os.path.join(path, "classifier"))
         sp = blob["spec"]
         spec = Spec(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in sp.items()})
         fm = FT.FeatureModel(**blob["features"])
         return TrainedModel(spec, blob["name"], fm, clf, blob["threshold"], blob["metadata"])
 
 
+def logistic_gradient(df: DataFrame, model: TrainedModel, test_fraction: float = 0.2, folds: int = 5,
+                      seed: int = 42) -> DataFrame:
+    """(parameter, gradient) of the penalised, weighted mean loss of a logistic
+    regression at its coefficients, over the rows it was trained on: near zero
+    if the fit converged."""
+    spec = model.spec
+    slim = FT.project_features(spec.with_label(df), spec, keep=[spec.label_col])
+    rows = _weighted(FT.assign_split(slim, spec, test_fraction, folds, seed).where(F.col("split") == "train"), spec)
+    x = FT.transform_features(rows, model.features, keep=[spec.label_col, "weight"], vector_col=None)
+    names = model.features.names
+    error = F.col("weight") * (F.col("_p") - F.col(spec.label_col))
+    sums = add_score(x, model.classifier, names, "_p").agg(
+        F.sum("weight").alias("w"), F.sum(error).alias("g"), *[F.sum(error * F.col(c)).alias(f"g{i}") for i, c in enumerate(names)])
+    coefficients, _ = linear_terms(model.classifier)
+    parts = [F.struct(F.lit("intercept").alias("parameter"), (F.col("g") / F.col("w")).alias("gradient"))]
+    parts += [F.struct(F.lit(c).alias("parameter"), ((F.col(f"g{i}") + F.lit(b)) / F.col("w")).alias("gradient"))
+              for i, (c, b) in enumerate(zip(names, coefficients, strict=True))]
+    return sums.select(F.inline(F.array(*parts)))
+
+
+REPORT = "model string, scope string, metric string, value double"
+
+
+def report_of(spark: SparkSession, model: TrainedModel) -> DataFrame:
+    """The metrics table of a trained or loaded model (model, scope, metric, value)."""
+    return spark.createDataFrame([tuple(r) for r in model.metadata.get("report", [])], REPORT)
+
+
 def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction: float = 0.2, seed: int = 42,
-          overrides: dict | None = None, cv: bool = True, threshold_split: str = "test"):
+          overrides: dict | None = None, cv: bool = True, threshold_split: str = "test", early_stop: bool = False):
     """E2 end to end: exact stratified split -> CV comparison -> best model
     refit on the train split -> held-out evaluation and Youden threshold.
     The threshold is chosen on ``threshold_split`` ('test' as the reference
@@ -184,15 +291,17 @@ def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction:
     Returns the trained model and a long-form metrics table."""
     names = list(names or CANDIDATES)
     overrides = overrides or {}
-    split = FT.assign_split(df, spec, test_fraction, folds, seed).checkpoint(eager=True)
+    slim = FT.project_features(spec.with_label(df), spec, keep=[spec.label_col])  # M1: all that training reads
+    split = FT.assign_split(slim, spec, test_fraction, folds, seed).checkpoint(eager=True)
     train_rows = split.where(F.col("split") == "train")
     test_rows = split.where(F.col("split") == "test")
     if cv and len(names) > 1:
-        summary = summarize_cv(cross_validate(train_rows, spec, names, folds, seed, overrides))
+        summary = summarize_cv(cross_validate(train_rows, spec, names, folds, seed, overrides, early_stop=early_stop),
+                               digits=None).checkpoint(eager=True)
         best = select_best(summary)
     else:
         summary, best = None, names[0]
-    fm, clf = fit_one(train_rows, spec, best, seed, **overrides.get(best, {}))
+    fm, clf = fit_one(train_rows, spec, best, seed, early_stop, **overrides.get(best, {}))
     scored = score_with(test_rows, fm, clf, [spec.id_col, spec.label_col]).checkpoint(eager=True)
     if threshold_split not in ("test", "train"):
         raise SpecError("threshold_split must be 'test' or 'train'")
@@ -222,11 +331,14 @@ def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction:
     parts = [test_long, extra, thr]
     if summary is not None:
         parts.append(summary.select("model", F.lit("cv_mean").alias("scope"), "metric",
-                                    F.col("mean").alias("value")))
+                                    F.round("mean", 4).alias("value")))
         parts.append(summary.where(F.col("metric") == "roc_auc").select(
-            "model", F.lit("cv_std").alias("scope"), "metric", F.col("std").alias("value")))
+            "model", F.lit("cv_std").alias("scope"), "metric", F.round("std", 4).alias("value")))
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
-    model = TrainedModel(spec, best, fm, clf, threshold, {"n_folds": folds, "test_fraction": test_fraction})
+    rows = [list(r) for r in report.select("model", "scope", "metric", "value").collect()]  # a few dozen
+    model = TrainedModel(spec, best, fm, clf, threshold,
+                         {"n_folds": folds, "test_fraction": test_fraction, "report": rows})
+    report = report_of(df.sparkSession, model)
     return model, report
