@@ -26,7 +26,7 @@ def compare(df: DataFrame, column: str, value, operator: str = "eq", literal: bo
     if operator not in OPERATORS:
         raise SpecError(f"operator must be one of: {list(OPERATORS)}")
     if column not in df.columns:
-        raise SpecError(f"Column '{column}' not found. Available columns: {', '.join(sorted(df.columns))}")
+        raise SpecError(f"there is no column {column} among {', '.join(sorted(df.columns))}")
     c = F.col(column)
     if operator == "contains":
         s = c.cast("string")

@@ -82,6 +82,36 @@ RULE_BULLET_WORDS = ["base answer", "quote specific", "no inner", "conversationa
                      "respond immediately", "extra numbers"]
 META_PHRASES = ["this follows all rules", "no inner monologue", "direct answer", "grounded in tool",
                 "let's craft", "matches all constraints", "i will just output the answer"]
+THINK_PATTERN = r"<think>[\s\S]*?</think>"
+
+# Numbers in answers; JSON blocks.
+NUMBER_PATTERN = r"\b\d+\.?\d*\b"
+THOUSANDS_PATTERN = r"(\d+),(\d+)"
+FENCE_PATTERN = r"```(?:json)?\s*([\s\S]+?)\s*```"
+BRACES_PATTERN = r"\{[\s\S]+\}"
+
+# Intents, operations and charts of the routing rules, by rule.
+ROUTE_TARGETS = {
+    "what_if": ("hypothetical", "predict_hypothetical", None),
+    "id": ("prediction", "predict_customer_risk", None),
+    "correlation": ("eda", "correlation", "correlation_heatmap"),
+    "model": ("model_info", "get_model_info", "feature_importance"),
+    "tenure_trend": ("eda", "tenure_trend", "tenure_trend"),
+    "top_risk": ("aggregate", "get_top_risk_customers", "top_risk_customers"),
+    "count": ("dataset_info", "get_dataset_info", None),
+    "segment": ("eda", "group_by_churn", "churn_by_column"),
+    "rate": ("eda", "get_churn_rate", "churn_distribution"),
+    "average_split": ("eda", "average_by_churn", "monthly_charges_by_churn"),
+    "average": ("eda", "get_average", "monthly_charges_by_churn"),
+    "default": ("dataset_info", "get_dataset_info", None),
+}
+AVERAGE_COLUMN = "MonthlyCharges"
+# Words of a correlation question and the pair of columns they name.
+CORRELATION_PAIRS = [
+    (("tenure", "monthly"), "tenure", "MonthlyCharges"),
+    (("tenure", "total"), "tenure", "TotalCharges"),
+    (("monthly", "total"), "MonthlyCharges", "TotalCharges"),
+]
 # ---------------------------------------------------------------- end of fixed values
 
 
@@ -93,14 +123,6 @@ def contains_any(col: Column, words) -> Column:
     return expr if expr is not None else F.lit(False)
 
 
-def _starts_any(col: Column, words) -> Column:
-    expr = None
-    for w in words:
-        e = col.startswith(w)
-        expr = e if expr is None else (expr | e)
-    return expr if expr is not None else F.lit(False)
-
-
 def _literal_alternation(words, anchored: bool = False) -> str:
     """One Java regex matching any of ``words`` literally (\\Q...\\E)."""
     body = "|".join("\\Q" + w + "\\E" for w in words)
@@ -114,8 +136,6 @@ def strip_ws(col: Column) -> Column:
 
 # ---------------------------------------------------------------- Q4 grounding
 
-NUMBER_PATTERN = r"\b\d+\.?\d*\b"
-THOUSANDS_PATTERN = r"(\d+),(\d+)"
 
 
 def numbers_over(text: Column, floor: float = 10.0) -> Column:
@@ -139,43 +159,56 @@ def customer_id(text: Column) -> Column:
 
 
 def route_steps(df: DataFrame, text: str, keep=()) -> DataFrame:
-    """Q5/Q6: (intent, operation, column, customer_id) from keyword rules in
-    order; the first rule that fires wins.  The lowered text and the id are
+    """Q5/Q6: (intent, operation, column, customer_id, chart, col1, col2,
+    changes) from keyword rules in order; the first rule that fires wins.
+    chart: the chart of the plan's second step; col1, col2: the pair of a
+    correlation; changes: the features that a what-if question changes.  The lowered text and the id are
     computed once, in their own projection."""
-    pre = df.select(*keep, F.regexp_replace(F.lower(F.col(text)), "-", " ").alias("_q"),
+    pre = df.select(*dict.fromkeys([*keep, text]), F.regexp_replace(F.lower(F.col(text)), "-", " ").alias("_q"),
                     customer_id(F.col(text)).alias("customer_id"))
     q = F.col("_q")
     has_id = F.col("customer_id").isNotNull()
     rules = [
-        (has_id & contains_any(q, WHAT_IF_WORDS), "hypothetical", "predict_hypothetical", None),
-        (has_id, "prediction", "predict_customer_risk", None),
-        (contains_any(q, CORRELATION_WORDS), "eda", "correlation", None),
-        (contains_any(q, MODEL_WORDS), "model_info", "get_model_info", None),
-        (q.contains("tenure") & contains_any(q, TENURE_TREND_WORDS), "eda", "tenure_trend", None),
-        (contains_any(q, TOP_RISK_WORDS), "aggregate", "get_top_risk_customers", None),
-        (contains_any(q, COUNT_WORDS), "dataset_info", "get_dataset_info", None),
+        (has_id & contains_any(q, WHAT_IF_WORDS), "what_if", None),
+        (has_id, "id", None),
+        (contains_any(q, CORRELATION_WORDS), "correlation", None),
+        (contains_any(q, MODEL_WORDS), "model", None),
+        (q.contains("tenure") & contains_any(q, TENURE_TREND_WORDS), "tenure_trend", None),
+        (contains_any(q, TOP_RISK_WORDS), "top_risk", None),
+        (contains_any(q, COUNT_WORDS), "count", None),
     ]
-    rules += [(q.contains(k), "eda", "group_by_churn", col) for k, col in SEGMENT_WORDS]
+    rules += [(q.contains(k), "segment", col) for k, col in SEGMENT_WORDS]
     rules += [
-        (contains_any(q, RATE_WORDS), "eda", "get_churn_rate", None),
-        (contains_any(q, AVERAGE_WORDS) & contains_any(q, AVERAGE_SPLIT_WORDS), "eda", "average_by_churn",
-         "MonthlyCharges"),
-        (contains_any(q, AVERAGE_WORDS), "eda", "get_average", "MonthlyCharges"),
+        (contains_any(q, RATE_WORDS), "rate", None),
+        (contains_any(q, AVERAGE_WORDS) & contains_any(q, AVERAGE_SPLIT_WORDS), "average_split", AVERAGE_COLUMN),
+        (contains_any(q, AVERAGE_WORDS), "average", AVERAGE_COLUMN),
     ]
-    # the index of the first rule that fires, then three lookups
+    # the index of the first rule that fires, then lookups by it
     first = None
     for i, (cond, *_rest) in enumerate(rules):
         first = F.when(cond, i) if first is None else first.when(cond, i)
     pre = pre.withColumn("_rule", first)
 
-    def pick(idx, default):
+    def pick(of, default):
         e = F.lit(default).cast("string")
-        for i, r in enumerate(rules):
-            e = F.when(F.col("_rule") == i, F.lit(r[idx]).cast("string")).otherwise(e)
+        for i, (_, target, column) in enumerate(rules):
+            e = F.when(F.col("_rule") == i, F.lit(of(ROUTE_TARGETS[target], column)).cast("string")).otherwise(e)
         return e
 
-    return pre.select(*keep, pick(1, "dataset_info").alias("intent"), pick(2, "get_dataset_info").alias("operation"),
-                      pick(3, None).alias("column"), "customer_id")
+    kinds = [target for _, target, _ in rules]
+    pair = None
+    for words, one, two in CORRELATION_PAIRS:
+        hit = q.contains(words[0]) & q.contains(words[1])
+        value = F.struct(F.lit(one).alias("one"), F.lit(two).alias("two"))
+        pair = F.when(hit, value) if pair is None else pair.when(hit, value)
+    pair = F.when(F.col("_rule") == kinds.index("correlation"), pair)
+    changes = F.when(F.col("_rule") == kinds.index("what_if"), scenario_map(F.col(text)))
+    default = ROUTE_TARGETS["default"]
+    return pre.select(*keep, pick(lambda t, c: t[0], default[0]).alias("intent"),
+                      pick(lambda t, c: t[1], default[1]).alias("operation"),
+                      pick(lambda t, c: c, None).alias("column"), "customer_id",
+                      pick(lambda t, c: t[2], default[2]).alias("chart"),
+                      pair["one"].alias("col1"), pair["two"].alias("col2"), changes.alias("changes"))
 
 
 # ---------------------------------------------------------------- Q7 scenarios
@@ -221,7 +254,7 @@ def clean_answer_steps(df: DataFrame, text: str, out: str = "cleaned", starters=
     expression would repeat the previous step two or three times per step
     and grow exponentially."""
     t = F.col("_t")
-    step = df.withColumn("_t", strip_ws(F.regexp_replace(F.col(text), _ci(r"<think>[\s\S]*?</think>"), "")))
+    step = df.withColumn("_t", strip_ws(F.regexp_replace(F.col(text), _ci(THINK_PATTERN), "")))
     for p in DISCLAIMER_PATTERNS:
         step = step.withColumn("_t", F.regexp_replace(t, _ci(p), ""))
     fc = F.regexp_extract(t, _ci(FINAL_CHECK_PATTERN), 1)
@@ -264,8 +297,6 @@ def clean_answer_steps(df: DataFrame, text: str, out: str = "cleaned", starters=
 
 # ---------------------------------------------------------------- Q11 JSON
 
-FENCE_PATTERN = r"```(?:json)?\s*([\s\S]+?)\s*```"
-BRACES_PATTERN = r"\{[\s\S]+\}"
 
 
 def extract_json(text: Column):

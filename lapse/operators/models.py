@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from lapse.functions.exprs import DEFAULT_THRESHOLD, pearson
 from lapse.operators import features as FT
 from lapse.operators import metrics as MX
+from lapse.session import ensure_checkpoint_dir
 from lapse.spec import Spec, SpecError
 
 
@@ -157,6 +158,7 @@ def cross_validate(train: DataFrame, spec: Spec, names=None, folds: int = 5, see
     grouped metrics job.  Returns long form (model, fold, metric, value)."""
     from concurrent.futures import ThreadPoolExecutor
 
+    ensure_checkpoint_dir(train.sparkSession)
     names = list(names or CANDIDATES)
     overrides = overrides or {}
     train = spec.with_label(train)
@@ -289,6 +291,7 @@ def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction:
     The threshold is chosen on ``threshold_split`` ('test' as the reference
     does, which is optimistic; 'train' keeps the test split untouched).
     Returns the trained model and a long-form metrics table."""
+    ensure_checkpoint_dir(df.sparkSession)
     names = list(names or CANDIDATES)
     overrides = overrides or {}
     slim = FT.project_features(spec.with_label(df), spec, keep=[spec.label_col])  # M1: all that training reads

@@ -38,10 +38,11 @@ def _is_bad(c: Column) -> Column:
     return F.isnan(c) | c.isin(float("inf"), float("-inf"))
 
 
-def numeric_sanity(df: DataFrame) -> DataFrame:
-    """Q2: NaN / +-Inf count of every floating column (a warning each)."""
+def numeric_sanity(df: DataFrame, severity: str = "error") -> DataFrame:
+    """Q2: NaN / +-Inf count of every floating column; an analysis result
+    with any fails (``severity="warning"`` only reports them)."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
-    rules = [(f"nan_or_inf_{c}", "warning", _is_bad(F.col(c))) for c in cols]
+    rules = [(f"nan_or_inf_{c}", severity, _is_bad(F.col(c))) for c in cols]
     return _rules_frame(df, rules).where(F.col("rule") != "empty_result")
 
 
@@ -58,13 +59,14 @@ def grounding(df: DataFrame, answer: str = "answer", evidence: str = "evidence",
 
 def plan_checks(plans: DataFrame, text_col: str = "plan_json", keep=()) -> DataFrame:
     """Q10: per plan document: intent present, steps present and a list,
-    steps without a tool, and whether an empty step list is allowed (only
+    steps without a tool (an error) or params (a warning), and whether an empty step list is allowed (only
     for intent 'unanswerable')."""
     v = F.try_parse_json(F.col(text_col))
     intent = F.try_variant_get(v, "$.intent", "string")
     steps = F.try_variant_get(v, "$.steps", "array<variant>")
     has_steps_key = F.try_variant_get(v, "$.steps", "variant").isNotNull()
     n_no_tool = F.size(F.filter(steps, lambda s: F.try_variant_get(s, "$.tool", "variant").isNull()))
+    n_no_params = F.size(F.filter(steps, lambda s: F.try_variant_get(s, "$.params", "variant").isNull()))
     n_steps = F.size(steps)
     out = plans.select(
         *keep,
@@ -74,6 +76,7 @@ def plan_checks(plans: DataFrame, text_col: str = "plan_json", keep=()) -> DataF
         steps.isNotNull().alias("steps_is_list"),
         F.when(steps.isNotNull(), n_steps).alias("n_steps"),
         F.when(steps.isNotNull(), n_no_tool).alias("n_steps_without_tool"),
+        F.when(steps.isNotNull(), n_no_params).alias("n_steps_without_params"),
         (steps.isNotNull() & (n_steps == 0) & (F.coalesce(intent, F.lit("")) != "unanswerable"))
         .alias("empty_plan_warning"),
     )

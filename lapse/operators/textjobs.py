@@ -1,8 +1,8 @@
 """Text jobs over tables of conversations, questions and answers
 (Q5-Q9, Q11).  Everything is column expressions or equi-joins; the only
 per-conversation ranking is a row_number filtered to the last k, which
-Spark plans with a partial group limit before the shuffle, so a very long
-conversation never reaches one task whole."""
+Spark plans with a partial group limit before the shuffle, and turns are paired
+chunk by chunk, so a very long conversation never reaches one task whole."""
 
 from __future__ import annotations
 
@@ -18,11 +18,14 @@ def route_questions(df: DataFrame, text: str = "text", keep=()) -> DataFrame:
 
 
 def plan_json(routed: DataFrame, keep=()) -> DataFrame:
-    """The routed question as a plan document {intent, steps: [{tool, params}]}."""
-    step = F.struct(F.col("operation").alias("tool"),
-                    F.struct(F.col("column").alias("column"), F.col("customer_id").alias("customer_id"))
-                    .alias("params"))
-    return routed.select(*keep, F.to_json(F.struct(F.col("intent"), F.array(step).alias("steps")))
+    """The routed question as a plan document {intent, steps: [{tool, params},
+    ...]}: the operation and, if there is one, its chart."""
+    params = F.struct("column", "customer_id", "col1", "col2", "changes")
+    step = F.to_json(F.struct(F.col("operation").alias("tool"), params.alias("params")))
+    chart = F.to_json(F.struct(F.lit("generate_chart").alias("tool"),
+                               F.struct(F.col("chart").alias("chart_type"), F.col("column")).alias("params")))
+    steps = F.concat_ws(",", step, F.when(F.col("chart").isNotNull(), chart))
+    return routed.select(*keep, F.concat(F.lit('{"intent":"'), "intent", F.lit('","steps":['), steps, F.lit("]}"))
                          .alias("plan_json"))
 
 
@@ -32,13 +35,24 @@ def extract_scenarios(df: DataFrame, text: str = "text", keep=()) -> DataFrame:
     return df.select(*keep, *cols, F.size(TX.scenario_map(F.col(text))).alias("n_changes"))
 
 
-def pair_turns(conv: DataFrame, first_role: str = "user", second_role: str = "assistant") -> DataFrame:
-    """Each ``first_role`` turn with the ``second_role`` turn right after it
-    (equi-join on (conv_id, turn + 1): no per-conversation window)."""
-    a = conv.where(F.col("role") == first_role).select("conv_id", "turn", F.col("text").alias("question"))
-    b = conv.where(F.col("role") == second_role).select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return a.join(b, ["conv_id", "turn"], "left")
+def pair_turns(conv: DataFrame, first_role: str = "user", second_role: str = "assistant",
+               chunk_turns: int = 1000) -> DataFrame:
+    """Each ``first_role`` turn with the next ``second_role`` turn, whatever
+    other roles stand between; unanswered (null) if another ``first_role``
+    turn comes first.  Turns are looked at in chunks of a conversation, whose
+    ends are matched with the beginning of the next chunk, so a very long
+    conversation is spread over many tasks."""
+    rows = conv.where(F.col("role").isin(first_role, second_role)).select(
+        "conv_id", "turn", "role", "text", F.floor(F.col("turn") / chunk_turns).alias("_chunk"))
+    within = Window.partitionBy("conv_id", "_chunk").orderBy("turn", "role")
+    nxt = F.struct("turn", "role", "text")
+    rows = rows.withColumn("_next", F.lead(nxt).over(within))
+    heads = rows.groupBy("conv_id", "_chunk").agg(F.min(nxt).alias("_head")).withColumn(
+        "_later", F.lead("_head").over(Window.partitionBy("conv_id").orderBy("_chunk"))).drop("_head")
+    asked = rows.where(F.col("role") == first_role).join(heads, ["conv_id", "_chunk"])
+    after = F.coalesce("_next", "_later")
+    return asked.select("conv_id", "turn", F.col("text").alias("question"),
+                        F.when(after["role"] == second_role, after["text"]).alias("answer"))
 
 
 def recent_context(conv: DataFrame, last: int = 3, answer_chars: int = 200) -> DataFrame:

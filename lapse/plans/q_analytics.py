@@ -113,12 +113,20 @@ SELECT count(*) AS n_rows, 6 AS n_cols, CAST(count_if(churn = 'Yes') AS BIGINT)
        CAST(count_if(churn = 'No') AS BIGINT) AS n_negative,
        round(100.0 * CAST(count_if(churn = 'Yes') AS BIGINT) / count(*), 2) AS rate_pct,
        (count(*) - count(total_charges)) + (count(*) - count(churn)) AS n_missing_total,
+       concat_ws(',', CASE WHEN count(*) > count(churn) THEN 'churn=' || CAST(count(*) - count(churn) AS VARCHAR) END,
+                 CASE WHEN count(*) > count(total_charges)
+                      THEN 'total_charges=' || CAST(count(*) - count(total_charges) AS VARCHAR) END) AS missing_columns,
+       'customer_id,tenure,total_charges,label' AS numeric_columns, 'segment,churn' AS categorical_columns,
        count(DISTINCT customer_id) = count(*) AS id_unique,
        (SELECT count(*) FROM dirty_profile) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_profile))
          AS n_duplicate_rows
 FROM dirty_profile""", _DIRTY_PROFILE_SQL))
 def dataset_info(spark, sf):
-    return P.dataset_info(dirty_profile(spark, sf), PS)
+    out = P.dataset_info(dirty_profile(spark, sf), PS)
+    entries = F.transform(F.map_entries("missing_columns"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.withColumns({"missing_columns": F.array_join(F.array_sort(entries), ","),
+                            "numeric_columns": F.array_join("numeric_columns", ","),
+                            "categorical_columns": F.array_join("categorical_columns", ",")})
 
 
 @query("kpi_row", "P6", sql=with_frames("""

@@ -63,12 +63,13 @@ def prediction_checks(spark, sf):
 
 @query("numeric_sanity_lineitem", "Q2", sql="""
 WITH d AS (SELECT *, pow(l_discount, -1) AS inv_discount FROM lineitem)
-SELECT 'nan_or_inf_l_quantity' AS rule, 'warning' AS severity,
-       CAST(count_if(isnan(l_quantity) OR isinf(l_quantity)) AS BIGINT) AS violations, true AS passed FROM d
-UNION ALL SELECT 'nan_or_inf_l_extendedprice', 'warning', CAST(count_if(isnan(l_extendedprice) OR isinf(l_extendedprice)) AS BIGINT), true FROM d
-UNION ALL SELECT 'nan_or_inf_l_discount', 'warning', CAST(count_if(isnan(l_discount) OR isinf(l_discount)) AS BIGINT), true FROM d
-UNION ALL SELECT 'nan_or_inf_l_tax', 'warning', CAST(count_if(isnan(l_tax) OR isinf(l_tax)) AS BIGINT), true FROM d
-UNION ALL SELECT 'nan_or_inf_inv_discount', 'warning', CAST(count_if(isnan(inv_discount) OR isinf(inv_discount)) AS BIGINT), true FROM d""")
+SELECT *, violations = 0 AS passed FROM (
+SELECT 'nan_or_inf_l_quantity' AS rule, 'error' AS severity,
+       CAST(count_if(isnan(l_quantity) OR isinf(l_quantity)) AS BIGINT) AS violations FROM d
+UNION ALL SELECT 'nan_or_inf_l_extendedprice', 'error', CAST(count_if(isnan(l_extendedprice) OR isinf(l_extendedprice)) AS BIGINT) FROM d
+UNION ALL SELECT 'nan_or_inf_l_discount', 'error', CAST(count_if(isnan(l_discount) OR isinf(l_discount)) AS BIGINT) FROM d
+UNION ALL SELECT 'nan_or_inf_l_tax', 'error', CAST(count_if(isnan(l_tax) OR isinf(l_tax)) AS BIGINT) FROM d
+UNION ALL SELECT 'nan_or_inf_inv_discount', 'error', CAST(count_if(isnan(inv_discount) OR isinf(inv_discount)) AS BIGINT) FROM d)""")
 def numeric_sanity_lineitem(spark, sf):
     li = read_table(spark, sf, "lineitem")
     return QC.numeric_sanity(li.select("*", F.pow(F.col("l_discount"), F.lit(-1.0)).alias("inv_discount")))
@@ -160,7 +161,7 @@ def _route_sql(t="text"):
 SELECT conv_id, turn, {_route_sql()} FROM conversations WHERE role = 'user'""")
 def route_user_questions(spark, sf):
     c = read_table(spark, sf, "conversations").where(F.col("role") == "user")
-    return TJ.route_questions(c, keep=["conv_id", "turn"])
+    return TJ.route_questions(c, keep=["conv_id", "turn"]).drop("chart", "col1", "col2", "changes")
 
 
 def _scenario_sql(t="text"):
@@ -192,9 +193,10 @@ def scenario_extraction(spark, sf):
 
 @query("recent_context", "Q8", sql="""
 WITH pairs AS (
-  SELECT a.conv_id, a.turn, a.text AS q, b.text AS ans FROM conversations a
-  JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant'
-  WHERE a.role = 'user'),
+  SELECT conv_id, turn, q, ans FROM (
+    SELECT conv_id, turn, role, text AS q, lead(role) OVER w AS next_role, lead(text) OVER w AS ans
+    FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
+  WHERE role = 'user' AND next_role = 'assistant'),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM pairs),
 ctx AS (SELECT conv_id, count(*) AS n,
                string_agg('Q: ' || q || chr(10) || 'A: ' || substring(ans, 1, 200) || '...', chr(10) || chr(10)
@@ -252,44 +254,160 @@ def clean_assistant_answers(spark, sf):
 
 # ---------------------------------------------------------------- Q10 / Q11
 
-def _plans(spark, sf):
-    c = read_table(spark, sf, "conversations").where(F.col("role") == "user")
-    c = c.withColumn("plan_id", F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"),
-                                         F.col("turn").cast("string")))
-    routed = TJ.route_questions(c, keep=["plan_id"])
-    plans = TJ.plan_json(routed, keep=["plan_id"])
-    ev = read_table(spark, sf, "events").select(
-        F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("plan_id"), F.col("props").alias("plan_json"))
-    return plans.unionByName(ev)
-
-
-@query("plan_checks", "Q10", sql=f"""
-WITH routed AS (SELECT conv_id, turn, {_route_sql()} FROM conversations WHERE role = 'user'),
-p AS (
-  SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS plan_id,
-         CAST(json_object('intent', intent, 'steps', json_array(json_object('tool', operation, 'params',
-              json_object('column', "column", 'customer_id', customer_id)))) AS VARCHAR) AS plan_json
-  FROM routed
-  UNION ALL SELECT 'event-' || CAST(event_id AS VARCHAR), props FROM events),
-c AS (
-  SELECT plan_id, json_valid(plan_json) AS parsed,
-         json_valid(plan_json) AND json_extract_string(plan_json, '$.intent') IS NOT NULL AS has_intent,
-         json_valid(plan_json) AND json_extract(plan_json, '$.steps') IS NOT NULL AS has_steps,
-         json_valid(plan_json) AND coalesce(json_type(plan_json, '$.steps') = 'ARRAY', false) AS steps_is_list,
-         json_extract_string(plan_json, '$.intent') AS intent, plan_json
-  FROM p)
-SELECT plan_id, parsed, has_intent, has_steps, steps_is_list,
-       CASE WHEN steps_is_list THEN CAST(json_array_length(plan_json, '$.steps') AS INTEGER) END AS n_steps,
-       CASE WHEN steps_is_list THEN CAST(len(list_filter(json_extract(plan_json, '$.steps[*]'),
-              lambda x: json_extract(x, '$.tool') IS NULL)) AS INTEGER) END AS n_steps_without_tool,
-       steps_is_list AND json_array_length(plan_json, '$.steps') = 0 AND coalesce(intent, '') <> 'unanswerable'
-         AS empty_plan_warning,
-       has_intent AND has_steps AND steps_is_list AND coalesce(CASE WHEN steps_is_list THEN
-         len(list_filter(json_extract(plan_json, '$.steps[*]'), lambda x: json_extract(x, '$.tool') IS NULL)) END, 0) = 0
-         AS passed
-FROM c""")
+def _numbered(spark, sf, texts):
+    """One text per order, in turn; {n} is the order's number, {id} an id of
+    the customer's."""
+    o = read_table(spark, sf, "orders")
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
+    cid = F.concat(F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0"), F.lit("-ABCDE"))
+    text = F.replace(F.replace(text, F.lit("{n}"), F.col("o_orderkey").cast("string")), F.lit("{id}"), cid)
+    return o.select(F.col("o_orderkey").alias("qid"), text.alias("text"))
+
+
+def _expected(columns: str, rows) -> str:
+    """DuckDB rows of the expected results, written out by hand for each text."""
+    def lit(v):
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else _sql_str(v)
+
+    values = ", ".join("(" + ", ".join([str(i), *map(lit, r)]) + ")" for i, r in enumerate(rows))
+    return f"e(i, {columns}) AS (VALUES {values})"
+
+
+_N = "CAST(o_orderkey AS VARCHAR)"
+_ID = "lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || '-ABCDE'"
+
+# (plan, parsed, has_intent, has_steps, steps_is_list, n_steps, without tool, without params, empty warning, passed)
+PLANS = [
+    ('{"intent":"eda","steps":[{"tool":"t","params":{}}]}', True, True, True, True, 1, 0, 0, False, True),
+    ('{"intent":"eda","steps":[]}', True, True, True, True, 0, 0, 0, True, True),
+    ('{"intent":"unanswerable","steps":[]}', True, True, True, True, 0, 0, 0, False, True),
+    ('{"steps":[{"params":{"n":{n}}}]}', True, False, True, True, 1, 1, 0, False, False),
+    ('{"intent":"eda","steps":[{"tool":"t"},{"tool":"u","params":{"n":{n}}}]}', True, True, True, True, 2, 0, 1, False, True),
+    ('{"intent":"eda","steps":[{}, {"tool":"t"}]}', True, True, True, True, 2, 1, 2, False, False),
+    ('{"intent":"eda","steps":{"tool":"t"}}', True, True, True, False, None, None, None, False, False),
+    ('{"intent":"eda"}', True, True, False, False, None, None, None, False, False),
+    ("no plan {n}", False, False, False, False, None, None, None, False, False),
+]
+
+
+@query("plan_checks", "Q10", sql="WITH " + _expected(
+    "parsed, has_intent, has_steps, steps_is_list, n_steps, n_steps_without_tool, n_steps_without_params, "
+    "empty_plan_warning, passed", [r[1:] for r in PLANS]) + f"""
+SELECT o_orderkey AS qid, e.* EXCLUDE (i) FROM orders JOIN e ON i = o_orderkey % {len(PLANS)}""")
 def plan_checks(spark, sf):
-    return QC.plan_checks(_plans(spark, sf), keep=["plan_id"])
+    plans = _numbered(spark, sf, [r[0] for r in PLANS]).withColumnRenamed("text", "plan_json")
+    return QC.plan_checks(plans, keep=["qid"])
+
+
+# (question, intent, operation, column, chart, col1, col2, names an id, changes)
+QUESTIONS = [
+    ("What if {id} changes to a two year contract with tech support?", "hypothetical", "predict_hypothetical", None, None, None,
+     None, True, "Contract=Two year,TechSupport=Yes"),
+    ("Please switch {id} to mailed check", "hypothetical", "predict_hypothetical", None, None, None, None, True,
+     "PaymentMethod=Mailed check"),
+    ("Predict the risk of {id}", "prediction", "predict_customer_risk", None, None, None, None, True, None),
+    ("Correlation of tenure and monthly charges", "eda", "correlation", None, "correlation_heatmap", "tenure", "MonthlyCharges",
+     False, None),
+    ("How does tenure relate to total charges?", "eda", "correlation", None, "correlation_heatmap", "tenure", "TotalCharges", False, None),
+    ("Heatmap of monthly and total charges", "eda", "correlation", None, "correlation_heatmap", "MonthlyCharges", "TotalCharges",
+     False, None),
+    ("Is there any association?", "eda", "correlation", None, "correlation_heatmap", None, None, False, None),
+    ("Which accuracy did we get?", "model_info", "get_model_info", None, "feature_importance", None, None, False, None),
+    ("Tenure trend {n}", "eda", "tenure_trend", None, "tenure_trend", None, None, False, None),
+    ("Who is at risk now?", "aggregate", "get_top_risk_customers", None, "top_risk_customers", None, None, False, None),
+    ("How many customers are there?", "dataset_info", "get_dataset_info", None, None, None, None, False, None),
+    ("count of contract types", "dataset_info", "get_dataset_info", None, None, None, None, False, None),
+    ("Split by contract type", "eda", "group_by_churn", "Contract", "churn_by_column", None, None, False, None),
+    ("payments by mailed check", "eda", "group_by_churn", "PaymentMethod", "churn_by_column", None, None, False, None),
+    ("online-security and partners", "eda", "group_by_churn", "Partner", "churn_by_column", None, None, False, None),
+    ("only online-security", "eda", "group_by_churn", "OnlineSecurity", "churn_by_column", None, None, False, None),
+    ("internet, gender or senior", "eda", "group_by_churn", "InternetService", "churn_by_column", None, None, False, None),
+    ("paperless or dependents", "eda", "group_by_churn", "Dependents", "churn_by_column", None, None, False, None),
+    ("What is the churn rate?", "eda", "get_churn_rate", None, "churn_distribution", None, None, False, None),
+    ("Average bill, churned against others", "eda", "average_by_churn", "MonthlyCharges", "monthly_charges_by_churn", None, None,
+     False, None),
+    ("What is the mean bill?", "eda", "get_average", "MonthlyCharges", "monthly_charges_by_churn", None, None, False, None),
+    ("Hello there {n}", "dataset_info", "get_dataset_info", None, None, None, None, False, None),
+]
+
+
+@query("route_order_questions", "Q5 Q6", sql="WITH " + _expected(
+    "intent, operation, \"column\", chart, col1, col2, has_id, changes", [r[1:] for r in QUESTIONS]) + f"""
+SELECT o_orderkey AS qid, intent, operation, "column", CASE WHEN has_id THEN {_ID} END AS customer_id, chart, col1, col2, changes
+FROM orders JOIN e ON i = o_orderkey % {len(QUESTIONS)}""")
+def route_order_questions(spark, sf):
+    """Every routing rule, on questions that name the orders' customers."""
+    out = TJ.route_questions(_numbered(spark, sf, [r[0] for r in QUESTIONS]), keep=["qid"])
+    return out.withColumn("changes", _map_text("changes"))
+
+
+def _map_text(name):
+    entries = F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.when(F.col(name).isNotNull(), F.array_join(F.array_sort(entries), ","))
+
+
+# (question, changes)
+SCENARIO_TEXTS = [
+    ("switch to a two-year contract paid by credit card with tech support",
+     "Contract=Two year,PaymentMethod=Credit card (automatic),TechSupport=Yes"),
+    ("one year and fiber", "Contract=One year,InternetService=Fiber optic"),
+    ("month to month, mailed check, add online backup and device protection",
+     "Contract=Month-to-month,DeviceProtection=Yes,OnlineBackup=Yes,PaymentMethod=Mailed check"),
+    ("Electronic check and DSL", "InternetService=DSL,PaymentMethod=Electronic check"),
+    ("bank transfer; get online security", "OnlineSecurity=Yes,PaymentMethod=Bank transfer (automatic)"),
+    ("tech support only", ""),
+    ("2 year or 1 year", "Contract=Two year"),
+    ("nothing here {n}", ""),
+]
+
+
+@query("scenario_order_questions", "Q7", sql="WITH " + _expected("changes", [r[1:] for r in SCENARIO_TEXTS]) + f"""
+SELECT o_orderkey AS qid, changes FROM orders JOIN e ON i = o_orderkey % {len(SCENARIO_TEXTS)}""")
+def scenario_order_questions(spark, sf):
+    texts = _numbered(spark, sf, [r[0] for r in SCENARIO_TEXTS])
+    return texts.withColumn("changes", TX.scenario_map(F.col("text"))).select("qid", _map_text("changes").alias("changes"))
+
+
+# (answer, cleaned)
+ANSWERS = [
+    ("<think>secret plan</think>The churn rate of {n} is 26.54%. (as returned by the model)", "The churn rate of {n} is 26.54%."),
+    ("Draft: something short\nFinal Answer: The churn rate is 26.54% across {n} customers.",
+     "The churn rate is 26.54% across {n} customers."),
+    ("The user wants numbers.\nI need to check.\nChurn is {n}%.\n- 50 customers now", "Churn is {n}%.\n- 50 customers now"),
+    ("The user asked.", "The user asked."),
+    ('"Quoted answer {n} here"', "Quoted answer {n} here"),
+    ("Answer body {n} is long enough\nCheck against rules: fine", "Answer body {n} is long enough"),
+    ('Final check of the text: "It is {n}."\nmore', "It is {n}."),
+    ("- quote specific numbers\nResult {n}", "Result {n}"),
+    ("It is {n}, this follows all rules\nKept line", "Kept line"),
+    ("Source: `get_info` result. Total {n}", "Total {n}"),
+    ("Value {n}\n\n  \nNext", "Value {n}\n\n\nNext"),
+    ("  plain {n}\t", "plain {n}"),
+]
+
+
+@query("clean_order_answers", "Q9", sql="WITH " + _expected("cleaned", [r[1:] for r in ANSWERS]) + f"""
+SELECT o_orderkey AS qid, replace(cleaned, '{{n}}', {_N}) AS cleaned FROM orders JOIN e ON i = o_orderkey % {len(ANSWERS)}""")
+def clean_order_answers(spark, sf):
+    return TJ.clean_answers(_numbered(spark, sf, [r[0] for r in ANSWERS]), keep=["qid"])
+
+
+# (text, where it was found, document)
+JSON_TEXTS = [
+    ('  {"k": {n}, "a": 1}\n', "whole", '{"a":1,"k":{n}}'),
+    ('Here:\n```json\n{"k": {n}, "steps": [{"tool": "t"}]}\n```', "fence", '{"k":{n},"steps":[{"tool":"t"}]}'),
+    ("x ```\n[1, {n}]\n``` y", "fence", "[1,{n}]"),
+    ('prefix {"k": {n}} suffix', "braces", '{"k":{n}}'),
+    ('```json\n{broken}\n``` or {"k": {n}}', None, None),
+    ("{not json {n}", None, None),
+    ("no document at all", None, None),
+]
+
+
+@query("json_order_texts", "Q11", sql="WITH " + _expected("source, json", [r[1:] for r in JSON_TEXTS]) + f"""
+SELECT o_orderkey AS qid, source, replace(json, '{{n}}', {_N}) AS json FROM orders JOIN e ON i = o_orderkey % {len(JSON_TEXTS)}""")
+def json_order_texts(spark, sf):
+    return TJ.extract_json_blocks(_numbered(spark, sf, [r[0] for r in JSON_TEXTS]), keep=["qid"])
 
 
 @query("json_extraction", "Q11", sql="""

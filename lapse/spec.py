@@ -57,10 +57,7 @@ def require_columns(df: DataFrame, cols, what: str = "operation") -> None:
     have = set(df.columns)
     missing = [c for c in cols if c is not None and c not in have]
     if missing:
-        raise SpecError(
-            f"Missing columns for {what}: {missing}. Available columns: "
-            + ", ".join(sorted(have))
-        )
+        raise SpecError(f"{what}: there is no column {', '.join(missing)} among {', '.join(sorted(have))}")
 
 
 def is_numeric(df: DataFrame, col: str) -> bool:

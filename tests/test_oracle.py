@@ -47,7 +47,7 @@ def test_matches_duckdb(spark, duck, name):
     assert _rows(df.columns, srows) == _rows(dcols, res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"cv_model_comparison"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_model_queries_run(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     assert df.count() > 0
