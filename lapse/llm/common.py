@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapse.session import ensure_checkpoint_dir
+from lapse.staging import drop_staged, shared_path, staged
+
+__all__ = ["drop_staged", "is_empty", "shared_path", "staged", "worker_path"]
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -22,36 +23,5 @@ def worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lapse-{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    This cuts the lineage (a lost executor costs one stage, not the whole
-    iteration), gives the planner real sizes to choose joins by, and forgets
-    how the rows were dealt out, so that a join deals both sides anew and
-    adaptive execution can split a hot key."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lapse_path = path
-    return out
-
-
-def drop_staged(*frames: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_lapse_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            target.getFileSystem(conf).delete(target, True)
-
-
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

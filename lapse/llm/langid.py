@@ -189,17 +189,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", salt: l
     return model
 
 
-def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score appended (a column of that name is
-    replaced).  lang_pred is a learned language, or ``und`` (score 0) if the
-    text is null, empty or has no letter, or nothing was learned.  score is 0
-    to 1.  Every row is judged by its whole text alone; rows stay as they are."""
+def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text", pred_col: str = "lang_pred",
+             score_col: str = "score") -> DataFrame:
+    """``docs`` with ``pred_col`` and ``score_col`` appended (columns of those
+    names are replaced).  The prediction is a learned language, or ``und``
+    (score 0) if the text is null, empty or has no letter, or nothing was
+    learned.  The score is 0 to 1.  Every row is judged by its whole text
+    alone; rows stay as they are."""
     worker_path(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(pred_col, score_col)
     n = len(kept.columns)
     plain = kept.withColumn("__text", F.col(text_col).cast("string")).toDF(*(f"c{i}" for i in range(n + 1)))  # any names
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()),
+                           T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
         for b in batches:

@@ -71,3 +71,39 @@ def test_every_kept_document_is_packed(spark, stages):
     assert {r.doc_id for r in pieces} == ids(stages["secret_scans"])
     assert max(r.offset + r.length for r in pieces) <= 1024
     assert P.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, `a.b` int, fp int, id string"
+
+
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and ids, clashing names."""
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    german = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de'").first().text
+    rows = [(1, german, "de"), (1, german, "de"), (2, german, None), (3, None, "de"), (4, "", None), (5, "12 34", "en"),
+            (6, "some words " + leak + " more words", "en"), (None, "no id but words enough to be a text", "en"),
+            (7, "a token = 0123456789abcdefghij here", None), (8, "the and of to in is " * 30000, "en")]
+    rows = [(i, t, lang, None, None if t is None else len(t), "s", 1, 2, "x") for i, t, lang in rows]
+    return spark.createDataFrame(rows, ODD)
+
+
+def test_stages_on_odd_rows(spark):
+    docs = odd(spark)
+    columns = docs.columns
+    found = {}
+    for name, stage in P.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert docs.columns == columns
+        found[name] = sorted((r.doc_id if r.doc_id is not None else -1) for r in docs.collect())
+    assert found["language_id"] == [-1, 1, 1, 2, 6, 7, 8]
+    assert found["near_duplicates"] == [-1, 1, 6, 7, 8]
+    assert found["decontamination"] == found["secret_scans"] == [-1, 1, 7, 8]
+    row = docs.where("doc_id = 7").first()
+    assert row.text == "a [SECRET] here" and row.n_chars == 15 and row.lang in {"de", "en"} and row.score == "s"
+    pieces = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted({(r.doc_id if r.doc_id is not None else -1) for r in pieces}) == [-1, 1, 7, 8]
+
+
+def test_stages_on_no_rows(spark):
+    for _, stage in P.STAGES:
+        assert stage(spark, odd(spark).limit(0), SF).count() == 0
