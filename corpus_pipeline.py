@@ -26,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text, no letter) go; a missing lang
     is filled in with the prediction, a given one stays."""
     columns = docs.columns
-    found = langid.identify(docs, language_model(docs)).where(F.col("lang_pred") != langid.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(columns)
+    found = langid.identify(docs, language_model(docs), pred_col="__pred", score_col="__score")
+    found = found.where(F.col("__pred") != langid.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "__pred")).select(*(f"`{c}`" for c in columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
