@@ -28,11 +28,6 @@ def outcome_distribution(df: DataFrame, spec: Spec) -> DataFrame:
     )
 
 
-def rate_by_column(df: DataFrame, spec: Spec, column: str) -> DataFrame:
-    """C2."""
-    return group_rate(df, spec, column)
-
-
 def histogram(df: DataFrame, column: str, group: Column | str | None = None,
               bins: int = 30, digits: int = 4, density: bool = False) -> DataFrame:
     """``bins`` equal-width bins between min and max (the last
@@ -65,9 +60,8 @@ def histogram(df: DataFrame, column: str, group: Column | str | None = None,
     out = counted.select(*cols, w.alias("_w"))
     if density:
         if g is not None:
-            # one row per group: bounded by the number of groups
             totals = counted.groupBy("group").agg(F.sum("count").alias("_n"))
-            out = out.join(F.broadcast(totals), "group")
+            out = out.join(totals, "group")  # both sides have at most groups x bins rows
         else:
             out = out.withColumn("_n", counted.agg(F.sum("count")).scalar())
         out = out.withColumn(

@@ -18,7 +18,7 @@ OS = ORDER_SPEC
 # ---------------------------------------------------------------- A6 flagship
 
 
-@query("rate_by_segment", "A6 C2", headline=True, sql=with_frames("""
+@query("rate_by_segment", "A6 C2", sql=with_frames("""
 SELECT segment, round(100.0 * sum(CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END) / count(*), 2) AS rate_pct,
        count(*) AS count
 FROM customer_profile WHERE segment IS NOT NULL GROUP BY segment"""))

@@ -15,17 +15,16 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     operators: str  # SURVEY ids covered, e.g. "A6"
-    headline: bool = False
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, operators: str, sql: str | None = None, headline: bool = False):
+def query(name: str, operators: str, sql: str | None = None):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, operators, headline)
+        REGISTRY[name] = Query(name, fn, sql, operators)
         return fn
 
     return deco

@@ -53,33 +53,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             pass
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
-
-
-MB = 1 << 20
-
-
-def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 * MB) -> dict[str, str]:
-    """Spark settings sized for a job reading ``input_bytes`` on
-    ``total_cores`` executor cores: enough shuffle partitions that each
-    holds about ``target_partition_bytes`` (AQE coalesces the small ones and
-    splits skewed ones), scan splits of the same size, and a broadcast
-    threshold that stays small and fixed.  Example: 100 TB on 1000 x 8 cores
-    gives about 370,000 initial shuffle partitions (cap: 50 per core)."""
-    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
-    parts = min(parts, 50 * total_cores)
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * MB),
-    }
-
-
-def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
-    """Set runtime SQL settings (those that can change after start-up)."""
-    for k, v in conf.items():
-        spark.conf.set(k, v)

@@ -6,8 +6,9 @@ appended to a sink, exactly once per file (the checkpoint records which
 files were done).  ``trigger(availableNow=True)`` drains what is there and
 stops, the usual way to run this as a scheduled job.
 
-The running tier counts are a stateful streaming aggregate (update mode);
-its state is one row per tier.
+The running tier counts are a stateful streaming aggregate (complete mode);
+its state is one row per tier.  Each batch is a folder of its own, so a reader
+never sees a half-written or empty sink.
 """
 
 from __future__ import annotations
@@ -42,11 +43,18 @@ def score_stream(model: TrainedModel, stream: DataFrame, sink_path: str, checkpo
 
 def tier_counts_stream(scored: DataFrame, sink_path: str, checkpoint: str,
                        score_col: str = "risk_score") -> StreamingQuery:
-    """Running row count per risk tier, rewritten per micro-batch."""
+    """Running row count per risk tier; the counts after batch n are in
+    ``sink_path/batch=n`` (see ``latest_tier_counts``)."""
     counts = scored.groupBy(risk_level(F.col(score_col)).alias("tier")).agg(F.count(F.lit(1)).alias("count"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
+        batch.write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
 
     return (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
             .foreachBatch(write_batch).trigger(availableNow=True).start())
+
+
+def latest_tier_counts(spark: SparkSession, sink_path: str) -> DataFrame:
+    """(tier, count) after the last finished batch."""
+    rows = spark.read.parquet(sink_path)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")

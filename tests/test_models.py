@@ -155,5 +155,5 @@ def test_stream_tier_counts(spark, trained, tmp_dir):
     scored = SC.score_all(model, ST.read_profiles(spark, src, cp.schema))
     q = ST.tier_counts_stream(scored, os.path.join(tmp_dir, "tiers"), os.path.join(tmp_dir, "ckpt2"))
     q.awaitTermination(300)
-    tiers = spark.read.parquet(os.path.join(tmp_dir, "tiers"))
+    tiers = ST.latest_tier_counts(spark, os.path.join(tmp_dir, "tiers"))
     assert sum(r["count"] for r in tiers.collect()) == cp.count()
