@@ -38,19 +38,24 @@ def _lone_spaces(text: str) -> bool:
     )
 
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 
 
 class _Bounded(dict):
-    """A cache that starts anew when full."""
+    """A cache of two generations: when the young one is full it becomes the
+    old one, and what is asked for again comes back from there."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -67,7 +72,7 @@ class BpeIds:
         self.after_space = _Bounded(lambda unit: self._unit(" " + unit))
 
     def _unit(self, text: str) -> bytes:
-        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).tobytes()
 
     def library(self, text: str) -> bytes:
         if self.tokenizer is None:  # most tasks never need it

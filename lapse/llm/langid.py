@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.llm.common import staged, worker_path
+from lapse.llm.common import staged, tidy, worker_path
 
 DIMS = 2048
 #: Labelled rows per language that the classifiers are fitted on, on average.
@@ -143,7 +143,7 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(xs, pa.list_(pa.float32()))], names=["lang", "x"])
 
-    return rows.mapInArrow(run, "lang string, x array<float>")
+    return rows.mapInArrow(tidy(run), "lang string, x array<float>")
 
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, salt: list[str], per_lang: int) -> DataFrame:
@@ -210,4 +210,4 @@ def identify(docs: DataFrame, model: Hierarchy, text_col: str = "text", pred_col
                 [*b.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 names=schema.names)
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tidy(run), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lapse.llm.common import drop_staged, staged, worker_path
+from lapse.llm.common import drop_staged, staged, tidy, worker_path
 
 ITEM_BLOCK = 2048
 RANK, OVERSAMPLE, IDF_POWER = 32, 8, 3
@@ -130,7 +130,7 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, items: Items)
                 out.append(np.fromiter(map(get, ws, repeat(0)), dtype, len(ws)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=[id_col, "ids"])
 
-    return slim.mapInArrow(run, T.StructType([T.StructField(id_col, slim.schema[0].dataType),
+    return slim.mapInArrow(tidy(run), T.StructType([T.StructField(id_col, slim.schema[0].dataType),
                                               T.StructField("ids", T.BinaryType())]))
 
 
@@ -179,7 +179,7 @@ def term_weights(encoded: DataFrame, items: Items, passage_words: int) -> tuple[
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
-    counts = encoded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = encoded.select("ids").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(terms)
     for r in counts.collect():  # at most one row per term of the block
         df[r.term] = r.n
@@ -224,7 +224,7 @@ def sketch(encoded: DataFrame, items: Items, weights: np.ndarray, passage_words:
         at = np.nonzero(total.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c) for c in total[at].T)], names=["term", *names])
 
-    parts = encoded.select("ids").mapInArrow(run, "term long, " + ", ".join(f"{n} double" for n in names))
+    parts = encoded.select("ids").mapInArrow(tidy(run), "term long, " + ", ".join(f"{n} double" for n in names))
     summed = parts.groupBy("term").agg(*(F.sum(n).alias(n) for n in names))
     out = np.zeros((terms, width))
     for r in summed.collect():  # at most one row per term of the block
@@ -402,4 +402,4 @@ def _search(encoded: DataFrame, search: Search, schema: T.StructType) -> DataFra
                                                  schema=arrow_schema)
 
     arrow_schema = to_arrow_schema(schema)
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)

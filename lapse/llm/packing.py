@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapse.llm.bpe import bpe_ids
-from lapse.llm.common import worker_path
+from lapse.llm.common import tidy, worker_path
 
 #: Token bytes that a task holds before it packs and emits what it has.
 CHUNK_BYTES = 64 << 20
@@ -149,4 +149,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from out()
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import drop_staged, is_empty, staged, worker_path
+from lapse.llm.common import drop_staged, is_empty, staged, tidy, worker_path
 from lapse.llm.components import connected_components
 
 BLOCK_BITS = 2
@@ -75,14 +75,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, shingle_words, seed) for t in b.column(1).to_pylist()]
+            fps = [fingerprint(t.as_py(), shingle_words, seed) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[id_col, "fp"])
 
     schema = slim.select(F.col(id_col), F.lit(0).cast("long").alias("fp")).schema
     for field in schema:
         field.nullable = True
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
 
 
 def _signed(x: int) -> int:

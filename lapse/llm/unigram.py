@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.llm.common import worker_path
+from lapse.llm.common import tidy, worker_path
 
 SPACE = "▁"
 #: How far below the lowest score an unknown character is; fixed by the tokenizers.
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 CACHED_CHARS = 64
 NOT_REACHED = float("-inf")
 
@@ -152,4 +152,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = [count(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lapse.llm.common import shared_path, staged, worker_path
+from lapse.llm.common import shared_path, staged, tidy, worker_path
 
 CELLS = 64
 QUERY_BLOCK = 2048
@@ -68,7 +68,7 @@ def write_file(vectors: DataFrame, bounds: dict, path: str) -> None:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(1)], names=schema.names)
 
     tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // TASK_ROWS))
-    vectors.repartition(tasks).mapInArrow(run, schema).write.parquet(path)
+    vectors.repartition(tasks).mapInArrow(tidy(run), schema).write.parquet(path)
 
 
 def _ints(rows: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ def _scan(file: DataFrame, queries: dict, bounds: dict, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
                                                  names=["query_id", "query", "id", "score"])
 
-    return file.mapInArrow(run, "query_id long, query long, id long, score long")
+    return file.mapInArrow(tidy(run), "query_id long, query long, id long, score long")
 
 
 def top_k(vectors: DataFrame, query_condition, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
