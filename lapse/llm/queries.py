@@ -37,8 +37,19 @@ def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.assemble(staged(records, "records"))
     return captures.select(
         "response.page_id", "response.payload_bytes", "response.payload_digest", "response.record_type",
-        "response.refers_to", "capture_id", F.col("request.record_id").alias("request_id"),
-        F.col("metadata.record_id").alias("metadata_id"))
+        "response.refers_to", "n_requests", "n_metadata")
+
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> (35 - 5 * d)) & 31 AS INTEGER) + 1, 1)"
+ORACLE_SQL["op1_warc_captures"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+h AS (SELECT *, list_transform([1, 11, 21, 31], lambda a: CAST('0x' || substr(sha1(t), a, 10) AS BIGINT)) AS parts FROM p)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(parts, lambda v: array_to_string(list_transform(range(8), lambda d: {_DIGIT}), '')), '')
+         AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to, CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
+FROM h"""
 
 
 @_query

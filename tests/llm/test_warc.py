@@ -132,4 +132,4 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     got = E.queries()["op1_warc_captures"](spark, sf).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == expected(rows)
-    assert all(r.request_id and r.metadata_id for r in got)
+    assert all((r.n_requests, r.n_metadata) == (1, 1) for r in got)
