@@ -38,21 +38,22 @@ def _lone_spaces(text: str) -> bool:
     )
 
 
-CACHE_ENTRIES = 200_000
+#: Words in each of the cache's two generations.
+CACHE_WORDS = 200_000
 
 
 class _Bounded(dict):
     """A cache of two generations: when the young one is full it becomes the
     old one, and what is asked for again comes back from there."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, entries: int):
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -62,14 +63,14 @@ class _Bounded(dict):
 class BpeIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, ranks_path: str, pattern: str):
+    def __init__(self, path: str, ranks_path: str, pattern: str, cache_words: int = CACHE_WORDS):
         import tiktoken
 
         self.path, self.tokenizer = path, None
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.after_space = _Bounded(lambda unit: self._unit(" " + unit))
+        self.after_space = _Bounded(lambda unit: self._unit(" " + unit), cache_words)
 
     def _unit(self, text: str) -> bytes:
         return self.ranks.encode_to_numpy(text, disallowed_special=()).tobytes()
@@ -95,6 +96,6 @@ class BpeIds:
 
 
 @lru_cache(maxsize=2)
-def bpe_ids(path: str, ranks_path: str, pattern: str) -> BpeIds:
+def bpe_ids(path: str, ranks_path: str, pattern: str, cache_words: int = CACHE_WORDS) -> BpeIds:
     """One per worker process: the cache outlives a task."""
-    return BpeIds(path, ranks_path, pattern)
+    return BpeIds(path, ranks_path, pattern, cache_words)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.llm.bpe import bpe_ids
+from lapse.llm.bpe import CACHE_WORDS, bpe_ids
 from lapse.llm.common import tidy, worker_path
 
 #: Token bytes that a task holds before it packs and emits what it has.
@@ -97,7 +97,7 @@ def default_tokenizer() -> tuple[str, str, str]:
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 1024,
                    end_id: int = 0, tokenizer: tuple[str, str, str] | None = None,
-                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                   chunk_bytes: int = CHUNK_BYTES, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: id_col, start, length, ids (binary: unsigned 32-bit
     little-endian), doc_tokens, sequence_id, offset.
 
@@ -110,7 +110,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids are packed like any other row.  Other columns are not read.
 
     ``tokenizer``: (path of a byte-level BPE file, path of the same vocabulary as
-    ranks, its splitting pattern)."""
+    ranks, its splitting pattern).  ``cache_words`` trades a worker's memory for
+    time, nothing else."""
     worker_path(docs.sparkSession)
     files = tokenizer or default_tokenizer()
     end = end_id.to_bytes(4, "little")
@@ -123,7 +124,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ])
 
     def run(batches):
-        encode = bpe_ids(*files).encode
+        encode = bpe_ids(*files, cache_words).encode
         nxt = TaskContext.get().partitionId() << PART_SHIFT
         held, held_bytes, id_type = [], 0, None
 
