@@ -52,7 +52,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents, with their ids, in sequences of at most
     1024 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, cache_words=60_000)  # the workers hold what the other stages left, too
 
 
 STAGES = [
