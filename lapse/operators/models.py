@@ -30,6 +30,7 @@ from lapse.operators import features as FT
 from lapse.operators import metrics as MX
 from lapse.session import ensure_checkpoint_dir
 from lapse.spec import Spec, SpecError
+from lapse.staging import staged
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,8 @@ def correlation_model(df: DataFrame, spec: Spec, digits: int = 6) -> "TrainedMod
     what the average row would score.  No iterative fit, so SQL can say the
     same.  Rows without an outcome take part as in M1-M5, not in the
     correlations."""
-    df = spec.with_label(df)
+    # the fit reads its rows several times: derive them once
+    df = staged(FT.project_features(spec.with_label(df), spec, keep=[spec.label_col, spec.target_col]), "fit-rows")
     fm = FT.fit_features(df, spec)
     y = F.when(F.col(spec.target_col).isNotNull(), F.col(spec.label_col)).alias("_y")
     x = FT.transform_features(df.withColumn("_y", y), fm, keep=["_y"], vector_col=None)
