@@ -299,6 +299,60 @@ def plan_checks(spark, sf):
     return QC.plan_checks(plans, keep=["qid"])
 
 
+#: Chart of the second step of a plan, by operation.
+_CHARTS = {
+    "correlation": "correlation_heatmap", "get_model_info": "feature_importance", "tenure_trend": "tenure_trend",
+    "get_top_risk_customers": "top_risk_customers", "group_by_churn": "churn_by_column", "get_churn_rate": "churn_distribution",
+    "average_by_churn": "monthly_charges_by_churn", "get_average": "monthly_charges_by_churn",
+}
+_CHART_SQL = f"CASE operation {' '.join(f'WHEN {_sql_str(o)} THEN {_sql_str(c)}' for o, c in _CHARTS.items())} END"
+
+
+def _without_sql(key):
+    return f"len(list_filter(json_extract(plan_json, '$.steps[*]'), lambda x: json_extract(x, '$.{key}') IS NULL))"
+
+
+@query("plan_checks_documents", "Q10", sql=f"""
+WITH routed AS (SELECT conv_id, turn, {_route_sql()} FROM conversations WHERE role = 'user'),
+charted AS (SELECT *, {_CHART_SQL} AS chart FROM routed),
+s AS (
+  SELECT conv_id, turn, intent, chart,
+         json_object('tool', operation, 'params', json_object('column', "column", 'customer_id', customer_id)) AS one,
+         json_object('tool', 'generate_chart', 'params', json_object('chart_type', chart, 'column', "column")) AS two
+  FROM charted),
+p AS (
+  SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS plan_id,
+         CAST(json_object('intent', intent, 'steps', CASE WHEN chart IS NULL THEN json_array(one) ELSE json_array(one, two) END)
+              AS VARCHAR) AS plan_json
+  FROM s
+  UNION ALL SELECT 'event-' || CAST(event_id AS VARCHAR), props FROM events),
+c AS (
+  SELECT plan_id, coalesce(json_valid(plan_json), false) AS parsed,
+         parsed AND json_extract_string(plan_json, '$.intent') IS NOT NULL AS has_intent,
+         parsed AND json_extract(plan_json, '$.steps') IS NOT NULL AS has_steps,
+         parsed AND coalesce(json_type(plan_json, '$.steps') = 'ARRAY', false) AS steps_is_list,
+         json_extract_string(plan_json, '$.intent') AS intent, plan_json
+  FROM p)
+SELECT plan_id, parsed, has_intent, has_steps, steps_is_list,
+       CASE WHEN steps_is_list THEN CAST(json_array_length(plan_json, '$.steps') AS INTEGER) END AS n_steps,
+       CASE WHEN steps_is_list THEN CAST({_without_sql('tool')} AS INTEGER) END AS n_steps_without_tool,
+       CASE WHEN steps_is_list THEN CAST({_without_sql('params')} AS INTEGER) END AS n_steps_without_params,
+       steps_is_list AND json_array_length(plan_json, '$.steps') = 0 AND coalesce(intent, '') <> 'unanswerable'
+         AS empty_plan_warning,
+       has_intent AND has_steps AND steps_is_list AND coalesce(CASE WHEN steps_is_list THEN {_without_sql('tool')} END, 0) = 0
+         AS passed
+FROM c""")
+def plan_checks_documents(spark, sf):
+    """The plan routed from every user turn, and the properties of every event."""
+    c = read_table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = c.withColumn("plan_id", F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"),
+                                         F.col("turn").cast("string")))
+    plans = TJ.plan_json(TJ.route_questions(c, keep=["plan_id"]), keep=["plan_id"])
+    ev = read_table(spark, sf, "events").select(
+        F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("plan_id"), F.col("props").alias("plan_json"))
+    return QC.plan_checks(plans.unionByName(ev), keep=["plan_id"])
+
+
 # (question, intent, operation, column, chart, col1, col2, names an id, changes)
 QUESTIONS = [
     ("What if {id} changes to a two year contract with tech support?", "hypothetical", "predict_hypothetical", None, None, None,
