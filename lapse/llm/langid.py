@@ -26,8 +26,6 @@ DIMS = 2048
 TRAIN_ROWS = 800
 UNDETERMINED = "und"
 CHUNK = 1 << 20
-#: Code of all letters beyond the basic plane.
-OTHER_PLANES = 0x350
 #: Languages without an entry are families of their own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi".split(),
@@ -44,16 +42,15 @@ def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if base in langs), lang)
 
 
+def _code(point: int) -> int:
+    """The code point of the lower-cased letter; 0 for all else."""
+    ch = chr(point)
+    return ord(ch.lower()[0]) if ch.isalpha() else 0
+
+
 def _folded() -> np.ndarray:
-    """Code point -> letter code: lower-cased letters below U+0250 as they
-    are, other letters by 256s and their low byte, all else 0."""
-    table = np.zeros(0x10000, np.uint32)
-    for c in range(0x10000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            table[c] = low if low < 0x250 else 0x250 + (low >> 8)
-    return table
+    """Code point of the basic plane -> code of its letter."""
+    return np.array([_code(c) for c in range(0x10000)], np.uint32)
 
 
 _TABLE = None
@@ -72,7 +69,7 @@ def features(text: str | None, dims: int = DIMS) -> np.ndarray | None:
         codes = _TABLE[np.minimum(points, 0xFFFF)]
         if points.max() > 0xFFFF:
             for p in np.unique(points[points > 0xFFFF]):
-                codes[points == p] = OTHER_PLANES if chr(p).isalpha() else 0
+                codes[points == p] = _code(int(p))
         seen = seen or bool(codes.any())
         codes = np.concatenate([[0], codes, [0]]).astype(np.uint32)
         codes = codes[(codes > 0) | np.concatenate([[True], codes[:-1] > 0])]  # one space between words

@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy and odd input."""
 
+import random
 import zlib
 
 import numpy as np
@@ -73,3 +74,33 @@ def test_features_of_a_long_text_in_chunks(monkeypatch):
     monkeypatch.setattr("lapse.llm.langid.CHUNK", 700)
     assert features(text) @ whole > 0.99
     assert features("１２ ") is None and Hierarchy([]).predict("x") == (UNDETERMINED, 0.0)
+
+
+#: Words of close languages of one script, of the same lengths pair by pair.
+CLOSE = {
+    ("ru", "uk"): [("что", "або"), ("был", "був"), ("язык", "мова"), ("если", "якщо"), ("город", "місто"), ("может", "треба"),
+                   ("только", "тільки"), ("сейчас", "завжди"), ("человек", "людська"), ("хорошая", "зручний")],
+    ("hi", "mr"): [("और", "आण"), ("यह", "वय"), ("घर", "मल"), ("नमक", "मठत"), ("शहर", "सरळ"), ("बहन", "बहण"), ("कलम", "लखण"),
+                   ("अगर", "जरळ"), ("समझ", "आवड"), ("मगर", "परत")],
+}
+
+
+def test_close_languages_of_one_script(spark):
+    rng = random.Random(6)
+
+    def text(pairs, k):
+        return " ".join(rng.choice(pairs)[k] for _ in range(30))
+
+    rows = [(lang, text(pairs, k)) for langs, pairs in CLOSE.items() for k, lang in enumerate(langs) for _ in range(40)]
+    model = fit(spark.createDataFrame(rows, "lang string, text string"), max_iter=10)
+    assert model.families == {"slavic": ["ru", "uk"], "indic": ["hi", "mr"]}
+    for langs, pairs in CLOSE.items():
+        for k, lang in enumerate(langs):
+            assert [model.predict(text(pairs, k))[0] for _ in range(20)] == [lang] * 20
+
+
+def test_every_letter_has_its_own_code():
+    for a, b in (("мова", "язык"), ("\u0915", "\u0916"), ("日", "本"), ("\U00010400", "\U00010401")):
+        assert features(a) @ features(b) < 0.9
+    assert features("МОВА") @ features("мова") > 0.999
+    assert features("\U00010400") @ features("\U00010428") > 0.999
