@@ -15,6 +15,8 @@
    longest-common-subsequence check: at least ``min_lcs`` of the item's words
    in order, or, for a paraphrase, at least ``paraphrase_lcs`` of them
    together with ``answer_share`` of the answer's.
+6. Items of fewer than ``min_words`` words have too few for a window; they are
+   found where a document holds exactly their words one after another.
 
 The benchmark is taken in blocks of ``ITEM_BLOCK`` items, so what is sent to
 the tasks and kept on the driver (terms x rank) is bounded by that block."""
@@ -22,7 +24,8 @@ the tasks and kept on the driver (terms x rank) is bounded by that block."""
 from __future__ import annotations
 
 import re
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 from itertools import repeat
 
 import numpy as np
@@ -43,18 +46,62 @@ TOKENS = 1 << 19
 CHUNK = 3 << 13  # a multiple of every stride up to 8192
 
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_WORD = re.compile(r"[^\W_]+")
+#: UTF-8 of all but ASCII and the letters from U+00C0 to U+027F, which are all
+#: composed letters except U+00D7 and U+00F7.
+_BEYOND = re.compile(rb"[\xc2\xca-\xff]")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+#: First and last letters of scripts that put no space between words (Han and
+#: kana, Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, Yi).
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+            (0x2E80, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF),
+            (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)]
+
+
+def _ranges(points) -> str:
+    """The inside of a character class."""
+    out, first, last = [], None, None
+    for c in [*points, None]:
+        if first is not None and c != last + 1:
+            out.append(f"\\U{first:08x}-\\U{last:08x}")
+            first = None
+        if first is None:
+            first = c
+        last = c
+    return "".join(out)
+
+
+@lru_cache(maxsize=2)
+def _word_pattern(planes: bool) -> re.Pattern:
+    """A run of letters and digits with their marks, or one character of an
+    unspaced script with its marks; a smaller class, tried faster, without the
+    planes beyond the basic one."""
+    letters = [c for c in range(0x40000 if planes else 0x10000) if chr(c).isalnum()]
+    marks = _ranges(c for c in range(0xE01F0 if planes else 0x10000) if unicodedata.category(chr(c))[0] == "M")
+    apart = {c for a, z in UNSPACED for c in range(a, z + 1)}
+    spaced, unspaced = _ranges(c for c in letters if c not in apart), _ranges(c for c in letters if c in apart)
+    return re.compile(f"[{spaced}][{spaced}{marks}]*|[{unspaced}][{marks}]*")
 
 
 def words(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters and digits."""
+    """Lower-cased runs of letters and digits with their marks, composed;
+    scripts without spaces by characters.  One rule for all texts: ASCII and
+    Latin letters alone take a shorter way to the same words."""
     if not text:
         return []
     low = text.lower()
-    data = low.encode("utf-8", "ignore")
-    if b"\xc2" in data or b"\xe2" in data or b"\xe3" in data:  # punctuation or spaces beyond ASCII
-        return [w.encode("utf-8", "ignore") for w in _WORD.findall(low)]
-    return data.translate(_KEEP).split()
+    data = low.encode("utf-8", "surrogatepass")
+    if low.isascii() or not (_BEYOND.search(data) or b"\xc3\x97" in data or b"\xc3\xb7" in data):
+        return data.translate(_KEEP).split()
+    return _general_words(low)
+
+
+def _general_words(low: str) -> list[bytes]:
+    low = unicodedata.normalize("NFC", low)
+    planes = False
+    if _ASTRAL.search(low):
+        low = _ASTRAL.sub(lambda m: m[0] if m[0].isalnum() or unicodedata.category(m[0])[0] == "M" else " ", low)
+        planes = _ASTRAL.search(low) is not None
+    return [w.encode() for w in _word_pattern(planes).findall(low)]
 
 
 def answer_words(text: str | None, answer: str | None) -> list[bytes]:
@@ -95,18 +142,72 @@ def stride_of(size: int) -> int:
     return max(STEP, -(-size // 4 // STEP) * STEP)
 
 
+class Runs:
+    """Items of few words, found as exact runs: the trie of their words is
+    walked from all words of a chunk of documents at once."""
+
+    def __init__(self, items: list[tuple], terms: int):
+        self.ids, self.terms = [x[0] for x in items], terms
+        self.shares = [lcs_length(a, ws) / len(a) if a else 0.0 for _, ws, a in items]
+        self.longest = max((len(ws) for _, ws, _ in items), default=0)
+        edges: dict[int, int] = {}
+        self.at: dict[int, list[int]] = {}
+        for k, (_, ws, _) in enumerate(items):
+            node = 0
+            for w in ws:
+                node = edges.setdefault(node * terms + w, len(edges) + 1)
+            self.at.setdefault(node, []).append(k)
+        self.keys = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[k] for k in sorted(edges)], np.int64)
+        self.ends = np.zeros(len(edges) + 1, bool)
+        self.ends[list(self.at)] = True
+
+    def matches(self, buffers: list[np.ndarray]):
+        """(document, item, cosine, lcs, answer share, first, last) of the
+        first run of each document and item."""
+        if not self.ids or not buffers:
+            return
+        stream = np.concatenate([y for x in buffers for y in (x, [0])]).astype(np.int64)  # 0 ends a document
+        ends = np.cumsum([len(x) + 1 for x in buffers])
+        pos = np.flatnonzero(stream)
+        node = np.zeros(len(pos), np.int64)
+        for step in range(self.longest):
+            key = node * self.terms + stream[pos + step]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[i] == key
+            pos, node = pos[on], self.to[i[on]]
+            p, n = pos[self.ends[node]], node[self.ends[node]]
+            doc = np.searchsorted(ends, p, side="right")
+            for f in np.unique(doc * len(self.ends) + n, return_index=True)[1]:
+                d = int(doc[f])
+                first = int(p[f]) - int(ends[d]) + len(buffers[d]) + 1
+                for k in self.at[int(n[f])]:
+                    yield d, k, 1.0, 1.0, self.shares[k], first, first + step + 1
+
+
 class Items:
     """One block of benchmark items in the form that the tasks use."""
 
     def __init__(self, rows: list, min_words: int):
         lists = [(r.item, words(r.text), answer_words(r.text, r.answer)) for r in rows]
+        short = [x for x in lists if 0 < len(x[1]) < min_words]
         lists = [x for x in lists if len(x[1]) >= min_words]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws, a in lists for w in ws + a}), 1)}
+        known = sorted({w for _, ws, a in lists for w in ws + a})
+        more = sorted({w for _, ws, a in short for w in ws + a}.difference(known))  # words of short items alone come last
+        self.vocabulary = {w: i for i, w in enumerate(known + more, 1)}
         self.ids = [x[0] for x in lists]
         self.words = [[self.vocabulary[w] for w in ws] for _, ws, _ in lists]
         self.answers = [[self.vocabulary[w] for w in a] for _, _, a in lists]
-        self.terms = len(self.vocabulary) + 1
-        self.dtype = np.dtype("<u2" if self.terms < 1 << 16 else "<u4")
+        self.terms = len(known) + 1
+        self.dtype = np.dtype("<u2" if len(self.vocabulary) + 1 < 1 << 16 else "<u4")
+        self.runs = Runs([(item, *([self.vocabulary[w] for w in x] for x in (ws, a))) for item, ws, a in short],
+                         len(self.vocabulary) + 1)
+
+    def long_parts(self, buffers: list[np.ndarray]) -> list[np.ndarray]:
+        """Encoded documents without the words that only short items have."""
+        if len(self.vocabulary) < self.terms:
+            return buffers
+        return [np.where(x < self.terms, x, 0).astype(self.dtype) for x in buffers]
 
     def has(self) -> np.ndarray:
         """Bits: does the item have the term?"""
@@ -173,7 +274,7 @@ def term_weights(encoded: DataFrame, items: Items, passage_words: int) -> tuple[
         df = np.zeros(terms, np.int64)
         for b in batches:
             for docs in _chunks(b.column("ids"), dtype):
-                found, n = _passages(docs, terms, passage_words)
+                found, n = _passages(items.long_parts(docs), terms, passage_words)
                 df[0] += n
                 df += np.bincount(found[1], minlength=terms)
         at = np.nonzero(df)[0]
@@ -220,7 +321,7 @@ def sketch(encoded: DataFrame, items: Items, weights: np.ndarray, passage_words:
         total = np.zeros((terms, width))
         for b in batches:
             for docs in _chunks(b.column("ids"), dtype):
-                add(total, *_passages(docs, terms, passage_words)[0])
+                add(total, *_passages(items.long_parts(docs), terms, passage_words)[0])
         at = np.nonzero(total.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c) for c in total[at].T)], names=["term", *names])
 
@@ -355,8 +456,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     item_id, cosine, lcs_share, answer_share, first_word, last_word (exclusive;
     of the best window with its margin).
 
-    Documents and items with null or empty text match nothing; items of fewer
-    than ``min_words`` words are not searched, they occur by chance.  Repeated
+    Documents and items with null or empty text match nothing; an item of fewer
+    than ``min_words`` words matches where its words stand exactly in a row
+    (cosine and lcs_share 1, first and last word of the run).  Repeated
     items match like the first; repeated documents and ids give one row per id
     and item.  An empty table gives no rows.  Other columns are not read."""
     spark = docs.sparkSession
@@ -373,14 +475,16 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     found = []
     for block in range(blocks):
         items = Items(wanted.where(F.col("block") == block).orderBy("item", "text").collect(), min_words)
-        if not items.ids:
+        if not items.ids and not items.runs.ids:
             continue
         encoded = staged(encode_documents(docs, id_col, text_col, items), "encoded")
-        weights, passages = term_weights(encoded, items, passage_words)
-        w, product = sketch(encoded, items, weights, passage_words, rank + OVERSAMPLE, seed)
-        vectors = weights[:, None] * right_vectors(w, add_items(w, product, items, weights, passages), rank)
-        found.append(staged(_search(encoded, Search(items, vectors, min_cosine, min_lcs, paraphrase_lcs, answer_share),
-                                    schema), "matches"))
+        search = None
+        if items.ids:
+            weights, passages = term_weights(encoded, items, passage_words)
+            w, product = sketch(encoded, items, weights, passage_words, rank + OVERSAMPLE, seed)
+            vectors = weights[:, None] * right_vectors(w, add_items(w, product, items, weights, passages), rank)
+            search = Search(items, vectors, min_cosine, min_lcs, paraphrase_lcs, answer_share)
+        found.append(staged(_search(encoded, items, search, schema), "matches"))
         drop_staged(encoded)
     if not found:
         return spark.createDataFrame([], schema)
@@ -389,13 +493,16 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
             .select(id_col, "item_id", "m.cosine", "m.lcs_share", "m.answer_share", "m.first_word", "m.last_word"))
 
 
-def _search(encoded: DataFrame, search: Search, schema: T.StructType) -> DataFrame:
+def _search(encoded: DataFrame, items: Items, search: Search | None, schema: T.StructType) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
             rows, first = [], 0
-            for docs in _chunks(b.column(1), search.items.dtype):
-                rows += [(ids[first + doc], search.items.ids[item], *rest) for doc, item, *rest in search.matches(docs)]
+            for docs in _chunks(b.column(1), items.dtype):
+                if search:
+                    rows += [(ids[first + doc], items.ids[item], *rest)
+                             for doc, item, *rest in search.matches(items.long_parts(docs))]
+                rows += [(ids[first + doc], items.runs.ids[item], *rest) for doc, item, *rest in items.runs.matches(docs)]
                 first += len(docs)
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows],

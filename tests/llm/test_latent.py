@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lapse.llm.latent import (answer_words, benchmark_matches, lcs_length, right_vectors, window_size, words)
+from lapse.llm.latent import (_general_words, answer_words, benchmark_matches, lcs_length, right_vectors, window_size, words)
 
 
 def slow_lcs(a, b):
@@ -117,3 +117,33 @@ def test_query_finds_every_copied_item(spark):
     assert want <= set(got)
     for (d, i), r in got.items():
         assert slow_lcs([hash(w) | 1 for w in items[i]], [hash(w) | 1 for w in docs[d][r.first_word:r.last_word]]) >= 0.5 * len(items[i])
+
+
+def test_one_rule_for_all_texts():
+    for passage in ("हिन्दी में एक वाक्य यहाँ लिखा है", "cafe\u0301 au lait, déjà vu", "ein、zwei，drei", "今天天气很好", "ภาษาไทย"):
+        assert words("x “—” \u00a0" + passage) == [b"x", *words(passage)]
+    assert words("हिन्दी में") == ["हिन्दी".encode(), "में".encode()]
+    assert words("cafe\u0301") == words("café") == ["café".encode()]
+    assert words("GPT模型，好") == [b"gpt", *(c.encode() for c in "模型好")]
+    assert words("ein，zwei") == [b"ein", b"zwei"]
+    assert words("déjà 😀 vu \U00020000") == ["déjà".encode(), b"vu", "\U00020000".encode()]
+    for c in range(0x300):  # the shorter way
+        text = f"a{chr(c)}b é{chr(c)}"
+        assert words(text) == _general_words(text.lower())
+
+
+def test_leaks_in_any_script_and_of_few_words(spark, corpus):
+    background, items, _ = corpus
+    hindi = "भारत की राजधानी नई दिल्ली है और यहाँ की जनसंख्या बहुत अधिक है"
+    chinese = "水在标准大气压下的沸点是一百摄氏度"
+    leaks = [(1, "“quoted” — " + hindi), (2, "前言：" + chinese + "。后记"), (3, "Who wrote Faust? Goethe did."),
+             (4, "wrote who Faust"), (5, "who wrote"), (6, "Faust – who wrote faust!"), (7, "the cafe\u0301 noir")]
+    d = spark.createDataFrame([*((100 + i, t) for i, t in background[40:]), *leaks], "doc_id long, text string")
+    b = spark.createDataFrame([*items, (70, hindi), (71, chinese), (72, "Who wrote Faust?"), (73, "café noir"), (74, "?"),
+                               (75, "who wrote faust")], "item_id long, text string")
+    want = {(1, 70), (2, 71), (3, 72), (3, 75), (6, 72), (6, 75), (7, 73)}
+    got = benchmark_matches(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert {(r.first_word, r.last_word) for r in got if r.item_id == 72} == {(0, 3), (1, 4)}
+    short = benchmark_matches(d, b.where("item_id > 71")).collect()
+    assert {(r.doc_id, r.item_id) for r in short} == {x for x in want if x[1] > 71}
