@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse.llm import chat, langid, secrets, vafile, warc
+from lapse.llm.audit import audit_filters
 from lapse.llm.common import shared_path, staged
 from lapse.llm.latent import benchmark_matches
 from lapse.llm.packing import pack_documents
@@ -206,3 +207,38 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+m AS (SELECT part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM w LEFT JOIN l USING (doc_id)),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(filter_order, before, bit, step) AS (
+  SELECT '', 0, 0, 0
+  UNION ALL
+  SELECT p.filter_order || f.letter, p.before | p.bit, f.bit, p.step + 1 FROM p JOIN f ON (p.before | p.bit) & f.bit = 0),
+s AS (SELECT m.part, p.filter_order AS prefix, p.step,
+             count(*) FILTER (m.mask & (before | bit) = 0) AS kept,
+             count(*) FILTER (m.mask & bit <> 0 AND m.mask & before = 0) AS removed,
+             count(*) FILTER (m.mask & bit <> 0 AND m.mask & before <> 0) AS redundant,
+             count(*) FILTER (m.mask = bit) AS unique_fails,
+             count(*) FILTER (m.mask & bit <> 0 AND m.mask & before = 0 AND good = 1) AS good_lost,
+             count(*) FILTER (m.mask & bit <> 0 AND m.mask & before = 0 AND toxic = 1) AS toxic_lost
+      FROM m, p WHERE p.step > 0 GROUP BY ALL),
+o AS (SELECT o.filter_order, s.* EXCLUDE (prefix) FROM p o JOIN s ON o.step = 5 AND starts_with(o.filter_order, s.prefix))
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM o"""
