@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lapse.llm import chat, langid, secrets, vafile, warc
 from lapse.llm.audit import audit_filters
+from lapse.llm.codes import codebooks_sha256, compress
 from lapse.llm.common import shared_path, staged
 from lapse.llm.latent import benchmark_matches
 from lapse.llm.packing import pack_documents
@@ -242,3 +243,42 @@ s AS (SELECT m.part, p.filter_order AS prefix, p.step,
 o AS (SELECT o.filter_order, s.* EXCLUDE (prefix) FROM p o JOIN s ON o.step = 5 AND starts_with(o.filter_order, s.prefix))
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM o"""
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(read_table(spark, sf_dir, "embeddings"), keep=["label"])
+    codes = staged(codes, "coded")
+    totals = codes.groupBy(F.col("label").alias("__label")).agg(F.sum("error").alias("label_error"))
+    out = codes.join(totals, F.col("label").eqNullSafe(F.col("__label")), "left")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def _vector_rounds(rounds: int, parts: int = 8, entries: int = 16) -> str:
+    """CTEs a0, b1, a1, ...: nearest entries of every part, and the next codebooks."""
+    steps = []
+    for r in range(rounds + 1):
+        if r:
+            steps.append(f"""
+b{r} AS MATERIALIZED (SELECT o.part, o.entry, o.k, coalesce(m.c, o.c) AS c FROM b{r - 1} o LEFT JOIN (
+      SELECT x.part, a.entry, x.k, CAST(floor(CAST(sum(x.c) AS DOUBLE) / count(*)) AS BIGINT) AS c
+      FROM x JOIN a{r - 1} a USING (row_id, part) GROUP BY ALL) m USING (part, entry, k))""")
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT row_id, part, d // {entries} AS dist, d % {entries} AS entry FROM (
+      SELECT row_id, part, min(dist * {entries} + entry) AS d FROM (
+        SELECT x.row_id, x.part, b.entry, CAST(sum((x.c - b.c) * (x.c - b.c)) AS BIGINT) AS dist
+        FROM x JOIN b{r} b USING (part, k) GROUP BY ALL) GROUP BY ALL))""")
+    return ",".join(steps)
+
+
+ORACLE_SQL["op13_vector_codes"] = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row_id, vec_id, label, embedding AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT row_id, (i - 1) * 8 // len(e) AS part, i AS k, CAST(floor(4096 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS c
+      FROM (SELECT row_id, e, unnest(range(1, len(e) + 1)) AS i FROM v)),
+b0 AS (SELECT part, row_id - 1 AS entry, k, c FROM x WHERE row_id <= 16),{_vector_rounds(6)},
+o AS (SELECT row_id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error
+      FROM a6 GROUP BY row_id),
+s AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, k)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN o USING (row_id), s"""
