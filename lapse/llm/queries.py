@@ -15,6 +15,7 @@ from lapse.llm.audit import audit_filters
 from lapse.llm.codes import codebooks_sha256, compress
 from lapse.llm.common import shared_path, staged
 from lapse.llm.latent import benchmark_matches
+from lapse.llm.neighbours import nearest
 from lapse.llm.packing import pack_documents
 from lapse.llm.simhash import simhash_components
 from lapse.llm.unigram import token_counts
@@ -245,6 +246,11 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM o"""
 
 
+@_query
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), lambda c: F.col(c) % 50 == 0)
+
+
 @_query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = compress(read_table(spark, sf_dir, "embeddings"), keep=["label"])
