@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lapse.llm.arrays import blocks_of, let, piece, running
 from lapse.llm.common import drop_staged, is_empty, staged
 
 OPEN, CLOSE = "<s>", "</s>"
@@ -123,18 +124,17 @@ def format_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     turns = rows.groupBy("conv", "leaf", "rank").agg(
         F.array_sort(F.collect_list(F.struct("at", "r", "t", "loss"))).alias("turns"))
     body = F.transform("turns", lambda x: F.concat(F.lit(OPEN), x["r"], F.lit("\n"), x["t"], F.lit(CLOSE)))
-    spans = "array<struct<start:bigint,end:bigint>>"
+    sizes = F.transform("turns", lambda x: F.length(x["r"]) + F.length(x["t"]) + (len(OPEN) + 1 + len(CLOSE)))
 
-    def place(acc, x):
-        start = acc["at"] + F.length(x["r"]) + len(OPEN) + 1
-        end = start + F.length(x["t"])
-        span = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
-        return F.struct((end + len(CLOSE)).cast("bigint").alias("at"),
-                        F.when(x["loss"], F.concat(acc["out"], span)).otherwise(acc["out"]).cast(spans).alias("out"))
+    def place(x, before):
+        start = before + F.length(x["r"]) + (len(OPEN) + 1)
+        return F.struct(start.cast("bigint").alias("start"), (start + F.length(x["t"])).cast("bigint").alias("end"),
+                        x["loss"].alias("loss"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(spans).alias("out"))
+    placed = let(running(sizes, lambda a, b: a + b), lambda before: F.transform("turns", lambda x, i: place(x, before[i])))
+    under = F.transform(F.filter(placed, lambda x: x["loss"]), lambda x: F.struct(x["start"], x["end"]))
     return turns.select("conv", "leaf", "rank", F.array_join(body, "").alias("formatted"),
-                        F.aggregate("turns", zero, place, lambda acc: acc["out"]).alias("loss_spans"))
+                        under.cast("array<struct<start:bigint,end:bigint>>").alias("loss_spans"))
 
 
 def parsed_turns(formatted: Column) -> Column:
@@ -152,8 +152,7 @@ def parsed_turns(formatted: Column) -> Column:
 
 def loss_texts(formatted: Column, loss_spans: Column) -> Column:
     """The texts under the loss mask, unescaped, in order."""
-    return F.transform(loss_spans, lambda s: unescaped(
-        F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    return let(blocks_of(formatted), lambda b: F.transform(loss_spans, lambda s: unescaped(piece(b, s["start"], s["end"]))))
 
 
 def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:

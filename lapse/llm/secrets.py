@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapse.llm.arrays import blocks_of, let, piece, running
 from lapse.llm.common import staged
 from lapse.llm.trigrams import trigram_query
 
@@ -76,17 +77,20 @@ def match_spans(text: Column, rule: Rule, rank: int) -> Column:
         F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.array(F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"),
-                                end.cast("bigint").alias("end"), F.lit(rule.kind).alias("kind")))
-        keep = x["hit"].isNotNull() & (F.length(x["part"]) >= rule.min_chars)
-        return F.struct(F.coalesce(end, acc["at"]).cast("bigint").alias("at"),
-                        F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).cast(SPAN).alias("out"))
+    def spans(parts):
+        sizes = F.transform(parts, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+        def span(x, start):
+            return F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"),
+                            (start + F.length(x["hit"])).cast("bigint").alias("end"), F.lit(rule.kind).alias("kind"),
+                            (F.length(x["part"]) >= rule.min_chars).alias("keep"))
+
+        found = let(running(sizes, lambda a, b: a + b), lambda before: F.transform(
+            parts, lambda x, i: span(x, before[i] + F.length(x["gap"]))))
+        kept = F.filter(found, lambda s: s["keep"])  # null after the last match
+        return F.transform(kept, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"])).cast(SPAN)
+
+    return let(parts, spans)
 
 
 def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text",
@@ -121,18 +125,19 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
     """``text`` with each run of overlapping or touching spans (by start)
     replaced by ``mark``."""
 
-    def step(acc, s):
-        fresh = s["start"] > acc["at"]
-        first = acc["at"] == 0
-        piece = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh | first & (s["start"] == 0), F.concat(acc["out"], F.array(piece, F.lit(mark))))
-            .otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    def masked(spans, blocks):
+        def one(done):  # done: the largest end before each span, and at last of all
+            def part(s, i):
+                gap = piece(blocks, F.get(done, i), s["start"])
+                return F.when((s["start"] > F.get(done, i)) | (i == 0), F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
+
+            tail = piece(blocks, F.element_at(done, -1), F.length(text).cast("bigint"))
+            return F.concat(F.array_join(F.transform(spans, part), ""), tail)
+
+        ends = F.concat(F.transform(spans, lambda s: s["end"]), F.array(F.lit(0).cast("bigint")))
+        return let(running(ends, F.greatest), one)
+
+    return let(spans, lambda s: let(blocks_of(text), lambda b: masked(s, b)))
 
 
 def redact(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]",
