@@ -11,15 +11,16 @@ the rules that fit, the longest decides."""
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.llm.common import staged
+from lapse.llm.common import is_empty, staged
 
-#: Rule tables up to this many bytes of text are sent to the tasks.
-BROADCAST_BYTES = 4 << 20
+#: ``^`` in a pattern.
+SEPARATOR = "([^A-Za-z0-9_.%-]|$)"
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class UrlRule:
     def regex(self) -> str:
         """Over the lower-cased host followed by the path; the same in Java
         and RE2.  (?s): line ends in a path are characters like any other."""
-        body = "".join({"*": ".*", "^": "([^A-Za-z0-9_.%-]|$)"}.get(c, re.sub(r"([^A-Za-z0-9/])", r"\\\1", c)) for c in self.name)
+        body = "".join({"*": ".*", "^": SEPARATOR}.get(c, re.sub(r"([^A-Za-z0-9/])", r"\\\1", c)) for c in self.name)
         return r"(?s)^([^/]*\.)?" + body if self.pattern.startswith("||") else "(?s)" + body
 
     def tokens(self) -> list[str]:
@@ -60,55 +61,62 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _literal_rows(spark: SparkSession, columns: dict[str, str], rows: list[tuple]) -> DataFrame:
-    """A small table written into the plan."""
-    if not rows:
-        return spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in columns.items()))
-    values = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, columns.items(), strict=True))) for r in rows))
-    return spark.range(1).select(F.inline(values))
-
-
-def index_rules(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
-    """(token, rule): each rule under its rarest token (ties: the first in
-    alphabetical order), counted over the token sets of all ``urls``; a null
-    token for rules that have none."""
-    spark = urls.sparkSession
-    pairs = [(t, i) for i, r in enumerate(rules) for t in r.tokens()]
-    loose = [(i,) for i, r in enumerate(rules) if not r.tokens()]
-    filed = _literal_rows(spark, {"token": "string", "rule": "int"}, pairs)
+def rule_table(spark: SparkSession, rules: Sequence[UrlRule] | DataFrame) -> DataFrame:
+    """(rule, name, regex, verdict, tokens): one row per rule, numbered in the
+    order of its name and verdict, in the shared folder.  ``rules``: a list, or
+    a table (pattern string, allow boolean), whose null patterns are left out
+    and whose null ``allow`` blocks."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.pattern, r.allow) for r in rules], "pattern string, allow boolean")
+    anchored = F.startswith("pattern", F.lit("||"))
+    plain = rules.where("pattern is not null").select(
+        F.when(anchored, F.substring("pattern", 3, 1 << 30)).otherwise(F.col("pattern")).alias("name"), anchored.alias("anchored"),
+        F.when(F.col("allow"), "allow").otherwise("block").alias("verdict"))
+    body = F.regexp_replace("name", r"([^A-Za-z0-9/*^])", r"\\$1")
+    body = F.replace(F.replace(body, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit(SEPARATOR))
+    regex = F.concat(F.when(F.col("anchored"), F.lit(r"(?s)^([^/]*\.)?")).otherwise(F.lit("(?s)")), body)
+    inner = r"(?<=[^A-Za-z0-9*])[A-Za-z0-9]+(?=[^A-Za-z0-9*])"
+    first = r"^[A-Za-z0-9]+(?=[^A-Za-z0-9*])"
+    tokens = F.when(F.col("anchored"), F.regexp_extract_all("name", F.lit(f"(?:{first})|(?:{inner})"), F.lit(0))).otherwise(
+        F.regexp_extract_all("name", F.lit(inner), F.lit(0)))
+    table = plain.select("name", regex.alias("regex"), "verdict", F.array_distinct(F.transform(tokens, _ascii_lower)).alias("tokens"))
+    return staged(table.distinct().select(F.xxhash64("name", "regex", "verdict").alias("rule"), "*"), "rules")
+
+
+def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(token, rule): each rule of ``rule_table`` that has tokens under its
+    rarest one (ties: the first in alphabetical order), counted over the token
+    sets of all ``urls``."""
+    filed = rules.select("rule", F.explode("tokens").alias("token"))
     wanted = filed.select("token").distinct()
     counts = urls.select(F.explode("tokens").alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = filed.join(counts, "token", "left").groupBy("rule").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best"))
-    return rarest.select("best.token", "rule").unionByName(
-        _literal_rows(spark, {"rule": "int"}, loose).select(F.lit(None).cast("string").alias("token"), "rule"))
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best")
+    return filed.join(counts, "token", "left").groupBy("rule").agg(best).select("best.token", "rule")
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[UrlRule] | DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict appended (columns of those
     names are replaced).  rule is null and the verdict ``default`` where no
     rule fits.  Ties between rules of equal length go to the smaller name;
     a rule given twice, to the blocking one.  Null and malformed URLs have
-    empty host and path.  Every row comes back once."""
+    empty host and path.  Every row comes back once; an empty table gives no
+    rows, and without rules every URL gets ``default``.
+
+    ``rules``: a list or a table (see ``rule_table``).  They stay a table; only
+    those without a token, which every URL has to try, are sent to all tasks."""
     spark = pages.sparkSession
     kept = pages.drop("host", "path", "rule", "verdict")
     url = F.col(url_col).cast("string")
     where = F.concat(host_of(url), path_of(url))
     urls = staged(kept.select(where.alias("place")).distinct()
                   .select("place", F.array_distinct(F.split(_ascii_lower(F.col("place")), "[^a-z0-9]+")).alias("tokens")), "urls")
-    index = index_rules(urls, rules)
-    table = _literal_rows(spark, {"rule": "int", "name": "string", "regex": "string", "verdict": "string"},
-                          [(i, r.name, r.regex(), "allow" if r.allow else "block") for i, r in enumerate(rules)])
-    filed = index.join(table, "rule")
-    if sum(len(r.pattern) + len(r.regex()) for r in rules) <= BROADCAST_BYTES:
-        filed = F.broadcast(filed)
-    asked = urls.select("place", F.explode("tokens").alias("token"))
-    by_token = asked.join(filed, "token").select("place", "name", "regex", "verdict")
-    loose = [(r.name, r.regex(), "allow" if r.allow else "block") for r in rules if not r.tokens()]
-    found = by_token
-    if loose:
-        everywhere = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("name", "regex", "verdict"), r, strict=True))) for r in loose))
-        found = found.unionByName(urls.select("place", F.inline(everywhere)))
+    table = rule_table(spark, rules)
+    filed = staged(index_rules(urls, table).join(table.drop("tokens"), "rule"), "filed")
+    found = urls.select("place", F.explode("tokens").alias("token")).join(filed, "token").select("place", "name", "regex", "verdict")
+    loose = table.where(F.size("tokens") == 0)
+    if not is_empty(loose):
+        everywhere = loose.agg(F.collect_list(F.struct("name", "regex", "verdict"))).scalar()
+        found = found.unionByName(urls.select("place", F.explode(everywhere).alias("r")).select("place", "r.*"))
     fits = found.where(F.expr("place rlike regex"))
     order = F.struct(-F.length("name"), F.col("name"), (F.col("verdict") == "allow"))
     best = staged(fits.groupBy("place").agg(F.min_by(F.struct("name", "verdict"), order).alias("best")), "verdicts")
