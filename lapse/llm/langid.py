@@ -18,11 +18,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lapse.llm.common import staged, tidy, worker_path
 
 DIMS = 2048
-#: Labelled rows per language that the classifiers are fitted on, on average.
+#: Labelled rows per language that the classifiers are fitted on, at most.
 TRAIN_ROWS = 800
 UNDETERMINED = "und"
 CHUNK = 1 << 20
@@ -144,23 +145,23 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, salt: list[str], per_lang: int) -> DataFrame:
-    """About ``per_lang`` rows of each language, by a hash of the columns
-    ``salt``: the share taken shrinks as the table grows."""
+    """(lang, text): of each language the ``per_lang`` rows with the smallest
+    hashes of the columns ``salt``, all if there are fewer.  Rows that agree
+    in language and hash count once."""
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"),
                            F.xxhash64(*salt).alias("h")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return labelled.select("lang", "text").limit(0)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    return labelled.where((F.pmod("h", F.lit(1_000_003)) / 1_000_003.0) < share).select("lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = labelled.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_lang)
+    last = staged(least.groupBy("lang").agg(F.max("h").alias("last")), "sample")  # one row per language
+    return labelled.join(last, "lang").where("h <= last").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", salt: list[str] | None = None,
         per_lang: int = TRAIN_ROWS, max_iter: int = 25, reg: float = 1e-4) -> Hierarchy:
-    """Fit on a sample of the rows with text and language, ``per_lang`` of each
-    language on average.  No such row: a model that answers ``und``."""
+    """Fit on a sample of the rows with text and language, at most ``per_lang``
+    of each language, drawn by a hash of the columns ``salt`` (a key of the
+    rows; the text and language alone if none is given).  No such row: a model
+    that answers ``und``."""
     worker_path(docs.sparkSession)
     sample = training_sample(docs, text_col, lang_col, salt or [text_col], per_lang)
     rows = staged(_feature_rows(sample), "langid").coalesce(8)  # a bounded sample

@@ -35,9 +35,7 @@ def _query(fn):
 def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_warc(warc.classify(read_table(spark, sf_dir, "pages")), path)
-    # The nested rows without the bytes of their records: lengths and digests are taken as those are read.
-    records = warc.read_records(spark, path).withColumns({"payload": F.lit(None).cast("binary"), "body": F.lit(None).cast("binary")})
-    captures = warc.assemble(staged(records, "records"))
+    captures = warc.assemble(staged(warc.read_records(spark, path), "records"))
     return captures.select(
         "response.page_id", "response.payload_bytes", "response.payload_digest", "response.record_type",
         "response.refers_to", "n_requests", "n_metadata")
@@ -80,7 +78,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def language_model(docs: DataFrame) -> langid.Hierarchy:
-    return langid.fit(docs.where(~held_out()))
+    return langid.fit(docs.where(~held_out()), salt=["doc_id", "text"])
 
 
 @_query

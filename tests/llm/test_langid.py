@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from lapse.llm import langid
 from lapse.llm.langid import UNDETERMINED, Hierarchy, features, fit, identify
 
 SF = "/root/testdata/sf0.01"
@@ -104,3 +105,14 @@ def test_every_letter_has_its_own_code():
         assert features(a) @ features(b) < 0.9
     assert features("МОВА") @ features("мова") > 0.999
     assert features("\U00010400") @ features("\U00010428") > 0.999
+
+
+def test_sample_is_by_row(spark):
+    """Repeated texts under ids of their own are drawn like other rows, a
+    language is never lost, and none has more rows than asked for."""
+    rows = [(i, "una frase italiana che si ripete", "it") for i in range(3000)]
+    rows += [(5000 + i, f"an english sentence number {i}", "en") for i in range(300)] + [(9000, "solo una", "es")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.lang: r["count"] for r in langid.training_sample(df, "text", "lang", ["doc_id", "text"], 100).groupBy("lang").count().collect()}
+    assert got == {"it": 100, "en": 100, "es": 1}
+    assert langid.training_sample(df.limit(0), "text", "lang", ["doc_id"], 5).count() == 0
