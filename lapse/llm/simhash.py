@@ -67,19 +67,25 @@ def fingerprint(data: bytes | None, shingle_words: int = 3, seed: int = 42) -> i
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_key(text: Column) -> Column:
+    """With its id, what names a row: ids may be null or given twice."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("text_key")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle_words: int = 3, seed: int = 42) -> DataFrame:
-    """(id_col, fp long): one row per input row."""
+    """(id_col, text_key, fp, all long but the id): one row per input row.
+    text_key is a hash of the text, null and empty ones alike."""
     worker_path(docs.sparkSession)
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text"))
+    slim = docs.select(F.col(id_col), text_key(F.col(text_col)), F.col(text_col).cast("string").cast("binary").alias("__text"))
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle_words, seed) for t in b.column(1)]
+            fps = [fingerprint(t.as_py(), shingle_words, seed) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[id_col, "fp"])
+                [b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[id_col, "text_key", "fp"])
 
-    schema = slim.select(F.col(id_col), F.lit(0).cast("long").alias("fp")).schema
+    schema = slim.select(F.col(id_col), "text_key", F.lit(0).cast("long").alias("fp")).schema
     for field in schema:
         field.nullable = True
     return slim.mapInArrow(tidy(run), schema)
@@ -137,8 +143,9 @@ def _keys(table: DataFrame, max_bits: int) -> DataFrame:
 
 
 def _within(max_bits: int) -> Column:
-    """Keeps a pair if no coordinate differs by more than max_bits and then
-    if the fingerprints themselves don't."""
+    """Keeps a pair if none of its eight coordinates of ``filter_pivots`` (the
+    block coordinates agree by their key) differs by more than max_bits and
+    then if the fingerprints themselves don't."""
     near = F.lit(True)
     for i in range(8):
         a, b = (F.shiftright(F.col(f"{s}.pivots"), 8 * i).bitwiseAND(F.lit(127)) for s in "ab")
@@ -186,34 +193,41 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2, bucket_cap: int = BUCKE
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
                        max_bits: int = 2, seed: int = 42, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """(id_col, fp, component_id): one row per input row.
+    """(id_col, fp, component_id, text_key, component): one row per input row.
 
     component_id is the smallest id reachable by steps of at most ``max_bits``
     differing bits, itself included.  Null, empty and blank texts have
     fingerprint 0 and are linked like any other.  Rows with a null id get a
     fingerprint and component (null if nothing in it has an id).  Repeated rows
-    come back as often as they are given.  Other columns are not read."""
+    come back as often as they are given.  ``component`` is the same for the
+    rows of a component and no others, whereas components that share an id, as
+    an id may be given to unlike texts, can share their component_id.  No rows
+    give no rows.  Other columns are not read."""
     fps = staged(fingerprints(docs, id_col, text_col, shingle_words, seed), "fps")
     classes = staged(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
     links = fingerprint_links(classes.select("fp"), max_bits, bucket_cap)
     roots = staged(connected_components(links, "a", "b").toDF("fp", "root"), "roots")
     lowest = staged(roots.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("low")), "lowest")
-    low = staged(roots.join(lowest, "root").select("fp", "low"), "low")
-    final = staged(classes.join(low, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")), "final")
-    return fps.join(final, "fp").select(id_col, "fp", "component_id")
-
-
-def keep_one_per_component(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id.  A document
-    given more than once under the id that stays is kept once.  Rows with a
-    null id stay: nothing names them."""
-    sizes = staged(components.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    low = staged(roots.join(lowest, "root").select("fp", "low", "root"), "low")
+    final = staged(classes.join(low, "fp", "left").select(
+        "fp", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "fp").alias("component")), "final")
+    return fps.join(final, "fp").select(id_col, "fp", "component_id", "text_key", "component")
+
+
+def keep_one_per_component(docs: DataFrame, components: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id (null
+    ids last; of equal ids by a hash of the text).  Rows are told apart by id
+    and text, so a row stays whatever becomes of another one under its id."""
+    mine = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key")
+    groups = staged(components.groupBy(F.col("component").alias("__c")).agg(F.count("*").alias("n"), F.min(mine).alias("keep"))
+                    .where("n > 1"), "groups")
     members = staged(
-        components.join(sizes.withColumnRenamed("component_id", "__c"), F.col("component_id") == F.col("__c"))
-        .select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component_id")).alias("__stays")).distinct(),
+        components.join(groups, F.col("component") == F.col("__c"))
+        .select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), mine.eqNullSafe(F.col("keep")).alias("__stays")).distinct(),
         "members",
     )
-    alone = docs.join(members, F.col(id_col) == F.col("__id"), "left_anti")
-    stays = members.where("__stays").select("__id")
-    first = docs.join(stays, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return alone.unionByName(first)
+    keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    alone = keyed.join(members, same, "left_anti")
+    first = keyed.join(members.where("__stays"), same, "left_semi").dropDuplicates([id_col, "__text_key"])
+    return alone.unionByName(first).drop("__text_key")

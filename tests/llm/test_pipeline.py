@@ -107,3 +107,12 @@ def test_stages_on_odd_rows(spark):
 def test_stages_on_no_rows(spark):
     for _, stage in P.STAGES:
         assert stage(spark, odd(spark).limit(0), SF).count() == 0
+
+
+def test_contamination_is_dropped_by_id_and_text(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    held = "some words " + leak + " more words"
+    rows = [(1, held), (1, "a clean text under the same id"), (None, held), (None, "clean without id"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in P.decontamination(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([r for r in rows if r[1] != held], key=str)

@@ -103,8 +103,16 @@ def test_documents(spark):
     assert {c for (d, _), c in comp.items() if d == 4} == ({2} if near else {4})
     kept = keep_one_per_component(df, staged(simhash_components(df), "components")).collect()
     ids = [r.doc_id for r in kept]
-    assert sorted(x for x in ids if x is not None) == sorted({1, 2, 3, 8} | (set() if near else {4}))
-    assert ids.count(None) == 1 and kept[0].asDict().keys() == {"doc_id", "text", "fp", "component_id"}
+    assert ids.count(None) == 0 and sorted(ids) == sorted([1, 2, 3, 8] + ([] if near else [4]))  # a row without id is a copy like any other
+    assert kept[0].asDict().keys() == {"doc_id", "text", "fp", "component_id"}
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    a, b, c = ("the first text of them all " * 9, "something else entirely said " * 9, "third and last of these texts " * 9)
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (None, c), (None, c), (4, c), (None, "alone " * 20), (5, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, keep_one_per_component(df, staged(simhash_components(df), "components")).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (4, c), (None, "alone " * 20), (5, None)], key=str)
 
 
 def test_empty_table(spark):
