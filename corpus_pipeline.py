@@ -18,13 +18,15 @@ from lapse.llm.common import staged  # noqa: E402
 from lapse.llm.latent import benchmark_matches  # noqa: E402
 from lapse.llm.packing import pack_documents  # noqa: E402
 from lapse.llm.queries import language_model  # noqa: E402
-from lapse.llm.simhash import keep_one_per_component, simhash_components  # noqa: E402
+from lapse.llm.simhash import keep_one_per_component, simhash_components, text_key  # noqa: E402
 from lapse.sources.tables import read_table  # noqa: E402
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text, no letter) go; a missing lang
-    is filled in with the prediction, a given one stays."""
+    is filled in with the prediction, a given one stays.  Every row is judged
+    by itself, repeated ones and those without id too; no rows give no rows,
+    and without a labelled row, from which to learn, all rows go."""
     columns = docs.columns
     found = langid.identify(docs, language_model(docs), pred_col="__pred", score_col="__score")
     found = found.where(F.col("__pred") != langid.UNDETERMINED)
@@ -32,26 +34,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
+    """One row of each group stays: that with the smallest id (null ids last,
+    ties by a hash of the text).  Rows are told apart by id and text; null and
+    empty texts are one group, repeated rows another each."""
     return keep_one_per_component(docs, staged(simhash_components(docs), "components"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, verbatim or reworded, go."""
-    matches = benchmark_matches(docs, read_table(spark, sf_dir, "benchmark"))
-    found = staged(matches.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
+    """Rows that hold a benchmark item, verbatim or reworded, go, by id and
+    text: another text under the same id stays, and a null id protects nothing.
+    Null and empty texts hold no item; without items all rows stay."""
+    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key")))
+    matches = benchmark_matches(keyed, read_table(spark, sf_dir, "benchmark"), id_col="__row")
+    found = staged(matches.select("__row.id", "__row.key").distinct().toDF("__id", "__key"), "contaminated")
+    same = F.col("__row.id").eqNullSafe(F.col("__id")) & (F.col("__row.key") == F.col("__key"))
+    return keyed.join(found, same, "left_anti").drop("__row")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; the secrets in their texts are masked and n_chars
-    follows."""
+    """All rows stay; the secrets in their texts are masked and n_chars
+    follows.  Null and empty texts stay as they are."""
     return secrets.redact(docs, length_col="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents, with their ids, in sequences of at most
-    1024 tokens."""
+    1024 tokens.  A null text is an empty one: the end mark alone.  Every row is
+    packed, whatever its id; no rows give no pieces."""
     return pack_documents(docs, cache_words=60_000)  # the workers hold what the other stages left, too
 
 
