@@ -14,7 +14,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lapse-{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     This cuts the lineage (a lost executor costs one stage, not the whole
@@ -23,7 +23,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     adaptive execution can split a hot key."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._lapse_path = path
     return out
@@ -34,7 +34,10 @@ def drop_staged(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_lapse_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            target.getFileSystem(conf).delete(target, True)
+            drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_path`` named."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
