@@ -10,6 +10,7 @@ the rules that fit, the longest decides."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -67,7 +68,9 @@ def rule_table(spark: SparkSession, rules: Sequence[UrlRule] | DataFrame) -> Dat
     a table (pattern string, allow boolean), whose null patterns are left out
     and whose null ``allow`` blocks."""
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([(r.pattern, r.allow) for r in rules], "pattern string, allow boolean")
+        texts = [json.dumps([{"pattern": r.pattern, "allow": r.allow} for r in rules[at : at + 1000]]) for at in range(0, len(rules), 1000)]
+        lists = spark.range(1).select(F.explode(F.array(*map(F.lit, texts or ["[]"]))).alias("text"))
+        rules = lists.select(F.inline(F.from_json("text", "array<struct<pattern:string,allow:boolean>>")))
     anchored = F.startswith("pattern", F.lit("||"))
     plain = rules.where("pattern is not null").select(
         F.when(anchored, F.substring("pattern", 3, 1 << 30)).otherwise(F.col("pattern")).alias("name"), anchored.alias("anchored"),
