@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lapse.staging import drop_staged, shared_path, staged
+from lapse.staging import drop_path, drop_staged, shared_path, staged
 
-__all__ = ["drop_staged", "is_empty", "shared_path", "staged", "tidy", "worker_path"]
+__all__ = ["drop_path", "drop_staged", "is_empty", "shared_path", "staged", "tidy", "worker_path"]
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

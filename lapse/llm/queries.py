@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lapse.llm import chat, langid, secrets, vafile, warc
 from lapse.llm.audit import audit_filters
 from lapse.llm.codes import codebooks_sha256, compress
-from lapse.llm.common import shared_path, staged
+from lapse.llm.common import drop_path, shared_path, staged
 from lapse.llm.latent import benchmark_matches
 from lapse.llm.neighbours import nearest
 from lapse.llm.packing import pack_documents
@@ -35,7 +35,9 @@ def _query(fn):
 def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_warc(warc.classify(read_table(spark, sf_dir, "pages")), path)
-    captures = warc.assemble(staged(warc.read_records(spark, path), "records"))
+    records = staged(warc.read_records(spark, path).drop("payload"), "records", compression="zstd")  # the body has it
+    drop_path(spark, path)  # all read
+    captures = warc.assemble(records)
     return captures.select(
         "response.page_id", "response.payload_bytes", "response.payload_digest", "response.record_type",
         "response.refers_to", "n_requests", "n_metadata")

@@ -170,6 +170,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(rows)
 
 
+def _payload() -> Column:
+    """What follows the HTTP head of a response."""
+    start = (F.octet_length("http_head") + len(END) + 1).cast("int")
+    return F.when(F.col("warc_type") == "response", F.substring(F.col("body"), start, F.octet_length("body")))
+
+
 def _parsed(rows: DataFrame) -> DataFrame:
     head = F.substring_index("value", END, 1)
     data = F.col("value").cast("binary")
@@ -180,15 +186,13 @@ def _parsed(rows: DataFrame) -> DataFrame:
     with_head = cut.select("head", "body", F.when(kind.isin("response", "revisit", "request"), http).alias("http_head"),
                            kind.alias("warc_type"))
     ids = F.regexp_extract_all("head", F.lit(r"(?i)\r\nWARC-Concurrent-To:[ \t]*([^\r\n]+)"), F.lit(1))
-    payload = F.when(F.col("warc_type") == "response",
-                     F.substring(F.col("body"), (F.octet_length("http_head") + len(END) + 1).cast("int"), F.octet_length("body")))
     parsed = with_head.where("warc_type is not null").select(
         "warc_type", _header(F.col("head"), "WARC-Record-ID").alias("record_id"), ids.alias("concurrent_to"),
         _whole_line(_header(F.col("head"), "WARC-Target-URI")).alias("uri"),
         _header(F.col("head"), "X-Page-Id").try_cast("long").alias("page_id"),
         _header(F.col("head"), "X-Refers-To-Page-Id").try_cast("long").alias("refers_to"),
         F.regexp_replace(_header(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
-        "body", "http_head", payload.alias("payload"))
+        "body", "http_head", _payload().alias("payload"))
     is_response = F.col("warc_type") == "response"
     return parsed.withColumns({
         "payload_bytes": F.when(is_response, F.octet_length("payload").cast("long")).otherwise(
@@ -206,8 +210,9 @@ def assemble(records: DataFrame) -> DataFrame:
     one with the smallest record id is shown; all are counted.  A response
     without them has nulls there; requests and metadata of no response come
     out as captures of their own under their own id, with a null response.
-    Records without an id count as having an empty one."""
-    rows = records.withColumn("record_id", F.coalesce("record_id", F.lit("")))
+    Records without an id count as having an empty one.  The payload is taken
+    from the body: ``records`` may come without it."""
+    rows = records.withColumns({"record_id": F.coalesce("record_id", F.lit("")), "payload": _payload()})
     anchor = F.col("warc_type").isin("response", "revisit")
     sidekick = F.col("warc_type").isin("request", "metadata")
     # Which record belongs to which: from the ids alone, read from the archives once.
