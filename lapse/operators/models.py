@@ -13,8 +13,6 @@ import os
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
     RandomForestClassificationModel,
@@ -26,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse.functions.exprs import DEFAULT_THRESHOLD, pearson
+from lapse.operators import boosting as BO
 from lapse.operators import features as FT
 from lapse.operators import metrics as MX
 from lapse.session import ensure_checkpoint_dir
@@ -51,8 +50,11 @@ def linear_terms(clf):
 def add_score(df: DataFrame, clf, names, out: str = "score") -> DataFrame:
     """Probability of the positive class from the prepared feature columns
     ``names``.  A linear model is a column expression (dot product and
-    sigmoid); others score the assembled vector."""
+    sigmoid), boosted trees run in Arrow batches, others score the assembled
+    vector."""
     linear = linear_terms(clf)
+    if isinstance(clf, BO.HistogramBooster):
+        return df.withColumn(out, clf.probability(F.array(*[F.col(c).cast("double") for c in names])))
     if linear is None:
         x = VectorAssembler(inputCols=list(names), outputCol="features").transform(df)
         scored = clf.transform(x)
@@ -66,17 +68,15 @@ def add_score(df: DataFrame, clf, names, out: str = "score") -> DataFrame:
 
 # Candidate hyper-parameters.  Fixed values: logistic regression with L2,
 # C = 1, at most 1000 iterations, balanced class weights; random forest with
-# 200 trees; gradient boosting with 300 rounds, learning rate 0.05, depth 6.
-# Trees live on the driver, so their size must not grow with the rows: a leaf
-# holds at least MIN_LEAF_SHARE of them (see make_estimator).
+# 200 trees; gradient boosting over histograms with 300 rounds, learning rate
+# 0.05, depth 6, L2 0.1 (see ``boosting.Params``).
+# The forest's trees live on the driver, so their size must not grow with the
+# rows: a leaf holds at least MIN_LEAF_SHARE of them (see make_estimator).
 MIN_LEAF_SHARE = 1e-5
-# With early stopping, boosting ends before its last round when EARLY_STOP_SHARE
-# of the training rows, held out by a hash of the id, improve by less than EARLY_STOP_TOL.
-EARLY_STOP_SHARE, EARLY_STOP_TOL = 0.1, 0.01
 CANDIDATES = {
     "LogisticRegression": {"maxIter": 1000},
     "RandomForest": {"numTrees": 200, "maxDepth": 30},
-    "GradientBoosting": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6},
+    "GradientBoosting": {"rounds": 300, "learning_rate": 0.05, "max_depth": 6, "l2": 0.1},
 }
 
 
@@ -90,8 +90,6 @@ def make_estimator(name: str, weight_sum: float, seed: int = 42, **overrides):
                                   tol=1e-6, **common, **p)
     if name == "RandomForest":
         return RandomForestClassifier(seed=seed, minWeightFractionPerNode=MIN_LEAF_SHARE, **common, **p)
-    if name == "GradientBoosting":
-        return GBTClassifier(seed=seed, minWeightFractionPerNode=MIN_LEAF_SHARE, **common, **p)
     raise SpecError(f"no candidate is called {name!r}")
 
 
@@ -101,23 +99,22 @@ def _weighted(df: DataFrame, spec: Spec) -> DataFrame:
     return FT.class_weights(df, spec, "weight")
 
 
-def fit_one(train: DataFrame, spec: Spec, name: str, seed: int = 42, early_stop: bool = False, **overrides):
+def fit_one(train: DataFrame, spec: Spec, name: str, seed: int = 42, **overrides):
     """Fit the feature model and one classifier on the labelled rows of
-    ``train`` (kept persisted while the fitting passes run over it).
-    ``early_stop``: boosting may end before its last round (see above)."""
+    ``train`` (kept persisted while the fitting passes run over it)."""
     train = train.where(F.col(spec.label_col).isNotNull()).persist()
     prepared = None
     try:
         fm = FT.fit_features(train, spec)
         w = _weighted(train, spec)
-        prepared = FT.transform_features(w, fm, keep=[spec.id_col, spec.label_col, "weight"])
-        if early_stop and name == "GradientBoosting":
-            u = F.pmod(F.xxhash64(F.col(spec.id_col).cast("string"), F.lit(seed)), F.lit(1000)) / 1000.0
-            prepared = prepared.withColumn("held_out", u < EARLY_STOP_SHARE)
-            overrides = {"validationIndicatorCol": "held_out", "validationTol": EARLY_STOP_TOL, **overrides}
-        prepared = prepared.persist()
-        total_w = prepared.agg(F.sum("weight")).first()[0]
-        clf = make_estimator(name, total_w, seed, **overrides).fit(prepared)
+        boosted = name == "GradientBoosting"
+        keep = [spec.id_col, spec.label_col, "weight"]
+        prepared = FT.transform_features(w, fm, keep=keep, vector_col=None if boosted else "features").persist()
+        if boosted:
+            clf = BO.fit(prepared, fm.names, spec.label_col, "weight", BO.Params(**{**CANDIDATES[name], **overrides}))
+        else:
+            total_w = prepared.agg(F.sum("weight")).first()[0]
+            clf = make_estimator(name, total_w, seed, **overrides).fit(prepared)
     finally:
         if prepared is not None:
             prepared.unpersist()
@@ -151,7 +148,7 @@ def correlation_model(df: DataFrame, spec: Spec, digits: int = 6) -> "TrainedMod
 
 
 def cross_validate(train: DataFrame, spec: Spec, names=None, folds: int = 5, seed: int = 42,
-                   overrides: dict | None = None, parallelism: int = 4, early_stop: bool = False) -> DataFrame:
+                   overrides: dict | None = None, parallelism: int = 4) -> DataFrame:
     """Per model and fold, ROC-AUC, average precision, F1, recall and
     precision at 0.5 on the held-out fold.  ``train`` must carry a ``fold``
     column (``assign_split``).  The (model, fold) fits are submitted from
@@ -170,7 +167,7 @@ def cross_validate(train: DataFrame, spec: Spec, names=None, folds: int = 5, see
         name, f = task
         fit_rows = train.where(F.col("fold") != f)
         val_rows = train.where(F.col("fold") == f)
-        fm, clf = fit_one(fit_rows, spec, name, seed, early_stop, **overrides.get(name, {}))
+        fm, clf = fit_one(fit_rows, spec, name, seed, **overrides.get(name, {}))
         s = score_with(val_rows, fm, clf, [spec.id_col, spec.label_col])
         # cut the lineage of the fit: a lost executor recomputes from here
         return s.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), "label", "score").checkpoint(eager=True)
@@ -227,16 +224,18 @@ class TrainedModel:
         (model name, class counts, CV results, test metrics, threshold) as
         JSON next to it; encoder tables as Parquet."""
         spark = SparkSession.getActiveSession()
-        features, linear = asdict(self.features), None
+        features, linear, trees = asdict(self.features), None, None
         if isinstance(self.classifier, LinearClassifier):
             linear = [list(self.classifier.coefficients), self.classifier.intercept]
+        elif isinstance(self.classifier, BO.HistogramBooster):
+            trees = self.classifier.to_json()
         else:
             self.classifier.write().overwrite().save(os.path.join(path, "classifier"))
         if self.features.tables:
             kept = os.path.join(path, "encoder")
             spark.read.parquet(next(iter(self.features.tables.values()))).write.mode("overwrite").parquet(kept)
             features["tables"] = dict.fromkeys(self.features.tables, kept)
-        blob = {"name": self.name, "threshold": self.threshold, "metadata": self.metadata, "linear": linear,
+        blob = {"name": self.name, "threshold": self.threshold, "metadata": self.metadata, "linear": linear, "trees": trees,
                 "features": features, "spec": {k: v for k, v in asdict(self.spec).items()}}
         # written through Spark so that the path may be any shared filesystem
         spark.createDataFrame([(json.dumps(blob, default=list),)], "value string").coalesce(1) \
@@ -248,9 +247,10 @@ class TrainedModel:
         blob = json.loads(spark.read.text(os.path.join(path, "model_json")).first()[0])
         if blob.get("linear"):
             clf = LinearClassifier(tuple(blob["linear"][0]), blob["linear"][1])
+        elif blob.get("trees"):
+            clf = BO.HistogramBooster.from_json(blob["trees"])
         else:
-            loader = {"LogisticRegression": LogisticRegressionModel, "RandomForest": RandomForestClassificationModel,
-                      "GradientBoosting": GBTClassificationModel}[blob["name"]]
+            loader = {"LogisticRegression": LogisticRegressionModel, "RandomForest": RandomForestClassificationModel}[blob["name"]]
             clf = loader.load(os.path.join(path, "classifier"))
         sp = blob["spec"]
         spec = Spec(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in sp.items()})
@@ -287,7 +287,7 @@ def report_of(spark: SparkSession, model: TrainedModel) -> DataFrame:
 
 
 def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction: float = 0.2, seed: int = 42,
-          overrides: dict | None = None, cv: bool = True, threshold_split: str = "test", early_stop: bool = False):
+          overrides: dict | None = None, cv: bool = True, threshold_split: str = "test"):
     """E2 end to end: exact stratified split -> CV comparison -> best model
     refit on the train split -> held-out evaluation and Youden threshold.
     The threshold is chosen on ``threshold_split`` ('test' as the reference
@@ -301,12 +301,12 @@ def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction:
     train_rows = split.where(F.col("split") == "train")
     test_rows = split.where(F.col("split") == "test")
     if cv and len(names) > 1:
-        summary = summarize_cv(cross_validate(train_rows, spec, names, folds, seed, overrides, early_stop=early_stop),
+        summary = summarize_cv(cross_validate(train_rows, spec, names, folds, seed, overrides),
                                digits=None).checkpoint(eager=True)
         best = select_best(summary)
     else:
         summary, best = None, names[0]
-    fm, clf = fit_one(train_rows, spec, best, seed, early_stop, **overrides.get(best, {}))
+    fm, clf = fit_one(train_rows, spec, best, seed, **overrides.get(best, {}))
     scored = score_with(test_rows, fm, clf, [spec.id_col, spec.label_col]).checkpoint(eager=True)
     if threshold_split not in ("test", "train"):
         raise SpecError("threshold_split must be 'test' or 'train'")

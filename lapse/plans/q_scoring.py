@@ -2,15 +2,18 @@
 (M10-M14), scoring, what-if and attribution (R1-R13, C8).
 
 The scoring queries use a linear model in closed form (``correlation_model``),
-fitted by each query on the customers with at least ten orders, so SQL can
-compute every one of their rows.  The fits themselves have no SQL twin; what is
+fitted by each query on all customers with an outcome, so SQL can compute every
+one of their rows.  The fits themselves have no SQL twin; what is
 known about their results beforehand is checked by ``model_fit_checks``."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lapse.operators import attribution as AT
+from lapse.operators import boosting as BO
 from lapse.operators import chartdata as C
 from lapse.operators import features as FT
 from lapse.operators import models as MD
@@ -23,7 +26,7 @@ from lapse.sources.tables import read_table
 
 PS = PROFILE_SPEC
 NUM, CAT = list(PS.numeric), list(PS.categorical)
-FITTED_ON = "n_orders >= 10"
+FITTED_ON = "churn IS NOT NULL"
 
 
 # ---------------------------------------------------------------- fits
@@ -37,7 +40,7 @@ def model_training_report(spark, sf):
 def cv_model_comparison(spark, sf):
     cp = customer_profile(spark, sf)
     split = FT.assign_split(FT.project_features(PS.with_label(cp), PS, keep=[PS.label_col]), PS)
-    cv = MD.cross_validate(split.where(F.col("split") == "train"), PS, early_stop=True)
+    cv = MD.cross_validate(split.where(F.col("split") == "train"), PS)
     return MD.summarize_cv(cv)
 
 
@@ -45,7 +48,104 @@ def _check(name, passed):
     return F.struct(F.lit(name).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
-@query("model_fit_checks", "M7 M10 M14 S11 R1 R13", sql=with_frames("""
+@query("model_selection_checks", "M7 M13 M14 M12", sql=with_frames("""
+SELECT 'candidates_in_all_folds' AS "check", CAST(3 AS BIGINT) AS n, true AS passed
+UNION ALL SELECT 'best_mean_is_chosen', 1, true
+UNION ALL SELECT 'refit_on_train_rows', CAST(sum(n - round(0.2 * n)) AS BIGINT), true FROM l
+UNION ALL SELECT 'tested_on_the_rest', CAST(sum(round(0.2 * n)) AS BIGINT), true FROM l
+UNION ALL SELECT 'test_metrics_in_range', 5, true
+UNION ALL SELECT 'every_customer_scored', (SELECT count(*) FROM customer_profile), true""",
+    "l AS (SELECT CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS label, count(*) AS n FROM customer_profile GROUP BY 1)"))
+def model_selection_checks(spark, sf):
+    """Selection end to end: three candidates over five folds, the best by mean
+    ROC-AUC refitted on the train split and tested on the rest."""
+    from lapse.staging import staged
+
+    cp = customer_profile(spark, sf)
+    model, report = MD.train(cp, PS)
+    means = report.where("scope = 'cv_mean' AND metric = 'roc_auc'")
+    scored = staged(SC.score_all(model, cp), "selected").agg(F.count("*").alias("n"), F.min(F.col("risk_score").between(0, 1)).alias("ok"))
+    sizes = report.where("scope = 'split'").groupBy(F.substring_index("metric", "_class_", 1).alias("split")).agg(F.sum("value").cast("long").alias("n"))
+    names = ["roc_auc", "average_precision", "at_0.5_f1", "at_0.5_recall", "at_0.5_precision"]
+    metrics = report.where(F.col("scope") == "test").where(F.col("metric").isin(names))
+
+    def row(name, n, passed):
+        return F.lit(name).alias("check"), n.alias("n"), F.coalesce(passed, F.lit(False)).alias("passed")
+
+    best = F.max_by("model", "value") == model.name
+    parts = [
+        means.agg(F.count("*").alias("c"), F.count_distinct("model").alias("d")).select(*row("candidates_in_all_folds", F.col("c"), F.col("d") == 3)),
+        means.agg(best.alias("b"), F.max("value").alias("m"), F.max(F.when(F.col("model") == model.name, F.col("value"))).alias("v")).select(
+            *row("best_mean_is_chosen", F.lit(1).cast("long"), F.col("b") | (F.col("m") == F.col("v")))),
+        sizes.where("split = 'train'").select(*row("refit_on_train_rows", F.col("n"), F.lit(True))),
+        sizes.where("split = 'test'").select(*row("tested_on_the_rest", F.col("n"), F.lit(True))),
+        metrics.agg(F.count("*").alias("n"), F.min(F.col("value").between(0, 1)).alias("ok")).select(*row("test_metrics_in_range", F.col("n"), F.col("ok"))),
+        scored.select(*row("every_customer_scored", F.col("n"), F.col("ok"))),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_TREE_FEATURES = ["tenure", "monthly_charges", "total_charges", "acctbal", "has_open"]
+_TREE = BO.Params(rounds=1, max_depth=2, max_bins=16)
+_G = 1 << 24
+
+
+def _tree_level(level: int) -> str:
+    """Best split of every node of a level, and where its rows go."""
+    gain = (f"(gl / {_G}.0) * (gl / {_G}.0) / (hl / {_G}.0 + {_TREE.l2}) + ((g - gl) / {_G}.0) * ((g - gl) / {_G}.0) / ((h - hl) / {_G}.0 + {_TREE.l2})"
+            f" - (g / {_G}.0) * (g / {_G}.0) / (h / {_G}.0 + {_TREE.l2})")
+    return f"""
+c{level} AS (SELECT path, f, b, sum(sum(g)) OVER w AS gl, sum(sum(h)) OVER w AS hl, sum(count(*)) OVER w AS nl,
+        sum(sum(g)) OVER a AS g, sum(sum(h)) OVER a AS h, sum(count(*)) OVER a AS n
+      FROM t{level} JOIN bins USING (row_id) GROUP BY path, f, b
+      WINDOW a AS (PARTITION BY path, f), w AS (PARTITION BY path, f ORDER BY b)),
+s{level} AS (SELECT path, f, b FROM (SELECT *, {gain} AS gain FROM c{level}
+        WHERE nl >= {_TREE.min_rows} AND n - nl >= {_TREE.min_rows} AND hl >= {_TREE.min_hessian * _G} AND h - hl >= {_TREE.min_hessian * _G})
+      WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY gain DESC, f, b) = 1),
+t{level + 1} AS (SELECT row_id, t.g, t.h, path || CASE WHEN bins.b <= s.b THEN 'L' ELSE 'R' END AS path
+      FROM t{level} t JOIN s{level} s USING (path) JOIN bins USING (row_id, f))"""
+
+
+_TREE_X = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS x{i}" for i, c in enumerate(_TREE_FEATURES))
+_TREE_LONG = "\nUNION ALL ".join(f"SELECT row_id, {i} AS f, x{i} AS x FROM rows" for i in range(len(_TREE_FEATURES)))
+_AT = "(i / 16.0 * (len(xs) - 1))"
+
+
+@query("boosting_first_tree", "M12", sql=with_frames(f"""
+SELECT path, f.name AS feature, CAST(e.edge AS DOUBLE) AS threshold, n AS rows,
+       CASE WHEN f.name IS NULL THEN round(-(nodes.g / {_G}.0) / (nodes.h / {_G}.0 + {_TREE.l2}) * {_TREE.learning_rate}, 9) END AS value
+FROM nodes LEFT JOIN splits s USING (path) LEFT JOIN features f ON f.f = s.f
+LEFT JOIN (SELECT f, edge, row_number() OVER (PARTITION BY f ORDER BY edge) - 1 AS b FROM edges) e ON e.f = s.f AND e.b = s.b""", f"""
+rows AS (SELECT row_number() OVER () AS row_id, CASE WHEN churn = 'Yes' THEN 1.0 ELSE 0.0 END AS y, {_TREE_X} FROM customer_profile),
+long AS ({_TREE_LONG}),
+xs AS (SELECT f, list_sort(list(x)) AS xs, list_sort(list(DISTINCT x)) AS ds FROM long GROUP BY f),
+edges AS (SELECT DISTINCT f, CAST(edge AS DOUBLE) AS edge FROM (
+  SELECT f, unnest(CASE WHEN len(ds) <= 16 THEN ds[1:len(ds) - 1] ELSE list_transform(range(1, 16), lambda i:
+    CASE WHEN floor({_AT}) = ceil({_AT}) THEN xs[CAST(floor({_AT}) AS BIGINT) + 1]
+         ELSE (ceil({_AT}) - {_AT}) * xs[CAST(floor({_AT}) AS BIGINT) + 1] + ({_AT} - floor({_AT})) * xs[CAST(ceil({_AT}) AS BIGINT) + 1] END) END) AS edge FROM xs)),
+bins AS (SELECT row_id, f, (SELECT count(*) FROM edges e WHERE e.f = long.f AND e.edge < long.x) AS b FROM long),
+cls AS (SELECT y, count(*) AS n FROM rows GROUP BY y),
+t0 AS (SELECT row_id, round((SELECT sum(n) FROM cls) / (2.0 * c.n) * (0.5 - rows.y) * {_G}) AS g,
+              round((SELECT sum(n) FROM cls) / (2.0 * c.n) * 0.25 * {_G}) AS h, '' AS path FROM rows JOIN cls c USING (y)),{_tree_level(0)},{_tree_level(1)},
+nodes AS (SELECT path, sum(g) AS g, sum(h) AS h, count(*) AS n FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2) GROUP BY path),
+splits AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1),
+features(f, name) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_TREE_FEATURES))})"""))
+def boosting_first_tree(spark, sf):
+    """Splits and leaf values of the first round, by the distributed sums."""
+    cp = PS.with_label(customer_profile(spark, sf))
+    x = FT.class_weights(cp.select(PS.label_col, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _TREE_FEATURES]), PS)
+    tree = BO.fit(x, _TREE_FEATURES, PS.label_col, params=_TREE, local_rows=0, exact_edges=True).trees[0]
+    rows, todo = [], [(0, "")]
+    while todo:  # at most seven nodes
+        node, path = todo.pop()
+        leaf = tree.feature[node] < 0
+        rows.append((path, None if leaf else _TREE_FEATURES[tree.feature[node]], None if leaf else tree.threshold[node], tree.rows[node],
+                     round(tree.value[node], 9) if leaf else None))
+        todo += [] if leaf else [(tree.left[node], path + "L"), (tree.right[node], path + "R")]
+    return spark.createDataFrame(rows, "path string, feature string, threshold double, rows long, value double")
+
+
+@query("model_fit_checks", "M7 M10 S11 R1 R13", sql=with_frames("""
 SELECT 'test_rows_class_' || CAST(label AS VARCHAR) AS "check", CAST(round(0.2 * n) AS BIGINT) AS n, true AS passed FROM l
 UNION ALL SELECT 'scores_in_range', (SELECT count(*) FROM customer_profile), true
 UNION ALL SELECT 'level_follows_score', (SELECT count(*) FROM customer_profile), true

@@ -87,7 +87,7 @@ def test_global_importance_sums_to_one(spark, trained):
 def test_tree_models_fit(spark):
     cp = customer_profile(spark, SF_SMALL)
     for name, ov in (("RandomForest", {"numTrees": 10, "maxDepth": 5}),
-                     ("GradientBoosting", {"maxIter": 5})):
+                     ("GradientBoosting", {"rounds": 5})):
         fm, clf = MD.fit_one(cp.withColumn("label", PS.positive_flag()), PS, name, **ov)
         model = MD.TrainedModel(PS, name, fm, clf)
         assert SC.score_all(model, cp).count() == cp.count()
@@ -101,7 +101,7 @@ def test_cross_validate_two_models(spark):
     cp = customer_profile(spark, SF_SMALL)
     split = FT.assign_split(cp, PS).where("split = 'train'")
     cv = MD.cross_validate(split, PS, ["LogisticRegression", "GradientBoosting"], folds=3,
-                           overrides={"GradientBoosting": {"maxIter": 3}})
+                           overrides={"GradientBoosting": {"rounds": 3}})
     summary = MD.summarize_cv(cv)
     assert summary.where("metric = 'roc_auc'").count() == 2
     assert MD.select_best(summary) in {"LogisticRegression", "GradientBoosting"}
