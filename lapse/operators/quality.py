@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType, VariantType
 
 
 def _rules_frame(df: DataFrame, rules) -> DataFrame:
@@ -46,6 +46,60 @@ def numeric_sanity(df: DataFrame, severity: str = "error") -> DataFrame:
     return _rules_frame(df, rules).where(F.col("rule") != "empty_result")
 
 
+def _shape_of(df: DataFrame, name: str) -> str | None:
+    """Type of all that a variant column holds; None if it holds nothing."""
+    found = df.agg(F.schema_of_variant_agg(F.col(f"`{name}`")).alias("t")).first()["t"]
+    return found.replace("OBJECT<", "STRUCT<").replace("VOID", "VARIANT") if found and found != "VOID" else None
+
+
+def bad_paths(value: Column, kind: DataType, path: Column) -> Column | None:
+    """The paths below ``path`` at which a value holds NaN or an infinity, as an
+    array; None if its type can hold none.  Names are joined by dots, places in
+    a list (from 0) in brackets, as are map keys that are no strings."""
+    here = F.array(path)
+    none = F.array().cast("array<string>")
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(_is_bad(value), here).otherwise(none)
+    if isinstance(kind, VariantType):  # where values of several types meet
+        return F.when(_is_bad(F.try_variant_get(value, "$", "double")), here).otherwise(none)
+    if isinstance(kind, StructType):
+        parts = [bad_paths(value[f.name], f.dataType, F.concat(path, F.lit("." + f.name))) for f in kind.fields]
+        parts = [p for p in parts if p is not None]
+        return F.when(value.isNotNull(), F.concat(*parts)).otherwise(none) if parts else None
+    if isinstance(kind, ArrayType):
+        if bad_paths(value, kind.elementType, path) is None:
+            return None
+        return F.coalesce(F.flatten(F.transform(value, lambda x, i: bad_paths(
+            x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))), none)
+    if isinstance(kind, MapType):
+        if bad_paths(value, kind.valueType, path) is None:
+            return None
+        return F.coalesce(F.flatten(F.transform(F.map_entries(value), lambda e: bad_paths(
+            e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string"))))), none)
+    return None
+
+
+def bad_numbers(df: DataFrame, keep=()) -> DataFrame:
+    """Q2 in nested results: (keep..., path), one row per NaN or infinity at any
+    depth of structs, lists, maps and variants.  The walk follows the schema
+    (a variant's is gathered in one aggregate); rows are not multiplied, only
+    what is found comes out.  Every list item is looked at."""
+    parts = []
+    for f in df.schema.fields:
+        value, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, VariantType):
+            shape = _shape_of(df, f.name)
+            if shape is None:
+                continue
+            kind = StructType.fromDDL(f"x {shape}")["x"].dataType
+            value = F.try_variant_get(value, "$", shape)
+        part = bad_paths(value, kind, F.lit("$." + f.name))
+        if part is not None:
+            parts.append(part)
+    found = F.concat(*parts) if parts else F.array().cast("array<string>")
+    return df.select(*keep, F.explode(found).alias("path"))
+
+
 def grounding(df: DataFrame, answer: str = "answer", evidence: str = "evidence", floor: float = 10.0,
               keep=()) -> DataFrame:
     """Q4: numbers above ``floor`` in the answer that the evidence does

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.exprs import risk_level
+from lapse.functions.text import strip_ws
 from lapse.spec import Spec, SpecError, require_columns
 from lapse.staging import staged
 
@@ -39,15 +40,18 @@ def top_n_records(df: DataFrame, sort_col: str, n: int = 10, ascending: bool = F
 
 
 def lookup_ids(df: DataFrame, spec: Spec, ids) -> DataFrame:
-    """Rows whose id matches one of ``ids`` trimmed and case-insensitively.
-    ``ids`` is a list or a one-column DataFrame of requested ids; the bulk
-    form is an equi-join on the normalised id (no driver loop)."""
-    norm = F.upper(F.trim(F.col(spec.id_col).cast("string")))
+    """Rows whose id matches one of ``ids``, whatever its case and the white
+    space around it.  ``ids`` is a list or a one-column DataFrame of requested
+    ids, under one rule; the bulk form is an equi-join on the normalised id (no
+    driver loop).  Null ids match nothing."""
+    def norm(c: Column) -> Column:
+        return F.upper(strip_ws(c.cast("string")))
+
     if isinstance(ids, DataFrame):
-        req = ids.select(F.upper(F.trim(F.col(ids.columns[0]).cast("string"))).alias("_key")).distinct()
-        return df.join(req, norm == F.col("_key"), "left_semi")
-    keys = [str(i).strip().upper() for i in ids]
-    return df.where(norm.isin(keys))
+        req = ids.select(norm(F.col(ids.columns[0])).alias("_key")).distinct()
+        return df.join(req, norm(F.col(spec.id_col)) == F.col("_key"), "left_semi")
+    keys = [norm(F.lit(None if i is None else str(i))) for i in ids]
+    return df.where(norm(F.col(spec.id_col)).isin(*keys)) if keys else df.limit(0)
 
 
 def tier_counts(scores: DataFrame, score_col: str = "risk_score") -> DataFrame:

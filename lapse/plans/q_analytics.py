@@ -439,9 +439,9 @@ WHERE customer_id IN (SELECT o_custkey FROM orders
                       WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000)"""))
 def lookup_customers(spark, sf):
     o = read_table(spark, sf, "orders")
-    # requests arrive padded, as text: the lookup trims and upper-cases them
+    # requests arrive padded with any white space, as text: the lookup strips and upper-cases them
     req = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000)).select(
-        F.concat(F.lit("  "), F.col("o_custkey").cast("string"), F.lit(" ")).alias("requested"))
+        F.concat(F.lit(" \t"), F.col("o_custkey").cast("string"), F.lit("\r\n ")).alias("requested"))
     cp = customer_profile(spark, sf).select("customer_id", "segment", "churn")
     return T.lookup_ids(cp, PS, req)
 

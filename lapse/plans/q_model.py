@@ -7,6 +7,7 @@ ties everywhere) and orders (label: status F, score: scaled total price).
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lapse.operators import features as M
@@ -174,8 +175,9 @@ mode AS (SELECT feature, value FROM cc QUALIFY row_number() OVER (PARTITION BY f
 def prepared_features(spark, sf):
     cp = customer_profile(spark, sf)
     model = M.fit_features(cp, PS)
-    return M.transform_features(M.project_features(cp, PS), model, keep=[PS.id_col], digits=6,
-                                vector_col=None)
+    x = M.transform_features(M.project_features(cp, PS), model, keep=[PS.id_col], digits=6).select(
+        PS.id_col, vector_to_array("features").alias("x"))
+    return x.select(PS.id_col, *[F.col("x")[i].alias(c) for i, c in enumerate(model.names)])
 
 
 @query("feature_defaults", "R6", sql=with_frames("""

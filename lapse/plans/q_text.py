@@ -75,6 +75,36 @@ def numeric_sanity_lineitem(spark, sf):
     return QC.numeric_sanity(li.select("*", F.pow(F.col("l_discount"), F.lit(-1.0)).alias("inv_discount")))
 
 
+@query("numeric_sanity_nested", "Q2", sql="""
+WITH l AS (SELECT l_orderkey AS k, pow(l_discount, -1) AS inv, 0.0 * pow(l_tax, -1) AS flat,
+                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_tax, l_quantity, l_extendedprice) - 1 AS i FROM lineitem),
+o AS (SELECT k, max(inv) AS most, min(inv) AS least, max(CASE WHEN isnan(flat) THEN 1 ELSE 0 END) AS nans FROM l GROUP BY k)
+SELECT order_id, path FROM (
+  SELECT k AS order_id, '$.most' AS path FROM o WHERE isinf(most)
+  UNION ALL SELECT k, '$.detail.least' FROM o WHERE isinf(least)
+  UNION ALL SELECT k, '$.detail.deep.product' FROM o WHERE isinf(most)
+  UNION ALL SELECT k, '$.lines[' || i || '].inv' FROM l WHERE isinf(inv)
+  UNION ALL SELECT k, '$.lines[' || i || '].pair[1]' FROM l WHERE isnan(flat)
+  UNION ALL SELECT k, '$.by_name.most' FROM o WHERE isinf(most)
+  UNION ALL SELECT k, '$.any.least' FROM o WHERE isinf(least)
+  UNION ALL SELECT k, '$.any.list[0]' FROM o WHERE nans = 1)""")
+def numeric_sanity_nested(spark, sf):
+    """Results with values that are no numbers at every depth: a column, a
+    struct in a struct, a list in a struct in a list, a map and a variant."""
+    li = read_table(spark, sf, "lineitem").withColumns(
+        {"inv": F.pow("l_discount", F.lit(-1.0)), "flat": F.lit(0.0) * F.pow("l_tax", F.lit(-1.0))})
+    line = F.struct("l_linenumber", "l_discount", "l_tax", "l_quantity", "l_extendedprice", "inv", F.array(F.lit(1.0), F.col("flat")).alias("pair"))
+    o = li.groupBy("l_orderkey").agg(F.max("inv").alias("most"), F.min("inv").alias("least"), F.array_sort(F.collect_list(line)).alias("lines"),
+                                     F.max(F.when(F.isnan("flat"), F.col("flat")).otherwise(0.0)).alias("nans"))
+    nested = o.select(
+        F.col("l_orderkey").alias("order_id"), "most",
+        F.struct("least", F.struct((F.lit(0.0) * F.col("most")).alias("product")).alias("deep")).alias("detail"),
+        F.transform("lines", lambda x: F.struct(x["inv"].alias("inv"), x["pair"].alias("pair"))).alias("lines"),
+        F.create_map(F.lit("most"), F.col("most")).alias("by_name"),
+        F.to_variant_object(F.struct("least", F.array("nans").alias("list"))).alias("any"))
+    return QC.bad_numbers(nested, keep=["order_id"])
+
+
 # ---------------------------------------------------------------- Q4
 
 def _answers(spark, sf):
@@ -129,6 +159,14 @@ def grounding_check(spark, sf):
 
 # ---------------------------------------------------------------- Q5 / Q6
 
+def _scenario_exprs(t="text"):
+    """(feature, its new value) in SQL."""
+    q = f"lower({t})"
+    out = [(f, "CASE " + " ".join(f"WHEN {_any_sql(q, ph)} THEN {_sql_str(v)}" for ph, v in options) + " END") for f, options in TX.SCENARIO_RULES]
+    act = _any_sql(q, TX.ACTION_WORDS)
+    return out + [(f, f"CASE WHEN {_any_sql(q, ph)} AND {act} THEN 'Yes' END") for f, ph in TX.ADDON_RULES]
+
+
 def _route_sql(t="text"):
     q = f"replace(lower({t}), '-', ' ')"
     cid = f"nullif(regexp_extract(upper({t}), {_sql_str(TX.ID_PATTERN)}, 1), '')"
@@ -149,19 +187,30 @@ def _route_sql(t="text"):
         (_any_sql(q, TX.AVERAGE_WORDS), "eda", "get_average", "MonthlyCharges"),
     ]
 
+    kinds = ["what_if", "id", "correlation", "model", "tenure_trend", "top_risk", "count", *["segment"] * len(TX.SEGMENT_WORDS),
+             "rate", "average_split", "average"]
+    rules = [(*r, TX.ROUTE_TARGETS[k][2]) for r, k in zip(rules, kinds, strict=True)]
+    fires = "CASE " + " ".join(f"WHEN {r[0]} THEN {i}" for i, r in enumerate(rules)) + " END"
+    pairs = [" ".join(f"WHEN contains({q}, {_sql_str(w[0])}) AND contains({q}, {_sql_str(w[1])}) THEN {_sql_str(x[i])}"
+                      for w, *x in TX.CORRELATION_PAIRS) for i in (0, 1)]
+    one, two = (f"CASE WHEN {fires} = {kinds.index('correlation')} THEN CASE {p} END END" for p in pairs)
+    changes = ", ".join(f"{_sql_str(f + '=')} || ({e})" for f, e in _scenario_exprs(t))
+    changes = f"CASE WHEN {fires} = 0 THEN array_to_string(list_sort(list_filter([{changes}], lambda x: x IS NOT NULL)), ',') END"
+
     def case(idx, default):
         parts = [f"WHEN {r[0]} THEN {('NULL' if r[idx] is None else _sql_str(r[idx]))}" for r in rules]
         return "CASE " + " ".join(parts) + f" ELSE {default} END"
 
     return (f"{case(1, _sql_str('dataset_info'))} AS intent, {case(2, _sql_str('get_dataset_info'))} AS operation, "
-            f"CAST({case(3, 'NULL')} AS VARCHAR) AS \"column\", {cid} AS customer_id")
+            f"CAST({case(3, 'NULL')} AS VARCHAR) AS \"column\", {cid} AS customer_id, "
+            f"CAST({case(4, 'NULL')} AS VARCHAR) AS chart, CAST({one} AS VARCHAR) AS col1, CAST({two} AS VARCHAR) AS col2, {changes} AS changes")
 
 
 @query("route_user_questions", "Q5 Q6", sql=f"""
 SELECT conv_id, turn, {_route_sql()} FROM conversations WHERE role = 'user'""")
 def route_user_questions(spark, sf):
     c = read_table(spark, sf, "conversations").where(F.col("role") == "user")
-    return TJ.route_questions(c, keep=["conv_id", "turn"]).drop("chart", "col1", "col2", "changes")
+    return TJ.route_questions(c, keep=["conv_id", "turn"]).withColumn("changes", _map_text("changes"))
 
 
 def _scenario_sql(t="text"):
