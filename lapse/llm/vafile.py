@@ -107,7 +107,7 @@ class TaskSearch:
                 score = [int(s) for s in _ints(exact[part]) @ _ints(self.queries[q : q + 1])[0]]
             else:
                 score = (exact[part] @ self.queries[q]).astype(np.int64).tolist()
-            merged = sorted({*self.best[q], *zip((-s for s in score), ids[part].tolist(), strict=True)})
+            merged = sorted([*self.best[q], *zip((-s for s in score), ids[part].tolist(), strict=True)])
             self.best[q] = merged[: self.k]
             if len(self.best[q]) == self.k:
                 self.kth[q] = -self.best[q][-1][0]
@@ -147,9 +147,8 @@ def top_k(vectors: DataFrame, query_condition, k: int = 10, id_col: str = "vec_i
 
     Rows without id, null vectors and vectors with null or non-finite
     components take no part.  Only vectors of equal length are compared.
-    Repeated rows count once: a query's candidates are the different (id,
-    score) pairs, and different query vectors under one id are searched each by
-    itself.  No vectors or no queries: no rows.  An inner product that doesn't
+    Repeated rows count as rows among the candidates; different query vectors
+    under one id are searched each by itself, equal ones once.  No vectors or no queries: no rows.  An inner product that doesn't
     fit into 64 bits is an error.  Other columns are not read."""
     spark = vectors.sparkSession
     worker_path(spark)
@@ -171,5 +170,5 @@ def top_k(vectors: DataFrame, query_condition, k: int = 10, id_col: str = "vec_i
                 for n, q in by_length.items()}
         _scan(file, sent, bounds, k).write.mode("append").parquet(found)
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
-    best = spark.read.parquet(found).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = spark.read.parquet(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -13,11 +13,11 @@ def slow(rows, is_query, k, scale=1024):
     def ok(v):
         return v is not None and all(x is not None and math.isfinite(x) for x in v)
 
-    ints = sorted({(i, tuple(math.floor(scale * x) for x in v)) for i, v in rows if i is not None and ok(v)})
+    ints = sorted((i, tuple(math.floor(scale * x) for x in v)) for i, v in rows if i is not None and ok(v))
     out = []
-    for q, a in ints:
+    for q, a in sorted(set(ints)):
         if is_query(q):
-            found = {(-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ints if i != q and len(a) == len(b)}
+            found = [(-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ints if i != q and len(a) == len(b)]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(found)[:k], 1)]
     return sorted(out)
 
@@ -35,6 +35,7 @@ def test_random(spark, seed):
     rng = random.Random(seed)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(400)]
     rows += [(1000 + i, rows[i % 3][1]) for i in range(60)]  # ties
+    rows += [rows[1], rows[1], rows[5], rows[20]]  # repeated rows are rows
     assert run(spark, rows, 20, 10) == slow(rows, lambda i: i % 20 == 0, 10)
     assert run(spark, rows, 20, 10, query_block=3) == slow(rows, lambda i: i % 20 == 0, 10)
 
