@@ -221,13 +221,16 @@ def keep_one_per_component(docs: DataFrame, components: DataFrame, id_col: str =
     mine = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key")
     groups = staged(components.groupBy(F.col("component").alias("__c")).agg(F.count("*").alias("n"), F.min(mine).alias("keep"))
                     .where("n > 1"), "groups")
-    members = staged(
-        components.join(groups, F.col("component") == F.col("__c"))
-        .select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), mine.eqNullSafe(F.col("keep")).alias("__stays")).distinct(),
-        "members",
-    )
+    named = F.col(id_col).alias("__id"), F.col("text_key").alias("__key")
+    members = components.join(groups, F.col("component") == F.col("__c"))
+    stays = mine.eqNullSafe(F.col("keep"))
+    gone = staged(members.where(~stays).select(*named).distinct(), "gone")
+    again = staged(members.where(stays).groupBy(*named).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    alone = keyed.join(members, same, "left_anti")
-    first = keyed.join(members.where("__stays"), same, "left_semi").dropDuplicates([id_col, "__text_key"])
-    return alone.unionByName(first).drop("__text_key")
+    # What goes grows with the documents: they are dealt out by id and text at every size.
+    kept = keyed.join(gone.hint("shuffle_hash"), same, "left_anti")
+    if not is_empty(again):  # the row that stays is given more than once
+        first = kept.join(again, same, "left_semi").dropDuplicates([id_col, "__text_key"])
+        kept = kept.join(again, same, "left_anti").unionByName(first)
+    return kept.drop("__text_key")
