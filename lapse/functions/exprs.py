@@ -59,12 +59,13 @@ def pct(part: Column, whole: Column, digits: int = 2) -> Column:
 def pearson(x: str, y: str) -> Column:
     """Pairwise-complete Pearson r that is NULL (not an error) for a constant
     column: covar_pop over rows where both are present, divided by the
-    population std of each taken over the same rows."""
+    population std of each taken over the same rows.  Constant means equal
+    extremes: the std of equal values, added up by parts, may differ from 0."""
     cx, cy = F.col(x), F.col(y)
     both = cx.isNotNull() & cy.isNotNull()
-    sx = F.stddev_pop(F.when(both, cx))
-    sy = F.stddev_pop(F.when(both, cy))
-    return F.try_divide(F.covar_pop(cx, cy), sx * sy)
+    px, py = F.when(both, cx), F.when(both, cy)
+    varies = (F.min(px) < F.max(px)) & (F.min(py) < F.max(py))
+    return F.when(varies, F.try_divide(F.covar_pop(cx, cy), F.stddev_pop(px) * F.stddev_pop(py)))
 
 
 # Risk tiers.  Fixed values: High [0.70, 1.01), Medium [0.40, 0.70),
