@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
@@ -96,3 +96,35 @@ def clean_report(raw: DataFrame, spec: Spec, plan: CleanPlan) -> DataFrame:
     )
     return counts.select("*", dups.select("n_duplicates").scalar().alias("n_duplicates"),
                          dups.select("n_output").scalar().alias("n_output"))
+
+
+def clean_observed(raw: DataFrame, spec: Spec, plan: CleanPlan) -> tuple[DataFrame, Observation]:
+    """``clean`` and S9 in one read: the cleaned rows and an observation whose
+    ``get`` has the counters of ``clean_report`` once a write (or another action
+    over all rows) has run.
+
+    Equal rows are counted while they are grouped, rows that go are one group of
+    their own, and the counters are observed after that shuffle, in the stage
+    that writes: there each task counts once, even if an executor is lost and
+    earlier stages run again."""
+    df = _steps(raw, spec, plan)
+    gone = F.col(plan.measure).isNull()
+    kept = [c for c in df.columns if c != "_imputed"]
+
+    def value(c: str) -> Column:
+        return required_int(c) if c in plan.int_cols else F.col(c)
+
+    rows = df.select(gone.alias("_gone"), "_imputed", *[F.when(~gone, value(c)).alias(c) for c in kept])
+    groups = rows.groupBy("_gone", *kept).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_imputed").alias("_n_imputed"))
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    seen = Observation("clean")
+    out = groups.observe(
+        seen, total(F.col("_n")).alias("n_input"), total(F.col("_n_imputed")).alias("n_imputed"),
+        total(F.when(F.col("_gone"), F.col("_n"))).alias("n_dropped"),
+        total(F.when(~F.col("_gone"), F.col("_n") - 1)).alias("n_duplicates"),
+        F.count_if(~F.col("_gone")).alias("n_output"))
+    out = out.where(~F.col("_gone")).select(*kept)
+    return out.withColumn(spec.label_col, spec.positive_flag().cast("int")), seen

@@ -28,6 +28,7 @@ from lapse.operators import boosting as BO
 from lapse.operators import features as FT
 from lapse.operators import metrics as MX
 from lapse.session import ensure_checkpoint_dir
+from lapse.sources import versions
 from lapse.spec import Spec, SpecError
 from lapse.staging import staged
 
@@ -219,11 +220,18 @@ class TrainedModel:
     threshold: float = DEFAULT_THRESHOLD
     metadata: dict = field(default_factory=dict)
 
-    def save(self, path: str) -> None:
-        """Classifier via ML persistence; fitted constants and metadata
-        (model name, class counts, CV results, test metrics, threshold) as
-        JSON next to it; encoder tables as Parquet."""
+    def save(self, path: str) -> str:
+        """A new version below ``path``, seen by readers only once all of
+        it is written; its name.  The classifier via ML persistence; fitted
+        constants and metadata (model name, class counts, CV results, test
+        metrics, threshold) as JSON next to it; encoder tables as Parquet."""
         spark = SparkSession.getActiveSession()
+        version = versions.start(spark, path)
+        self._write(spark, versions.folder(path, version))
+        versions.publish(spark, path, version)
+        return version
+
+    def _write(self, spark: SparkSession, path: str) -> None:
         features, linear, trees = asdict(self.features), None, None
         if isinstance(self.classifier, LinearClassifier):
             linear = [list(self.classifier.coefficients), self.classifier.intercept]
@@ -242,8 +250,10 @@ class TrainedModel:
             .write.mode("overwrite").text(os.path.join(path, "model_json"))
 
     @staticmethod
-    def load(path: str) -> "TrainedModel":
+    def load(path: str, version: str | None = None) -> "TrainedModel":
+        """The newest whole version below ``path``, or the given one."""
         spark = SparkSession.getActiveSession()
+        path = versions.latest(spark, path, version)
         blob = json.loads(spark.read.text(os.path.join(path, "model_json")).first()[0])
         if blob.get("linear"):
             clf = LinearClassifier(tuple(blob["linear"][0]), blob["linear"][1])

@@ -8,7 +8,7 @@ so the broadcast side has at most n rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse.functions.exprs import risk_level
@@ -44,14 +44,50 @@ def lookup_ids(df: DataFrame, spec: Spec, ids) -> DataFrame:
     space around it.  ``ids`` is a list or a one-column DataFrame of requested
     ids, under one rule; the bulk form is an equi-join on the normalised id (no
     driver loop).  Null ids match nothing."""
-    def norm(c: Column) -> Column:
-        return F.upper(strip_ws(c.cast("string")))
+    if isinstance(ids, DataFrame):
+        req = ids.select(_norm(F.col(ids.columns[0])).alias(STORE_KEY)).distinct()
+        return df.join(req, _norm(F.col(spec.id_col)) == F.col(STORE_KEY), "left_semi")
+    keys = [_norm(F.lit(None if i is None else str(i))) for i in ids]
+    return df.where(_norm(F.col(spec.id_col)).isin(*keys)) if keys else df.limit(0)
+
+
+def _norm(c: Column) -> Column:
+    """The rule under which ids are equal."""
+    return F.upper(strip_ws(c.cast("string")))
+
+
+STORE_KEY = "__lookup_key"
+
+
+def write_lookup_store(df: DataFrame, spec: Spec, table: str, buckets: int, path: str | None = None) -> None:
+    """T2 for a base that is looked up again and again: ``df`` as a table in
+    buckets of its normalised id, sorted by it within each file.  ``lookup_store``
+    then reads the buckets and row groups of a list of ids only, or joins a table
+    of ids without moving the base.  Rows without id are not stored.
+
+    ``path`` puts the files elsewhere than in the warehouse.  The rows are dealt
+    out by bucket first, so there is one file a bucket."""
+    if STORE_KEY in df.columns:
+        raise SpecError(f"column '{STORE_KEY}' is the store's own")
+    keyed = df.withColumn(STORE_KEY, _norm(F.col(spec.id_col))).where(F.col(STORE_KEY).isNotNull())
+    writer = keyed.repartition(buckets, STORE_KEY).write.bucketBy(buckets, STORE_KEY).sortBy(STORE_KEY).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
 
+def lookup_store(spark: SparkSession, table: str, ids) -> DataFrame:
+    """The rows of a lookup store whose id is one of ``ids`` (a list or a
+    one-column DataFrame), as ``lookup_ids`` finds them."""
+    base = spark.table(table)
     if isinstance(ids, DataFrame):
-        req = ids.select(norm(F.col(ids.columns[0])).alias("_key")).distinct()
-        return df.join(req, norm(F.col(spec.id_col)) == F.col("_key"), "left_semi")
-    keys = [norm(F.lit(None if i is None else str(i))) for i in ids]
-    return df.where(norm(F.col(spec.id_col)).isin(*keys)) if keys else df.limit(0)
+        req = ids.select(_norm(F.col(ids.columns[0])).alias(STORE_KEY)).distinct()
+        # the merge join keeps the base where it lies: its buckets are the partitions of the join
+        found = base.join(req.hint("merge"), STORE_KEY, "left_semi").select(*base.columns)
+    else:
+        # normalised beforehand, for the scan prunes by plain values; upper-case and white space as in _norm
+        asked = [_norm(F.lit(None if i is None else str(i))) for i in ids]
+        keys = [k for k in spark.range(1).select(F.array(*asked)).first()[0] if k is not None] if asked else []
+        found = base.where(F.col(STORE_KEY).isin(keys)) if keys else base.limit(0)
+    return found.drop(STORE_KEY)
 
 
 def tier_counts(scores: DataFrame, score_col: str = "risk_score") -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapse.operators import aggregates as A
+from lapse.operators import gram as GR
 from lapse.operators import profiling as P
 from lapse.operators import ranking as T
-from lapse.plans.registry import query
+from lapse.plans.registry import REGISTRY, query
 from lapse.plans.sqlframes import risk_level_sql, with_frames
 from lapse.sources.frames import ORDER_SPEC, PROFILE_SPEC, customer_profile, order_facts, recency_scores
 from lapse.sources.tables import read_table
+from lapse.staging import drop_path, shared_path, staged
 
 PS = PROFILE_SPEC
 OS = ORDER_SPEC
@@ -389,6 +391,34 @@ def correlation_matrix(spark, sf):
     return A.correlation_matrix(customer_profile(spark, sf), spec=PS)
 
 
+_COMPONENTS_SQL = f"""
+WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i,
+                  CAST(unnest(embedding) AS DOUBLE) AS raw FROM embeddings WHERE len(embedding) = 64),
+     v AS (SELECT vec_id, i, CASE WHEN isfinite(raw) AND (vec_id + i) % 7 <> 0 THEN raw END AS x FROM x),
+     m AS (SELECT a.i AS i, b.i AS j, {pearson_sql('a.x', 'b.x', 6)} AS r
+           FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY 1, 2)
+SELECT CAST(i AS VARCHAR) AS col1, CAST(j AS VARCHAR) AS col2, r FROM m"""
+
+
+@query("correlation_wide_components", "A13 C9", sql=_COMPONENTS_SQL)
+def correlation_wide_components(spark, sf):
+    """All components of the embeddings as a wide table, with gaps (one
+    component in seven of each row is taken as missing)."""
+    e = read_table(spark, sf, "embeddings")
+    gaps = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i) % 7 != 0, x.cast("double")))
+    return GR.component_correlations(e.select(gaps.alias("v")), "v", 64, digits=6)
+
+
+@query("correlation_wide_lineitem", "A13", sql=f"""
+WITH m AS ({" UNION ALL ".join(
+    f"SELECT '{a}' AS col1, '{b}' AS col2, {pearson_sql(a, b, 6)} AS r FROM lineitem"
+    for a in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    for b in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))})
+SELECT * FROM m""")
+def correlation_wide_lineitem(spark, sf):
+    return GR.wide_correlations(read_table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 6)
+
+
 def _with_target_sql():
     cte, body = _matrix_parts()
     return with_frames("SELECT col2 AS feature, r FROM m WHERE col1 = 'label' AND col2 <> 'label'",
@@ -446,6 +476,22 @@ def lookup_customers(spark, sf):
     return T.lookup_ids(cp, PS, req)
 
 
+@query("lookup_store_customers", "T2 R3 R4", sql=REGISTRY["lookup_urgent_big_order_customers"].sql)
+def lookup_store_customers(spark, sf):
+    """The same requests against a bucketed, sorted store of the customers."""
+    o = read_table(spark, sf, "orders")
+    req = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000)).select(
+        F.concat(F.lit(" \t"), F.col("o_custkey").cast("string"), F.lit("\r\n ")).alias("requested"))
+    cp = customer_profile(spark, sf).select("customer_id", "segment", "churn")
+    path = shared_path(spark, "lookup")
+    table = "lapse_" + path.rsplit("-", 1)[1]
+    T.write_lookup_store(cp, PS, table, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), path=path)
+    found = staged(T.lookup_store(spark, table, req), "found")
+    spark.sql(f"DROP TABLE {table}")
+    drop_path(spark, path)
+    return found
+
+
 @query("risk_tier_counts", "T4 R2", sql=with_frames(f"""
 SELECT {risk_level_sql('risk_score')} AS risk_level, count(*) AS count
 FROM recency_scores GROUP BY 1"""))

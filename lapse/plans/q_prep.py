@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lapse.operators import chartdata as C
 from lapse.operators import cleaning as S
 from lapse.plans.q_analytics import pearson_sql
-from lapse.plans.registry import query
+from lapse.plans.registry import REGISTRY, query
 from lapse.plans.sqlframes import risk_level_sql, with_frames
 from lapse.sources.frames import ORDER_SPEC, PROFILE_SPEC, customer_profile, order_facts, recency_scores
 from lapse.sources.tables import read_table
@@ -92,6 +92,24 @@ def clean_report(spark, sf):
     return S.clean_report(raw_customers(spark, sf), RAW_SPEC, CLEAN_PLAN)
 
 
+@query("clean_report_observed", "S9", sql=REGISTRY["clean_report"].sql)
+def clean_report_observed(spark, sf):
+    """The counters of one read, taken while the cleaned rows are written."""
+    from lapse.staging import drop_staged, staged
+
+    rows, seen = S.clean_observed(raw_customers(spark, sf), RAW_SPEC, CLEAN_PLAN)
+    drop_staged(staged(rows, "cleaned"))
+    counters = seen.get
+    return spark.range(1).select(*[F.lit(counters[c]).cast("long").alias(c) for c in
+                                   ("n_input", "n_imputed", "n_dropped", "n_duplicates", "n_output")])
+
+
+@query("clean_customers_observed", "S2 S3 S4 S5 S6 S7 S8", sql=REGISTRY["clean_customers"].sql)
+def clean_customers_observed(spark, sf):
+    """The rows that are written beside those counters."""
+    return S.clean_observed(raw_customers(spark, sf), RAW_SPEC, CLEAN_PLAN)[0]
+
+
 # ---------------------------------------------------------------- charts
 
 @query("chart_outcome_distribution", "C1", sql=with_frames("""
