@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lapse.llm import vafile
 from lapse.llm.vafile import top_k
 
 
@@ -53,3 +54,25 @@ def test_sums_beyond_doubles(spark):
     assert run(spark, rows, 100, 2) == slow(rows, lambda i: i == 0, 2)
     with pytest.raises(Exception, match="64 bits"):
         run(spark, [(0, [2.0**40]), (1, [2.0**40])], 100, 1)
+
+
+def test_cells_alone_leave_few_exact_vectors(spark, monkeypatch):
+    """The first phase reads no exact vector, the second one those of few rows."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(32)]) for i in range(6000)]
+    read, seen = [], []
+    scan, reach = vafile._scan, vafile.surviving_rows
+
+    def counted(rows, queries, k):
+        read.append(rows.count())
+        return scan(rows, queries, k)
+
+    def planned(cells, queries):
+        seen.append(cells._jdf.queryExecution().executedPlan().toString())
+        return reach(cells, queries)
+
+    monkeypatch.setattr(vafile, "_scan", counted)
+    monkeypatch.setattr(vafile, "surviving_rows", planned)
+    assert run(spark, rows, 1500, 5) == slow(rows, lambda i: i % 1500 == 0, 5)
+    assert len(read) == 1 and 20 <= read[0] < 600
+    assert "ReadSchema: struct<row:bigint,id:bigint,cells:binary>" in seen[0]
