@@ -3,28 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from lapse.session import worker_path
 from lapse.staging import drop_path, drop_staged, shared_path, staged
 
 __all__ = ["drop_path", "drop_staged", "is_empty", "shared_path", "staged", "tidy", "worker_path"]
 
-PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def worker_path(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place the driver
-    imported it from (a cluster that ships it with ``--py-files`` or installs
-    it needs nothing more)."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
-
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

@@ -11,6 +11,18 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def worker_path(spark: SparkSession) -> None:
+    """Let Python workers import this package from the place the driver
+    imported it from (a cluster that ships it with ``--py-files`` or installs
+    it needs nothing more)."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
+
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "lapse") -> SparkSession:
