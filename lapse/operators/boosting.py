@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.operators.quantiles import stacked_quantiles
+from lapse.session import worker_path
 from lapse.staging import drop_staged, staged
 
 #: Fits of up to so many rows run in one task (16 bytes a row and a byte per feature).
@@ -134,23 +135,25 @@ def _gain(g, h, l2: float):
     return g * g / (h + l2)
 
 
-def best_split(hist: np.ndarray, p: Params) -> tuple[float, int, int, np.ndarray] | None:
-    """(gain, feature, bin, sums on the left) of the best allowed split; hist:
-    features x bins x (gradient, hessian, rows).  Ties go to the first feature
-    and bin."""
-    left = np.cumsum(hist, axis=1)
-    total = left[:, -1:, :]
+def best_splits(hists: np.ndarray, p: Params) -> list[tuple[float, int, int, np.ndarray] | None]:
+    """Per node (gain, feature, bin, sums on the left) of the best allowed
+    split; hists: nodes x features x bins x (gradient, hessian, rows).  Ties go
+    to the first feature and bin."""
+    left = np.cumsum(hists, axis=2)
+    total = left[:, :, -1:, :]
     right = total - left
-    g, h, n = np.moveaxis(left, 2, 0)
-    gr, hr, nr = np.moveaxis(right, 2, 0)
+    g, h, n = np.moveaxis(left, 3, 0)
+    gr, hr, nr = np.moveaxis(right, 3, 0)
     least = p.min_hessian * SCALE
     ok = (n >= p.min_rows) & (nr >= p.min_rows) & (h >= least) & (hr >= least)
     gain = (_gain(g / SCALE, h / SCALE, p.l2) + _gain(gr / SCALE, hr / SCALE, p.l2)
             - _gain(total[..., 0] / SCALE, total[..., 1] / SCALE, p.l2))
-    gain = np.where(ok, gain, -np.inf)
-    at = int(np.argmax(gain))
-    f, b = divmod(at, hist.shape[1])
-    return (float(gain[f, b]), f, b, left[f, b]) if gain[f, b] > 0 else None
+    gain = np.where(ok, gain, -np.inf).reshape(len(hists), -1)
+    best = []
+    for node, at in enumerate(np.argmax(gain, axis=1).tolist()):
+        f, b = divmod(at, hists.shape[2])
+        best.append((float(gain[node, at]), f, b, left[node, f, b]) if gain[node, at] > 0 else None)
+    return best
 
 
 def grow(histograms, edges: list[np.ndarray], p: Params) -> Tree:
@@ -166,10 +169,9 @@ def grow(histograms, edges: list[np.ndarray], p: Params) -> Tree:
     for _ in range(p.max_depth):
         found = histograms(full, level)
         after = []
-        for node, hist in zip(level, found, strict=True):
+        for node, hist, split in zip(level, found, best_splits(found, p), strict=True):
             if node == 0:
                 sums[0] = hist[0].sum(axis=0)
-            split = best_split(hist, p)
             if split is None:
                 continue
             gain, f, b, left = split
@@ -297,6 +299,7 @@ def fit(prepared: DataFrame, names: list[str], label_col: str = "label", weight_
     """Boosting on the prepared feature columns (no nulls) of labelled rows.
     ``local_rows`` only chooses where the sums are formed.  Without rows, or
     with one class, the model scores its base rate."""
+    worker_path(prepared.sparkSession)
     p = params or Params()
     rows = prepared.select(F.col(label_col).cast("double").alias("y"), F.col(weight_col).cast("double").alias("w"),
                            *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(names)])

@@ -67,3 +67,16 @@ def test_bins_follow_values_or_quantiles(spark):
         few, many = BO.bin_edges(df, ["few", "many"], 10, exact)
         assert few.tolist() == [0, 1, 2, 3] and len(many) == 9
         assert all(abs(e - 999 * (i + 1) / 10) < 2 for i, e in enumerate(many))
+
+
+def test_a_level_is_split_at_once():
+    """Splits of all nodes from one call equal those of each node alone."""
+    rng = np.random.default_rng(3)
+    hists = np.concatenate([rng.integers(-9, 9, (5, 3, 8, 1)) * BO.SCALE, rng.integers(1, 9, (5, 3, 8, 2)) * [BO.SCALE, 1]], axis=3)
+    hists[4] = 0
+    for p in (BO.Params(min_rows=1), BO.Params(min_rows=20)):
+        found = BO.best_splits(hists, p)
+        alone = [BO.best_splits(h[None], p)[0] for h in hists]
+        assert [f and f[:3] for f in found] == [a and a[:3] for a in alone] and found[4] is None
+        assert all(f[3].tolist() == hists[i, f[1], : f[2] + 1].sum(axis=0).tolist() for i, f in enumerate(found) if f)
+    assert any(BO.best_splits(hists, BO.Params(min_rows=1)))

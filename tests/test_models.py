@@ -107,6 +107,16 @@ def test_cross_validate_two_models(spark):
     assert MD.select_best(summary) in {"LogisticRegression", "GradientBoosting"}
 
 
+def test_a_fold_is_prepared_once_for_all_candidates(spark, monkeypatch):
+    from lapse.operators import features as FT
+
+    fitted, fit = [], FT.fit_features
+    monkeypatch.setattr(FT, "fit_features", lambda *a, **k: (fitted.append(1), fit(*a, **k))[1])
+    split = FT.assign_split(customer_profile(spark, SF_SMALL), PS).where("split = 'train'")
+    cv = MD.cross_validate(split, PS, folds=2, overrides={"GradientBoosting": {"rounds": 2}, "RandomForest": {"numTrees": 3}})
+    assert cv.select("model", "fold").distinct().count() == 6 and len(fitted) == 2
+
+
 def test_save_load_roundtrip(spark, trained, tmp_dir):
     cp, model, _ = trained
     path = os.path.join(tmp_dir, "model")
