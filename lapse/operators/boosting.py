@@ -9,12 +9,14 @@ Gradients and hessians are rounded to multiples of 2**-24, so their sums are
 whole numbers and the same however the rows are dealt out.  Two ways lead to
 them: one Spark aggregate per level of a tree (about 255 rows per open node and
 feature reach the driver), or, for at most ``LOCAL_ROWS`` rows, one task that
-holds the binned rows and grows all trees by the same rules."""
+holds the binned rows and grows all trees by the same rules.  Both read a split's
+smaller child only and sum features of few bins together."""
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,11 +30,13 @@ from lapse.operators.quantiles import stacked_quantiles
 from lapse.session import worker_path
 from lapse.staging import drop_staged, staged
 
-#: Fits of up to so many rows run in one task (16 bytes a row and a byte per feature).
-LOCAL_ROWS = 1 << 17
+#: Fits of up to so many rows run in one task (about 100 bytes a row and 2 per feature).
+LOCAL_ROWS = 1 << 21
 SCALE = float(1 << 24)
-#: Rounds between two writes of the scores in the distributed fit.
-KEEP_ROUNDS = 10
+#: Rounds between two writes of the gradients in the distributed fit.
+KEEP_ROUNDS = 1
+#: A row of the distributed fit at the start of a round.
+STATE = "y double, w double, bins binary, raw double, g long, h long"
 
 
 @dataclass(frozen=True)
@@ -156,20 +160,23 @@ def best_splits(hists: np.ndarray, p: Params) -> list[tuple[float, int, int, np.
     return best
 
 
-def grow(histograms, edges: list[np.ndarray], p: Params) -> Tree:
-    """One tree.  ``histograms(tree, nodes)`` gives the histogram of each of the
-    nodes, the leaves of the tree so far.  A level is asked for at once; then
-    the splits are taken in the order of their gains."""
+def grow(histograms, edges: list[np.ndarray], p: Params) -> tuple[Tree, Tree, list[int]]:
+    """A tree, all splits that were found, and the node of the tree that the rows
+    of each of their nodes belong to.  ``histograms(tree, nodes)`` gives the histogram of each of the
+    nodes, leaves of the tree so far.  A level is asked for at once, but of each
+    split only the child with fewer rows: the other has the rest of its parent's
+    sums, which are whole numbers.  Then the splits are taken in the order of
+    their gains."""
     def value(sums):
         return float(-(sums[0] / SCALE) / (sums[1] / SCALE + p.l2) * p.learning_rate)
 
     full = Tree()
     full.add(0.0, 0)
     level, splits, sums = [0], {}, {}
-    for _ in range(p.max_depth):
-        found = histograms(full, level)
-        after = []
-        for node, hist, split in zip(level, found, best_splits(found, p), strict=True):
+    found = histograms(full, level)
+    for depth in range(p.max_depth):
+        after, parents, fewer = [], [], []
+        for at, (node, hist, split) in enumerate(zip(level, found, best_splits(found, p), strict=True)):
             if node == 0:
                 sums[0] = hist[0].sum(axis=0)
             if split is None:
@@ -179,13 +186,20 @@ def grow(histograms, edges: list[np.ndarray], p: Params) -> Tree:
             full.feature[node], full.bin[node], full.threshold[node] = f, b, float(edges[f][b])
             full.left[node], full.right[node] = full.add(0.0, 0), full.add(0.0, 0)
             sums[full.left[node]], sums[full.right[node]] = left, sums[node] - left
+            parents.append(at)
+            fewer.append(int(2 * left[2] > sums[node][2]))
             after += [full.left[node], full.right[node]]
         level = after
-        if not level:
+        if not level or depth + 1 == p.max_depth:
             break
+        one, pairs = np.array(fewer), np.arange(len(parents))
+        part = histograms(full, [level[2 * i + k] for i, k in enumerate(fewer)])
+        both = np.empty((len(parents), 2, *found.shape[1:]))
+        both[pairs, one], both[pairs, 1 - one] = part, found[parents] - part
+        found = both.reshape(len(level), *found.shape[1:])
     tree = Tree()
     tree.add(value(sums[0]), int(sums[0][2]))
-    waiting = [(-splits[0][0], 0, 0)] if 0 in splits else []
+    waiting, places = [(-splits[0][0], 0, 0)] if 0 in splits else [], {0: 0}
     leaves = 1
     while waiting and leaves < p.max_leaves:
         _, at, node = heapq.heappop(waiting)
@@ -193,12 +207,16 @@ def grow(histograms, edges: list[np.ndarray], p: Params) -> Tree:
         tree.gain[at] = splits[node][0]
         for side in ("left", "right"):
             child = getattr(full, side)[node]
-            place = tree.add(value(sums[child]), int(sums[child][2]))
-            getattr(tree, side)[at] = place
+            places[child] = tree.add(value(sums[child]), int(sums[child][2]))
+            getattr(tree, side)[at] = places[child]
             if child in splits:
-                heapq.heappush(waiting, (-splits[child][0], place, child))
+                heapq.heappush(waiting, (-splits[child][0], places[child], child))
         leaves += 1
-    return tree
+    for node, (left, right) in enumerate(zip(full.left, full.right, strict=True)):
+        if left >= 0:  # a parent comes before its children
+            places.setdefault(left, places[node])
+            places.setdefault(right, places[node])
+    return tree, full, [places[node] for node in range(len(full.feature))]
 
 
 def _base(y1: float, all_: float) -> float:
@@ -206,91 +224,160 @@ def _base(y1: float, all_: float) -> float:
     return float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
 
 
+def _bundles(widths: list[int]) -> list[list[int]]:
+    """Features that are summed together: while their bins have at most 256
+    combinations, those are the cells, and a feature's sums are sums of cells."""
+    out: list[list[int]] = []
+    for f in sorted(range(len(widths)), key=lambda f: widths[f]):
+        if out and math.prod(widths[x] for x in out[-1]) * widths[f] <= 256:
+            out[-1].append(f)
+        else:
+            out.append([f])
+    return out
+
+
+def _cells(bins: np.ndarray, bundles: list[list[int]], widths: list[int]) -> list[np.ndarray]:
+    """Of each bundle the cell of every row; bins: rows x features."""
+    shape = [tuple(widths[f] for f in some) for some in bundles]
+    return [np.ravel_multi_index(tuple(bins[:, f] for f in some), by).astype(np.uint8) for some, by in zip(bundles, shape, strict=True)]
+
+
+def _sums(cells: list[np.ndarray], g: np.ndarray, h: np.ndarray, bundles: list[list[int]], widths: list[int]) -> np.ndarray:
+    """features x bins x (gradient, hessian, rows)."""
+    out = np.zeros((len(widths), max(widths), 3))
+    for cell, some in zip(cells, bundles, strict=True):
+        by = [widths[f] for f in some]
+        cell, n = cell.astype(np.intp), math.prod(by)
+        joint = np.stack([np.bincount(cell, g, n), np.bincount(cell, h, n), np.bincount(cell, minlength=n)], axis=1).reshape(*by, 3)
+        for i, f in enumerate(some):
+            out[f, : by[i]] = joint.sum(axis=tuple(j for j in range(len(by)) if j != i))
+    return out
+
+
+def _gradients(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    prob = 1.0 / (1.0 + np.exp(-raw))
+    return np.round(w * (prob - y) * SCALE), np.round(w * prob * (1 - prob) * SCALE)
+
+
+def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
+
+
 def fit_in_memory(x: np.ndarray, y: np.ndarray, w: np.ndarray, edges: list[np.ndarray], p: Params) -> tuple[list[Tree], float]:
     """All rounds over rows in memory."""
-    bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
-    width = max(len(e) for e in edges) + 1
+    return fit_bins(to_bins(x, edges), y, w, edges, p)
+
+
+def fit_bins(bins: np.ndarray, y: np.ndarray, w: np.ndarray, edges: list[np.ndarray], p: Params) -> tuple[list[Tree], float]:
+    """All rounds over binned rows in memory.  The rows of each node are kept as
+    a list, so a level reads only the rows of the nodes that it asks for."""
+    widths = [len(e) + 1 for e in edges]
+    bundles, columns = _bundles(widths), list(np.ascontiguousarray(bins.T))
+    cells = _cells(bins, bundles, widths)
     base = _base(float((w * y).sum()), float(w.sum()))
-    raw, trees = np.full(len(x), base), []
+    raw, trees = np.full(len(y), base), []
     for _ in range(p.rounds):
-        prob = 1.0 / (1.0 + np.exp(-raw))
-        g, h = np.round(w * (prob - y) * SCALE), np.round(w * prob * (1 - prob) * SCALE)
-        state = {"at": np.zeros(len(x), np.int64)}
-
-        def histograms(tree, nodes, g=g, h=h, state=state):
-            at, feature = state["at"], np.array(tree.feature)
-            inner = np.flatnonzero(feature[at] >= 0)  # one level further
-            node = at[inner]
-            at[inner] = np.where(bins[inner, feature[node]] <= np.array(tree.bin)[node], np.array(tree.left)[node], np.array(tree.right)[node])
-            place = np.full(len(tree.feature), -1)
-            place[nodes] = np.arange(len(nodes))
-            rank = place[at]
-            mine = np.flatnonzero(rank >= 0)
-            out = np.zeros((len(nodes), len(edges), width, 3))
-            for f in range(len(edges)):
-                key = rank[mine] * width + bins[mine, f]
-                for i, weights in enumerate((g[mine], h[mine], None)):
-                    out[:, f, :, i] = np.bincount(key, weights, len(nodes) * width).reshape(len(nodes), width)
-            return out
-
-        tree = grow(histograms, edges, p)
+        g, h = _gradients(raw, y, w)
+        rows: dict[int, np.ndarray | slice] = {0: slice(None)}
+
+        def split(tree, rows=rows):
+            for node in [n for n in rows if tree.feature[n] >= 0]:
+                mine = rows.pop(node)
+                left = columns[tree.feature[node]][mine] <= tree.bin[node]
+                for child, side in ((tree.left[node], left), (tree.right[node], ~left)):
+                    rows[child] = np.flatnonzero(side) if node == 0 else mine[side]
+
+        def histograms(tree, nodes, g=g, h=h, rows=rows):
+            split(tree)
+            return np.stack([_sums([c[rows[n]] for c in cells], g[rows[n]], h[rows[n]], bundles, widths) for n in nodes])
+
+        tree, full, places = grow(histograms, edges, p)
+        split(full)
+        for node, mine in rows.items():
+            raw[mine] += tree.value[places[node]]
         trees.append(tree)
-        raw += np.array(tree.value)[_walk(tree, bins, tree.bin)]
     return trees, base
 
 
-def _leaf(tree: Tree, bins: list[Column], result) -> Column:
-    """``result(node)`` of the leaf that a row falls into, as a column."""
-    def at(node):
-        if tree.feature[node] < 0:
-            return F.lit(result(node))
-        return F.when(bins[tree.feature[node]] <= tree.bin[node], at(tree.left[node])).otherwise(at(tree.right[node]))
+def byte_column(bins: np.ndarray) -> pa.Array:
+    """A matrix of bytes as a binary column, a value per row."""
+    ends = np.arange(len(bins) + 1, dtype=np.int32) * bins.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bins))])
 
-    return at(0)
 
+def byte_rows(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of ``width`` bytes a value as a matrix."""
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32, len(column) + 1 + column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[column.offset]:ends[-1]].reshape(-1, width)
 
-def fit_distributed(rows: DataFrame, edges: list[np.ndarray], p: Params) -> tuple[list[Tree], float]:
-    """One aggregate per level; ``rows``: y, w and the features f0, f1, ..."""
-    bins = [F.col(f"b{f}") for f in range(len(edges))]
 
-    def bin_of(f: int, ends: np.ndarray) -> Column:
-        below = F.filter(F.array(*map(F.lit, map(float, ends))), lambda end: end < F.col(f"f{f}"))
-        return (F.size(below) if len(ends) else F.lit(0)).alias(f"b{f}")
+def _state(y: np.ndarray, w: np.ndarray, bins: pa.Array, raw: np.ndarray) -> pa.RecordBatch:
+    """Rows at the start of a round."""
+    g, h = (pa.array(c.astype(np.int64)) for c in _gradients(raw, y, w))
+    return pa.RecordBatch.from_arrays([pa.array(y), pa.array(w), bins, pa.array(raw), g, h], names=["y", "w", "bins", "raw", "g", "h"])
 
-    binned = [bin_of(f, e) for f, e in enumerate(edges)]
-    table = staged(rows.select("y", "w", *binned), "binned")
+
+def fit_distributed(binned: DataFrame, edges: list[np.ndarray], p: Params) -> tuple[list[Tree], float]:
+    """One aggregate per level; ``binned``: y, w and bins, a byte per feature.
+    Tasks sum their own rows, so at most a row per task, node, feature and bin
+    is shuffled."""
+    widths, features = [len(e) + 1 for e in edges], len(edges)
+    bundles = _bundles(widths)
+    table = staged(binned, "binned")
     one = table.agg(F.sum(F.col("w") * F.col("y")).alias("y"), F.sum("w").alias("w")).first()
     base = _base(one["y"] or 0.0, one["w"] or 0.0)
-    now, trees, fresh = table.withColumn("raw", F.lit(base)), [], []
-    width, kept = max(len(e) for e in edges) + 1, [table]
-    for _ in range(p.rounds):
-        raw = F.col("raw")
-        for t in fresh:
-            raw = raw + _leaf(t, bins, lambda node, t=t: t.value[node])
-        if len(fresh) == KEEP_ROUNDS:
-            done = staged(now.withColumn("raw", raw), "boosting")
-            drop_staged(*kept)
-            now, kept, fresh, raw = done, [done], [], F.col("raw")
-        prob = 1.0 / (1.0 + F.exp(-raw))
-        sums = now.select(*bins, F.col("w"), F.col("y"), prob.alias("p")).select(
-            *bins, F.round(F.col("w") * (F.col("p") - F.col("y")) * SCALE).cast("long").alias("g"),
-            F.round(F.col("w") * F.col("p") * (1 - F.col("p")) * SCALE).cast("long").alias("h"))
-
-        def histograms(tree, nodes, sums=sums):
-            pairs = F.array(*[F.struct(F.lit(f).alias("f"), b.alias("b")) for f, b in enumerate(bins)])
-            open_ = sums.select(_leaf(tree, bins, int).alias("node"), "g", "h", pairs.alias("pairs")).where(F.col("node").isin(nodes))
-            found = open_.select("node", "g", "h", F.inline("pairs")).groupBy("node", "f", "b").agg(
-                F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()  # at most a row per node, feature and bin
-            place = {node: i for i, node in enumerate(nodes)}
-            out = np.zeros((len(nodes), len(edges), width, 3))
-            for r in found:
-                out[place[r.node], r.f, r.b] = r.g, r.h, r.n
-            return out
-
-        tree = grow(histograms, edges, p)
+
+    def start(batches):
+        for b in batches:
+            raw = np.full(b.num_rows, base)
+            yield _state(*map(np.asarray, b.columns[:2]), b.column(2), raw)
+
+    def next_round(tree):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    y, w, raw = (np.asarray(b.column(c)) for c in ("y", "w", "raw"))
+                    bins = byte_rows(b.column("bins"), features)
+                    yield _state(y, w, b.column("bins"), raw + np.array(tree.value)[_walk(tree, bins, tree.bin)])
+        return run
+
+    now, trees, kept = table.mapInArrow(start, STATE), [], table
+    for done in range(p.rounds):
+        if done % KEEP_ROUNDS == 0:
+            now = staged(now, "boosting")
+            drop_staged(kept)
+            kept = now
+
+        def histograms(tree, nodes, now=now):
+            place = np.full(len(tree.feature), len(nodes))
+            place[nodes] = np.arange(len(nodes))
+
+            def partial(batches):
+                total = np.zeros((len(nodes), features, max(widths), 3))
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    bins = byte_rows(b.column(0), features)
+                    at = place[_walk(tree, bins, tree.bin)]
+                    g, h = (np.asarray(b.column(c)).astype(float) for c in (1, 2))
+                    for i in range(len(nodes)):
+                        mine = np.flatnonzero(at == i)
+                        if len(mine):
+                            total[i] += _sums(_cells(bins[mine], bundles, widths), g[mine], h[mine], bundles, widths)
+                at = np.nonzero(total[..., 2])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in at), *(pa.array(c.astype(np.int64)) for c in total[at].T)],
+                                                 names=["node", "f", "b", "g", "h", "n"])
+
+            parts = now.select("bins", "g", "h").mapInArrow(partial, "node int, f int, b int, g long, h long, n long")
+            found = parts.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
+            out = np.zeros((len(nodes), features, max(widths), 3))
+            out[tuple(found.column(c).to_numpy() for c in range(3))] = np.stack([found.column(c).to_numpy() for c in range(3, 6)], axis=1)
+            return out  # at most a row per node, feature and bin
+
+        tree, _, _ = grow(histograms, edges, p)
         trees.append(tree)
-        fresh.append(tree)
-    drop_staged(*kept)
+        now = now.mapInArrow(next_round(tree), STATE)
+    drop_staged(kept)
     return trees, base
 
 
@@ -307,15 +394,25 @@ def fit(prepared: DataFrame, names: list[str], label_col: str = "label", weight_
     if not n or not names:
         return HistogramBooster(list(names), [], 0.0)
     edges = bin_edges(rows, [f"f{i}" for i in range(len(names))], p.max_bins, exact_edges)
+
+    def binning(batches):
+        for b in batches:
+            bins = to_bins(np.stack([np.asarray(c) for c in b.columns[2:]], axis=1), edges)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), byte_column(bins)], names=["y", "w", "bins"])
+
+    binned = rows.mapInArrow(binning, "y double, w double, bins binary")
     if n > local_rows:
-        trees, base = fit_distributed(rows, edges, p)
+        trees, base = fit_distributed(binned, edges, p)
         return HistogramBooster(list(names), trees, base)
 
     def run(batches):
-        columns = [np.concatenate(c) for c in zip(*([np.array(x) for x in b.columns] for b in batches), strict=True)]
-        if columns:
-            trees, base = fit_in_memory(np.stack(columns[2:], axis=1), columns[0], columns[1], edges, p)
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            y, w = (np.concatenate([np.asarray(b.column(c)) for b in batches]) for c in (0, 1))
+            bins = np.concatenate([byte_rows(b.column(2), len(edges)) for b in batches])
+            batches.clear()
+            trees, base = fit_bins(bins, y, w, edges, p)
             yield pa.RecordBatch.from_arrays([pa.array([HistogramBooster(list(names), trees, base).to_json()])], names=["model"])
 
-    one = rows.repartition(1).mapInArrow(run, "model string")  # at most local_rows rows
+    one = binned.repartition(1).mapInArrow(run, "model string")  # at most local_rows rows
     return HistogramBooster.from_json(one.first()["model"])

@@ -191,8 +191,8 @@ def cross_validate(train: DataFrame, spec: Spec, names=None, folds: int = 5, see
         return kept
 
     try:
-        # boosting takes longest, so it goes first
-        tasks = [(n, f) for n in sorted(names, key=lambda n: n != "GradientBoosting") for f in range(folds)]
+        # boosting takes longest and may be one task, so each of its fits goes first, beside the fold's other ones
+        tasks = [(n, f) for f in range(folds) for n in sorted(names, key=lambda n: n != "GradientBoosting")]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             list(pool.map(prepare, range(folds)))
             scored = list(pool.map(run, tasks))
@@ -334,8 +334,10 @@ def train(df: DataFrame, spec: Spec, names=None, folds: int = 5, test_fraction:
     ensure_checkpoint_dir(df.sparkSession)
     names = list(names or CANDIDATES)
     overrides = overrides or {}
-    slim = FT.project_features(spec.with_label(df), spec, keep=[spec.label_col])  # M1: all that training reads
+    # M1: all that training reads, derived once (the split reads its rows twice)
+    slim = staged(FT.project_features(spec.with_label(df), spec, keep=[spec.label_col]), "slim")
     split = FT.assign_split(slim, spec, test_fraction, folds, seed).checkpoint(eager=True)
+    drop_staged(slim)
     train_rows = split.where(F.col("split") == "train")
     test_rows = split.where(F.col("split") == "test")
     if cv and len(names) > 1:

@@ -38,8 +38,11 @@ def model_training_report(spark, sf):
 
 @query("cv_model_comparison", "M10 M11 M12 M13")
 def cv_model_comparison(spark, sf):
-    cp = customer_profile(spark, sf)
-    split = FT.assign_split(FT.project_features(PS.with_label(cp), PS, keep=[PS.label_col]), PS)
+    from lapse.staging import staged
+
+    # the split reads its rows twice: derive them once
+    slim = staged(FT.project_features(PS.with_label(customer_profile(spark, sf)), PS, keep=[PS.label_col]), "slim")
+    split = FT.assign_split(slim, PS)
     cv = MD.cross_validate(split.where(F.col("split") == "train"), PS)
     return MD.summarize_cv(cv)
 

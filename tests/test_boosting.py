@@ -80,3 +80,51 @@ def test_a_level_is_split_at_once():
         assert [f and f[:3] for f in found] == [a and a[:3] for a in alone] and found[4] is None
         assert all(f[3].tolist() == hists[i, f[1], : f[2] + 1].sum(axis=0).tolist() for i, f in enumerate(found) if f)
     assert any(BO.best_splits(hists, BO.Params(min_rows=1)))
+
+
+def test_rounds_take_no_jobs_of_their_own_up_to_two_million_rows(spark):
+    """131,073 rows used to take a job per level and round."""
+    rows = spark.range((1 << 17) + 1).select(
+        (F.xxhash64("id") % 50).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"),
+        (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int").alias("label"), F.lit(1.0).alias("weight")).persist()
+    rows.count()
+    jobs = []
+    for rounds in (1, 3):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        assert len(BO.fit(rows, ["a", "b"], params=BO.Params(rounds=rounds)).trees) == rounds
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows.unpersist()
+    assert 0 < jobs[1] <= jobs[0]
+
+
+def test_only_the_smaller_child_is_read(monkeypatch):
+    """A level used to read every row; now half of them at most, with the same trees."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 9, (500, 3)).astype(float), rng.integers(0, 2, 500).astype(float)
+    read, sums, depth = [], BO._sums, 4
+    monkeypatch.setattr(BO, "_sums", lambda cells, g, h, *a: (read.append(len(g)), sums(cells, g, h, *a))[1])
+    trees, _ = BO.fit_in_memory(x, y, np.ones(500), [np.arange(8.0)] * 3, BO.Params(rounds=1, max_depth=depth, min_rows=5))
+    assert read[0] == 500 and sum(read) <= 500 + (depth - 1) * 250 and len(read) > depth
+    at = BO._walk(trees[0], x, trees[0].threshold)
+    assert all(trees[0].rows[leaf] == n for leaf, n in zip(*np.unique(at, return_counts=True), strict=True))
+
+
+def test_features_summed_together_have_their_own_sums():
+    rng = np.random.default_rng(6)
+    widths = [5, 200, 3, 7, 1, 256]
+    bins = np.stack([rng.integers(0, w, 300) for w in widths], axis=1).astype(np.uint8)
+    g, h = rng.integers(-99, 99, (2, 300)).astype(float)
+    bundles = BO._bundles(widths)
+    assert sorted(f for some in bundles for f in some) == list(range(6)) and len(bundles) < 6
+    got = BO._sums(BO._cells(bins, bundles, widths), g, h, bundles, widths)
+    for f, w in enumerate(widths):
+        for i, weights in enumerate((g, h, None)):
+            assert got[f, :w, i].tolist() == np.bincount(bins[:, f], weights, w).tolist() and not got[f, w:].any()
+
+
+def test_byte_columns_come_back_as_they_were():
+    bins = np.random.default_rng(7).integers(0, 256, (20, 3)).astype(np.uint8)
+    column = BO.byte_column(bins)
+    assert (BO.byte_rows(column, 3) == bins).all() and column[4].as_py() == bins[4].tobytes()
+    assert (BO.byte_rows(column.slice(5, 7), 3) == bins[5:12]).all()
