@@ -259,6 +259,10 @@ def _gradients(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
     return np.round(w * (prob - y) * SCALE), np.round(w * prob * (1 - prob) * SCALE)
 
 
+def _picked(x: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+    return x if rows is None else x.take(rows)
+
+
 def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
 
@@ -278,23 +282,23 @@ def fit_bins(bins: np.ndarray, y: np.ndarray, w: np.ndarray, edges: list[np.ndar
     raw, trees = np.full(len(y), base), []
     for _ in range(p.rounds):
         g, h = _gradients(raw, y, w)
-        rows: dict[int, np.ndarray | slice] = {0: slice(None)}
+        rows: dict[int, np.ndarray | None] = {0: None}  # None: all
 
         def split(tree, rows=rows):
             for node in [n for n in rows if tree.feature[n] >= 0]:
                 mine = rows.pop(node)
-                left = columns[tree.feature[node]][mine] <= tree.bin[node]
+                left = _picked(columns[tree.feature[node]], mine) <= tree.bin[node]
                 for child, side in ((tree.left[node], left), (tree.right[node], ~left)):
-                    rows[child] = np.flatnonzero(side) if node == 0 else mine[side]
+                    rows[child] = np.flatnonzero(side) if mine is None else mine.compress(side)
 
         def histograms(tree, nodes, g=g, h=h, rows=rows):
             split(tree)
-            return np.stack([_sums([c[rows[n]] for c in cells], g[rows[n]], h[rows[n]], bundles, widths) for n in nodes])
+            return np.stack([_sums([_picked(c, rows[n]) for c in cells], _picked(g, rows[n]), _picked(h, rows[n]), bundles, widths) for n in nodes])
 
         tree, full, places = grow(histograms, edges, p)
         split(full)
         for node, mine in rows.items():
-            raw[mine] += tree.value[places[node]]
+            raw[... if mine is None else mine] += tree.value[places[node]]
         trees.append(tree)
     return trees, base
 

@@ -38,12 +38,13 @@ def model_training_report(spark, sf):
 
 @query("cv_model_comparison", "M10 M11 M12 M13")
 def cv_model_comparison(spark, sf):
-    from lapse.staging import staged
+    from lapse.staging import drop_staged, staged
 
     # the split reads its rows twice: derive them once
     slim = staged(FT.project_features(PS.with_label(customer_profile(spark, sf)), PS, keep=[PS.label_col]), "slim")
     split = FT.assign_split(slim, PS)
     cv = MD.cross_validate(split.where(F.col("split") == "train"), PS)
+    drop_staged(slim)  # the folds have their own copy
     return MD.summarize_cv(cv)
 
 
@@ -64,7 +65,7 @@ def model_selection_checks(spark, sf):
     ROC-AUC refitted on the train split and tested on the rest."""
     from lapse.staging import staged
 
-    cp = customer_profile(spark, sf)
+    cp = staged(customer_profile(spark, sf), "profile")  # read by the fit and again to be scored
     model, report = MD.train(cp, PS)
     means = report.where("scope = 'cv_mean' AND metric = 'roc_auc'")
     scored = staged(SC.score_all(model, cp), "selected").agg(F.count("*").alias("n"), F.min(F.col("risk_score").between(0, 1)).alias("ok"))

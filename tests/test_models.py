@@ -167,3 +167,29 @@ def test_stream_tier_counts(spark, trained, tmp_dir):
     q.awaitTermination(300)
     tiers = ST.latest_tier_counts(spark, os.path.join(tmp_dir, "tiers"))
     assert sum(r["count"] for r in tiers.collect()) == cp.count()
+
+
+def test_training_derives_its_rows_once(spark):
+    """The split used to derive them twice, once for its counts."""
+    from lapse.spec import Spec
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x: int) -> str:
+        made.add(1)
+        return "No" if x % 3 else "Yes"
+
+    df = spark.range(60).select("id", (F.col("id") * 7 % 11).cast("double").alias("a"), F.udf(seen, "string")("id").alias("churn"))
+    _, report = MD.train(df, Spec("id", "churn", "Yes", numeric=("a",)), names=["LogisticRegression"], cv=False)
+    assert made.value == 60 and report.where("scope = 'test'").count() > 0
+
+
+def test_a_fold_is_boosted_beside_its_other_fits(spark, monkeypatch):
+    """All boosting used to come first, a core for each fit and the others idle."""
+    from lapse.operators import features as FT
+
+    begun, fit = [], MD.fit_classifier
+    monkeypatch.setattr(MD, "fit_classifier", lambda rows, fm, spec, name, *a, **k: (begun.append(name), fit(rows, fm, spec, name, *a, **k))[1])
+    split = FT.assign_split(customer_profile(spark, SF_SMALL), PS).where("split = 'train'")
+    MD.cross_validate(split, PS, ["LogisticRegression", "GradientBoosting"], folds=2, parallelism=1, overrides={"GradientBoosting": {"rounds": 2}})
+    assert begun == ["GradientBoosting", "LogisticRegression"] * 2
